@@ -370,10 +370,10 @@ _BODIES: dict[str, str] = {
         select order_id, n_items, {_round('items_price_sum freight_value_sum total_order_value avg_item_price')}
         from featured""",
     "interaction_features": f"""
-        select order_id, {_round('freight_to_price_ratio delay_x_total_value')} from interacting""",
+        select order_id, {_round('freight_to_price_ratio')}, {_round('delay_x_total_value', 7)} from interacting""",
     "interaction_features_keep_missing": """
         select order_id, round(freight_to_price_ratio, 6) as freight_to_price_ratio,
-          round(delivery_delay_days * total_order_value, 6) as delay_x_total_value
+          round(delivery_delay_days * total_order_value, 7) as delay_x_total_value
         from interacting""",
     "binary_review_target": """
         select order_id, review_score_latest, case when review_score_latest >= 4 then 1 else 0 end as review_binary
@@ -411,7 +411,7 @@ _BODIES: dict[str, str] = {
           round(delivery_estimated_days, 6) as delivery_estimated_days,
           round(delivery_delay_days, 6) as delivery_delay_days,
           round(freight_to_price_ratio, 6) as freight_to_price_ratio,
-          round(delay_x_total_value, 4) as delay_x_total_value, round(distance_km_mean, 4) as distance_km_mean,
+          round(delay_x_total_value, 7) as delay_x_total_value, round(distance_km_mean, 4) as distance_km_mean,
           round(customer_total_revenue, 6) as customer_total_revenue,
           round(customer_avg_order_value, 8) as customer_avg_order_value,
           round(customer_review_score_mean, 6) as customer_review_score_mean)
@@ -544,7 +544,7 @@ _BODIES: dict[str, str] = {
     "review_dataset": f"""
         select order_id, {_round('total_order_value')}, n_items, {_round('delivery_delay_days')},
           {_round('distance_km_mean', 4)}, {_round('customer_total_revenue')}, customer_n_orders,
-          {_round('freight_to_price_ratio')}, {_round('delay_x_total_value', 4)}, payment_type_mode, customer_state,
+          {_round('freight_to_price_ratio')}, {_round('delay_x_total_value', 7)}, payment_type_mode, customer_state,
           review_score_latest as label,
           case when row_number() over (partition by review_score_latest
             order by substr(md5(order_id || ':42'), 1, 13)) <= ceil(count(*) over (partition by review_score_latest) * 0.2e0)

@@ -308,7 +308,7 @@ def interaction_features(spark, sf_dir):
     orders = order_values(spark, sf_dir).transform(features.add_delivery_features)
     return rounded(features.add_interaction_features(orders).select(
         "order_id", "freight_to_price_ratio", "delay_x_total_value"
-    ))
+    ), 6, delay_x_total_value=7)
 
 
 @query
@@ -316,7 +316,7 @@ def interaction_features_keep_missing(spark, sf_dir):
     orders = order_values(spark, sf_dir).transform(features.add_delivery_features)
     return rounded(features.add_interaction_features(orders, missing_as_zero=False).select(
         "order_id", "freight_to_price_ratio", "delay_x_total_value"
-    ))
+    ), 6, delay_x_total_value=7)
 
 
 @query
@@ -396,7 +396,7 @@ def orders_with_distance(spark, sf_dir):
 
 @query
 def enriched_orders(spark, sf_dir):
-    return rounded(enriched(spark, sf_dir), 6, customer_avg_order_value=8, distance_km_mean=4, delay_x_total_value=4)
+    return rounded(enriched(spark, sf_dir), 6, customer_avg_order_value=8, distance_km_mean=4, delay_x_total_value=7)
 
 
 # Reports ---------------------------------------------------------------------------------------------------
@@ -648,7 +648,7 @@ def delay_dataset(spark, sf_dir):
 def review_dataset(spark, sf_dir):
     spec = features.FEATURE_SETS["review"]
     return rounded(
-        build_review_dataset(enriched(spark, sf_dir), spec.inputs), 6, distance_km_mean=4, delay_x_total_value=4
+        build_review_dataset(enriched(spark, sf_dir), spec.inputs), 6, distance_km_mean=4, delay_x_total_value=7
     )
 
 

@@ -16,8 +16,8 @@ def cumulative_before(df: DataFrame, order_by: str, sums: Sequence[str], buckets
     """
     fractions = [i / buckets for i in range(1, buckets)]
     edges = df.agg(F.percentile_approx(order_by, fractions, 20 * buckets).alias("edges")).scalar()
-    placed = df.withColumn(
-        "_bucket", F.size(F.filter(F.coalesce(edges, F.array()), lambda edge: edge < F.col(order_by)))
+    placed = df.withColumn("_edges", edges).withColumn(
+        "_bucket", F.size(F.filter("_edges", lambda edge: edge < F.col(order_by)))
     )
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
