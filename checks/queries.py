@@ -73,9 +73,15 @@ def prepared(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched orders as one lazy plan: queries that use few columns stay narrow."""
     return features.build_enriched_orders(prepared(spark, sf_dir))
 
 
+def staged_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched orders for uses of all columns: the order facts are computed once."""
+    return features.build_enriched_orders(prepared(spark, sf_dir), stage=materialize)
+
+
 def base_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.build_base_orders(prepared(spark, sf_dir))[0]
 
@@ -122,7 +128,7 @@ def csv_orders_scan(spark, sf_dir):
 def enriched_orders_reload(spark, sf_dir):
     """Enriched orders written to Parquet by month and read back with missing delays as zero."""
     path = stage_path(spark, "enriched")
-    write_enriched_orders(enriched(spark, sf_dir), path, partition_by_month=True)
+    write_enriched_orders(staged_enriched(spark, sf_dir), path, partition_by_month=True)
     back = load_enriched_orders(spark, path)
     return rounded(back.select(
         "order_id", "purchase_year", "purchase_month", "delivery_delay_days", "total_order_value", "customer_state"
@@ -133,7 +139,7 @@ def enriched_orders_reload(spark, sf_dir):
 def enriched_orders_csv_reload(spark, sf_dir):
     """Enriched orders written to CSV and read back with declared types."""
     path = stage_path(spark, "enriched")
-    write_enriched_orders(enriched(spark, sf_dir), path, fmt="csv")
+    write_enriched_orders(staged_enriched(spark, sf_dir), path, fmt="csv")
     back = load_enriched_orders(spark, path, fmt="csv")
     return rounded(back.select(
         F.col("order_id").cast("bigint").alias("order_id"), "order_purchase_timestamp", "delivery_delay_days",
@@ -396,7 +402,7 @@ def orders_with_distance(spark, sf_dir):
 
 @query
 def enriched_orders(spark, sf_dir):
-    return rounded(enriched(spark, sf_dir), 6, customer_avg_order_value=8, distance_km_mean=4, delay_x_total_value=7)
+    return rounded(staged_enriched(spark, sf_dir), 6, customer_avg_order_value=8, distance_km_mean=4, delay_x_total_value=7)
 
 
 # Reports ---------------------------------------------------------------------------------------------------
@@ -641,20 +647,20 @@ def stratified_review_split(spark, sf_dir):
 @query
 def delay_dataset(spark, sf_dir):
     spec = features.FEATURE_SETS["delay"]
-    return rounded(build_delay_dataset(enriched(spark, sf_dir), spec.inputs), 6, distance_km_mean=4)
+    return rounded(build_delay_dataset(staged_enriched(spark, sf_dir), spec.inputs), 6, distance_km_mean=4)
 
 
 @query
 def review_dataset(spark, sf_dir):
     spec = features.FEATURE_SETS["review"]
     return rounded(
-        build_review_dataset(enriched(spark, sf_dir), spec.inputs), 6, distance_km_mean=4, delay_x_total_value=7
+        build_review_dataset(staged_enriched(spark, sf_dir), spec.inputs), 6, distance_km_mean=4, delay_x_total_value=7
     )
 
 
 def delay_training_rows(spark, sf_dir):
     spec = features.FEATURE_SETS["delay"]
-    rows = materialize(build_delay_dataset(enriched(spark, sf_dir), spec.inputs))
+    rows = materialize(build_delay_dataset(staged_enriched(spark, sf_dir), spec.inputs))
     return spec, rows, rows.where("split = 'train'")
 
 
@@ -768,7 +774,7 @@ def quality_binary_summary(spark, sf_dir):
 @query
 def delay_model_metrics(spark, sf_dir):
     spec = features.FEATURE_SETS["delay"]
-    dataset = build_delay_dataset(enriched(spark, sf_dir), spec.inputs)
+    dataset = build_delay_dataset(staged_enriched(spark, sf_dir), spec.inputs)
     small = delay_estimators({"RandomForest": 10, "GradientBoosting": 5, "BoostedTrees": 5}, forest_depth=8)
     return train_delay_models(dataset, spec.numeric, spec.categorical, small)[0]
 
@@ -777,7 +783,7 @@ def delay_model_metrics(spark, sf_dir):
 def delay_model_error_by_state(spark, sf_dir):
     """Scored test orders of the forest, with the states it serves worst."""
     spec = features.FEATURE_SETS["delay"]
-    dataset = build_delay_dataset(enriched(spark, sf_dir), spec.inputs)
+    dataset = build_delay_dataset(staged_enriched(spark, sf_dir), spec.inputs)
     forest = {"RandomForest": delay_estimators({"RandomForest": 10}, forest_depth=8)["RandomForest"]}
     _, _, scored = train_delay_models(dataset, spec.numeric, spec.categorical, forest)
     return reports.error_by_state(scored, "label", "prediction")
@@ -786,7 +792,7 @@ def delay_model_error_by_state(spark, sf_dir):
 @query
 def review_model_metrics(spark, sf_dir):
     spec = features.FEATURE_SETS["review"]
-    dataset = build_review_dataset(enriched(spark, sf_dir), spec.inputs)
+    dataset = build_review_dataset(staged_enriched(spark, sf_dir), spec.inputs)
     small = review_estimators({"GradientBoostingClassifier": 2, "DeepBoostingClassifier": 2})
     return train_review_models(dataset, spec.numeric, spec.categorical, small)[0]
 
@@ -794,7 +800,7 @@ def review_model_metrics(spark, sf_dir):
 @query
 def satisfaction_model_metrics(spark, sf_dir):
     spec = features.FEATURE_SETS["review"]
-    orders = features.add_binary_review_target(enriched(spark, sf_dir))
+    orders = features.add_binary_review_target(staged_enriched(spark, sf_dir))
     small = binary_estimators({"GradientBoostingClassifier": 5, "DeepBoostingClassifier": 5})
     return train_binary_review_models(
         orders, spec.inputs, use_class_weight=True, tune_threshold=True, estimators=small

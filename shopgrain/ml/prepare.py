@@ -127,7 +127,7 @@ def numeric_constants(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("feature"), nan_to_null(F.col(name).cast("double")).alias("value")) for name in numeric
     ])).alias("cell")).select("cell.feature", "cell.value")
-    medians = exact_quantiles(long, "value", {"median": 0.5}, ["feature"], fixed_groups=True)
+    medians = exact_quantiles(long, "value", {"median": 0.5}, ["feature"])
     # One row per feature name in the query.
     imputed = long.join(F.broadcast(medians), "feature", "left").select(
         "feature", "median", F.coalesce("value", "median", F.lit(0.0)).alias("value")

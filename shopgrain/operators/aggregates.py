@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from ..functions import nan_to_null
 
 
 def keep_known_keys(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose group key is present: a missing key forms no group."""
-    return df.dropna(subset=list(keys))
+    """Rows whose group key is present: a missing key forms no group. The test reaches a Parquet scan."""
+    return df.where(reduce(and_, [F.col(key).isNotNull() for key in keys]))
 
 
 def count_by(df: DataFrame, key: str, count_name: str) -> DataFrame:

@@ -81,7 +81,8 @@ def _with_fences(df: DataFrame, value: str, by: str, reach: float) -> DataFrame:
     fences = quartiles.select(
         "*", (F.col("q1") - reach * spread).alias("_low"), (F.col("q3") + reach * spread).alias("_high")
     )
-    return rows.join(fences, by)
+    # One row per group; ``exact_quantiles`` refuses more than a few thousand groups.
+    return rows.join(F.broadcast(fences), by)
 
 
 def box_stats(df: DataFrame, value: str, by: str, reach: float = 1.5) -> DataFrame:
@@ -107,19 +108,21 @@ def box_outliers(df: DataFrame, value: str, by: str, reach: float = 1.5) -> Data
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair as (col_a, col_b, corr), from rows where both are present.
 
-    One aggregation for all pairs. A pair without variation has no correlation: NULL.
+    Each row is unfolded into its complete pairs, which one small aggregation folds up again before anything is
+    shuffled. A pair without variation, or without complete rows, has no correlation: NULL.
     """
     columns = [name for name in columns if name in df.columns]
     numbers = df.select(*[double_or_null(name).alias(name) for name in columns])
-    measures, cells = [], []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            name = f"{a}|{b}"
-            spread = F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
-            measures.append(F.try_divide(F.regr_sxy(a, b), spread).alias(name))
-            pairs = [(a, b)] if a == b else [(a, b), (b, a)]
-            cells += [
-                F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(f"`{name}`").alias("corr"))
-                for x, y in pairs
-            ]
-    return numbers.agg(*measures).select(F.inline(F.array(*cells)))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    unfolded = numbers.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)
+    ])))
+    spread = F.sqrt(F.regr_sxx("x", "y")) * F.sqrt(F.regr_syy("x", "y"))
+    measured = unfolded.groupBy("pair").agg(F.try_divide(F.regr_sxy("x", "y"), spread).alias("corr"))
+    cells = F.array(*[
+        F.array(*[
+            F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b")) for x, y in dict.fromkeys([(a, b), (b, a)])
+        ])
+        for a, b in pairs
+    ])
+    return measured.select(F.explode(cells[F.col("pair")]).alias("cell"), "corr").select("cell.*", "corr")

@@ -1,80 +1,106 @@
 """Exact quantiles and rank cuts without collecting a group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch first gives a
-narrow bracket that is certain to hold the wanted rank; rows below the bracket are only counted and rows
-above it dropped. What is ranked exactly is the distinct values inside the bracket: all of them for a group
-of at most ``WHOLE_GROUP_ROWS`` rows, else about ``6 / ACCURACY`` of the group. Equal values are collapsed
-to one row with a count before they are shuffled.
+``percentile`` keeps every distinct value of a group in one buffer. Here the wanted rank is closed in from
+counts: each pass counts the values of the current interval in equal-width cells (a hash aggregation that
+combines before the shuffle) and moves into the one cell that holds the rank. When the interval holds few
+enough rows, its distinct values are ranked. A value shared by many rows is one row with a count throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .aggregates import double_or_null
 
-# The sketch is off by at most n / ACCURACY ranks; the bracket allows twice that. In a group above
-# WHOLE_GROUP_ROWS this slack is at least twenty ranks, more than the rounding of a rank can need.
-ACCURACY = 100_000
-SLACK = 2.0 / ACCURACY
-WHOLE_GROUP_ROWS = 1_000_000
+WHOLE_INTERVAL_ROWS = 1_000_000
+CELLS = 4096
+MAX_GROUPS = 10_000
 
 
-def _bracketed_counts(
+def _values_at_ranks(
     df: DataFrame,
     value: str,
     by: Sequence[str],
-    fractions: Sequence[float],
-    whole_group_rows: int,
-    fixed_groups: bool = False,
+    ranks: Callable[[int], Sequence[int]],
+    whole_interval_rows: int,
 ) -> DataFrame:
-    """Per group and fraction index ``_i``: bracket values ``_v``, count up to and including each, group size.
+    """(``by``, ``_i``, ``_n``, ``_value``): the value at each 0-based rank that ``ranks(n)`` asks of a group of n rows.
 
-    Columns: ``by``, ``_i``, ``_n``, ``_v`` (NULL for the rows below the bracket), ``_cum``.
+    Group sizes and intervals, a few numbers per group, pass through the driver; rows do not.
     """
+    by = list(by)
     rows = df.select(*by, double_or_null(value).alias("_x")).where(F.col("_x").isNotNull())
-    probes = [
-        min(max(fraction + side, 0.0), 1.0) for fraction in fractions for side in (-SLACK, SLACK)
+    groups = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    ).limit(MAX_GROUPS + 1).collect()
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"exact ranks are meant for keys of few values; {by} has more than {MAX_GROUPS}")
+    intervals = [
+        {**{key: row[key] for key in by}, "_i": i, "_n": row["_n"], "_rank": rank, "_lo": row["_lo"],
+         "_hi": row["_hi"], "_below": 0, "_inside": row["_n"]}
+        for row in groups if row["_n"] for i, rank in enumerate(ranks(row["_n"]))
     ]
-    sketch = F.percentile_approx("_x", probes, ACCURACY)
-    whole = F.count(F.lit(1)) <= whole_group_rows
-    brackets = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(whole | F.lit(probes[2 * i] <= 0.0), F.min("_x")).otherwise(sketch[2 * i]).alias("lo"),
-            F.when(whole | F.lit(probes[2 * i + 1] >= 1.0), F.max("_x")).otherwise(sketch[2 * i + 1]).alias("hi"),
-        )
-        for i in range(len(fractions))
+
+    def is_open(interval):
+        return interval["_inside"] > whole_interval_rows and interval["_lo"] < interval["_hi"]
+
+    if any(map(is_open, intervals)):
+        rows = materialize(rows)  # two columns, read once per pass
+    while wide := [interval for interval in intervals if is_open(interval)]:
+        closed = [interval for interval in intervals if not is_open(interval)]
+        intervals = closed + [row.asDict() for row in _closer(rows, by, wide).collect()]
+    inside = _join_intervals(rows, by, intervals).groupBy(*by, "_i", "_n", "_rank", "_below", "_x").agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    upward = Window.partitionBy(*by, "_i").orderBy("_x")
+    return (
+        inside.withColumn("_to", F.col("_below") + F.sum("_c").over(upward))
+        .where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+        .select(*by, "_i", "_n", F.col("_x").alias("_value"))
+    )
+
+
+def _join_intervals(rows: DataFrame, by: Sequence[str], intervals: Sequence[Mapping]) -> DataFrame:
+    """Rows with every interval of their group that contains them."""
+    types = dict(rows.dtypes)
+    schema = ", ".join([
+        *[f"`{key}` {types[key]}" for key in by],
+        "_i int, _n bigint, _rank bigint, _lo double, _hi double, _below bigint, _inside bigint",
     ])
-    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), brackets.alias("_brackets"))
+    names = [*by, "_i", "_n", "_rank", "_lo", "_hi", "_below", "_inside"]
+    table = rows.sparkSession.createDataFrame([tuple(row[name] for name in names) for row in intervals], schema)
+    packed = table.groupBy(*by).agg(F.collect_list(F.struct(*names[len(by):])).alias("_intervals"))
+    within = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
     if by:
-        # Null-safe, so that a missing key keeps its own group. The right side is one row per group; adaptive
-        # execution turns this into a broadcast once it has measured it.
-        keyed = stats.withColumnsRenamed({name: f"_key_{name}" for name in by})
-        match = [F.col(name).eqNullSafe(F.col(f"_key_{name}")) for name in by]
-        joined = rows.join(F.broadcast(keyed) if fixed_groups else keyed, match).drop(*[f"_key_{name}" for name in by])
+        # A list made on the driver: at most MAX_GROUPS groups with one entry per rank.
+        packed = packed.withColumnsRenamed({key: f"_key_{key}" for key in by})
+        match = [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in by]
+        joined = rows.join(F.broadcast(packed), match).drop(*[f"_key_{key}" for key in by])
     else:
-        one = stats.select(F.struct("_n", "_brackets")).scalar()
-        joined = rows.withColumn("_s", one).select("_x", "_s._n", "_s._brackets")
-    placed = (
-        joined.select(*by, "_n", "_x", F.explode("_brackets").alias("_b"))
-        .where(F.col("_x") <= F.col("_b.hi"))
-        .select(
-            *by, "_n", F.col("_b.i").alias("_i"), F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x")).alias("_v")
-        )
-        .groupBy(*by, "_i", "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upward = Window.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
-    return placed.withColumn("_cum", F.sum("_c").over(upward))
+        joined = rows.withColumn("_intervals", packed.scalar())
+    return joined.select(*by, "_x", F.inline("_intervals")).where(within)
 
 
-def _value_at(rank: Column) -> Column:
-    """The value at a 0-based rank of the group."""
-    return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+def _closer(rows: DataFrame, by: Sequence[str], intervals: Sequence[Mapping]) -> DataFrame:
+    """For each interval, the tightest one around the cell that holds its rank."""
+    keys = [*by, "_i", "_n", "_rank"]
+    share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
+    counts = _join_intervals(rows, by, intervals).groupBy(*keys, "_below", cell.alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_inside"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    )
+    upward = Window.partitionBy(*by, "_i").orderBy("_cell")  # at most CELLS rows
+    start = F.col("_below") + F.sum("_inside").over(upward) - F.col("_inside")
+    return (
+        counts.withColumn("_start", start)
+        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_inside")))
+        .select(*keys, "_lo", "_hi", F.col("_start").alias("_below"), "_inside")
+    )
 
 
 def exact_quantiles(
@@ -82,27 +108,32 @@ def exact_quantiles(
     value: str,
     fractions: Mapping[str, float],
     by: Sequence[str] = (),
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
-    fixed_groups: bool = False,
+    whole_interval_rows: int = WHOLE_INTERVAL_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``fractions``, one row per group.
 
-    ``by`` is meant for keys with few values; a group without any value gives no row. ``fixed_groups`` states
-    that the groups come from the query text (such as column names), so one row per group can be broadcast.
+    ``by`` is meant for keys of few values; a group without any value gives no row.
     """
     by = list(by)
-    counts = _bracketed_counts(df, value, by, list(fractions.values()), whole_group_rows, fixed_groups)
-    fraction = F.array(*[F.lit(q) for q in fractions.values()])[F.col("_i")]
-    position = fraction * (F.col("_n") - 1)
-    below, above = _value_at(F.floor(position)), _value_at(F.ceil(position))
-    per_fraction = (
-        counts.groupBy(*by, "_i", "_n")
-        .agg(below.alias("_below"), above.alias("_above"))
-        .withColumn("_q", F.col("_below") + (F.col("_above") - F.col("_below")) * (position - F.floor(position)))
-    )
-    return per_fraction.groupBy(*by).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(fractions)
-    ])
+
+    def ranks(n):
+        positions = [q * (n - 1) for q in fractions.values()]
+        return [rank for p in positions for rank in (math.floor(p), math.ceil(p))]
+
+    found = _values_at_ranks(df, value, by, ranks, whole_interval_rows)
+
+    def at(i):
+        return F.max(F.when(F.col("_i") == i, F.col("_value")))
+
+    def quantile(k: int, q: float) -> Column:
+        position = q * (F.col("_n") - 1)
+        below, above = at(2 * k), at(2 * k + 1)
+        return below + (above - below) * (position - F.floor(position))
+
+    per_group = found.groupBy(*by, "_n").agg(*[
+        quantile(k, q).alias(name) for k, (name, q) in enumerate(fractions.items())
+    ]).drop("_n")
+    return per_group if by else per_group.agg(*[F.max(name).alias(name) for name in fractions])
 
 
 def at_or_above_quantile(df: DataFrame, value: str, fraction: float) -> DataFrame:
@@ -112,9 +143,8 @@ def at_or_above_quantile(df: DataFrame, value: str, fraction: float) -> DataFram
 
 
 def lowest_share(
-    df: DataFrame, value: str, by: Sequence[str], fraction: float, whole_group_rows: int = WHOLE_GROUP_ROWS
+    df: DataFrame, value: str, by: Sequence[str], fraction: float, whole_interval_rows: int = WHOLE_INTERVAL_ROWS
 ) -> DataFrame:
     """Per group, the largest value among its lowest ``ceil(fraction * n)`` rows, as column ``cut``."""
-    by = list(by)
-    counts = _bracketed_counts(df, value, by, [fraction], whole_group_rows)
-    return counts.groupBy(*by, "_n").agg(_value_at(F.ceil(F.lit(fraction) * F.col("_n")) - 1).alias("cut")).drop("_n")
+    found = _values_at_ranks(df, value, by, lambda n: [math.ceil(fraction * n) - 1], whole_interval_rows)
+    return found.select(*by, F.col("_value").alias("cut"))

@@ -15,7 +15,7 @@ def cumulative_before(df: DataFrame, order_by: str, sums: Sequence[str], buckets
     totals are summed over at most ``buckets`` rows and running sums stay inside one bucket.
     """
     fractions = [i / buckets for i in range(1, buckets)]
-    edges = df.agg(F.percentile_approx(order_by, fractions, 20 * buckets).alias("edges")).scalar()
+    edges = df.agg(F.percentile_approx(order_by, fractions, 4 * buckets).alias("edges")).scalar()
     placed = df.withColumn("_edges", edges).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda edge: edge < F.col(order_by)))
     )

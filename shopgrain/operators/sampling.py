@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_hex, hash_rank
-from .order_stats import WHOLE_GROUP_ROWS, lowest_share
+from .order_stats import WHOLE_INTERVAL_ROWS, lowest_share
 
 HASH_RANGE = float(2**52)
 
@@ -29,17 +29,17 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
     column: str = "split",
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
+    whole_interval_rows: int = WHOLE_INTERVAL_ROWS,
 ) -> DataFrame:
     """``test`` for exactly ``ceil(test_fraction * n)`` rows of each label, given unique keys.
 
     The cut is an exact order statistic of the hash per label, so no label is sorted in one task.
     """
     hashed = df.withColumn("_hash", hash_rank(keys, seed))
-    cuts = lowest_share(hashed, "_hash", [label], test_fraction, whole_group_rows)
+    cuts = lowest_share(hashed, "_hash", [label], test_fraction, whole_interval_rows)
     cuts = cuts.select(F.col(label).alias("_label"), "cut")
-    # One row per label: Spark sees the size of this side and broadcasts it.
-    joined = hashed.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    # ``lowest_share`` returns one row per label and refuses more than a few thousand labels.
+    joined = hashed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_label")), "left")
     is_test = F.col("_hash") <= F.col("cut")
     return joined.withColumn(column, F.when(is_test, "test").otherwise("train")).drop("_hash", "_label", "cut")
 

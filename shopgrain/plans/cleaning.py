@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null
-from ..operators import keep_first, keep_latest
+from ..operators import keep_first, keep_known_keys, keep_latest
 from ..schemas import IDENTIFIER_COLUMNS, PRIMARY_KEYS, REQUIRED_COLUMNS, TABLE_COLUMNS, columns_of_type
 from ..sources import with_declared_types
 
@@ -40,7 +40,7 @@ def latest_review_per_order(reviews: DataFrame) -> DataFrame:
 
 def drop_incomplete(df: DataFrame, table: str) -> DataFrame:
     """Rows with all required keys present."""
-    return df.dropna(subset=REQUIRED_COLUMNS[table])
+    return keep_known_keys(df, *REQUIRED_COLUMNS[table])
 
 
 def clean_tables(

@@ -239,8 +239,7 @@ def build_enriched_orders(
     All steps keyed by ``order_id`` come first, on the partitioning that deduplicating the orders created;
     then the wide rows move once to ``customer_id``, where the customer attributes, customer value and
     customer review statistics arrive as one table. ``stage`` is applied to the order-level facts, which both
-    the customer aggregation and the final join read: pass ``materialize`` (or a write and re-read) to compute
-    them once on large data.
+    the customer aggregation and the final join read: pass ``materialize`` to compute them once on large data.
     """
     facts = attach_order_facts(tables["orders"], tables).join(
         order_distance(

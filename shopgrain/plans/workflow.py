@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import stage_path
+from ..session import materialize
 from ..sources import write_enriched_orders, write_top_tables
 from .assembly import translate_categories
 from .cleaning import clean_tables
@@ -14,17 +14,6 @@ from .features import add_binary_review_target, build_enriched_orders
 from .reports import top_categories, top_sellers
 
 
-def staged(spark: SparkSession, name: str):
-    """Write a table to the shared folder and read it back: later steps restart from files, not from the inputs."""
-
-    def write_and_read(df: DataFrame) -> DataFrame:
-        path = stage_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    return write_and_read
-
-
 def prepare_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Cleaned tables with translated product categories."""
     cleaned = clean_tables(tables)
@@ -38,7 +27,7 @@ def run_workflow(
 ) -> dict[str, str]:
     """Clean, enrich and export; returns the paths of the enriched orders and the two rankings."""
     cleaned = prepare_tables(tables)
-    enriched = build_enriched_orders(cleaned, stage=staged(spark, "order_facts")).transform(add_binary_review_target)
+    enriched = build_enriched_orders(cleaned, stage=materialize).transform(add_binary_review_target)
     paths = {"enriched_orders": f"{out}/enriched_orders"}
     write_enriched_orders(enriched, paths["enriched_orders"], fmt, partition_by_month)
     paths.update(write_top_tables(

@@ -1,4 +1,4 @@
-"""Session settings, checkpoint folder and materialisation.
+"""Session settings, shared folder and staged tables.
 
 The library never touches static configuration. ``configure`` sets only runtime SQL options, so it is
 safe to call on a session that somebody else built.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,11 @@ def build_session(app_name: str = "shopgrain", master: str | None = None, **sett
     return configure(builder.getOrCreate())
 
 
+@lru_cache(maxsize=None)
+def _own_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="shopgrain-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
@@ -50,9 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="shopgrain-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -60,9 +64,12 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shopgrain/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so lost executors do not recompute the whole plan."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Later steps restart from files when executors are lost, read only the columns they need, and do not
+    compute the table again.
+    """
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ("customer", "events", "labels", "lineitem", "nation", "orders", "part", "supplier")
+# Declared, so that opening a table starts no schema-inference job.
+BASE_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+BASE_TABLES = tuple(BASE_SCHEMAS)
 
 VIEWS: dict[str, str] = {
     "orders": """
@@ -69,15 +87,13 @@ VIEWS: dict[str, str] = {
 }
 
 
-def load_base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in BASE_TABLES}
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the Parquet tables in ``sf_dir``."""
     text = VIEWS[name]
     bases = {
-        base: spark.read.parquet(f"{sf_dir}/{base}.parquet") for base in BASE_TABLES if "{" + base + "}" in text
+        base: spark.read.schema(schema).parquet(f"{sf_dir}/{base}.parquet")
+        for base, schema in BASE_SCHEMAS.items()
+        if "{" + base + "}" in text
     }
     return spark.sql(text, **bases)
 
