@@ -12,7 +12,7 @@ from ..functions import (
     days_between, false_if_null, finite_or_null, haversine_km, month_start, safe_ratio, sum_or_zero,
     zero_if_null,
 )
-from ..operators import fill_domain, keep_known_keys
+from ..operators import SPREAD, fill_domain, keep_known_keys, lookup_join
 from .assembly import attach_order_facts
 
 
@@ -115,7 +115,7 @@ def add_customer_value(
 ) -> tuple[DataFrame, DataFrame]:
     """(orders with the customer columns attached, the customer table)."""
     value = customer_value(orders, key, unique_orders)
-    return orders.join(value, key, "left"), value
+    return lookup_join(orders, value, key), value
 
 
 def review_stats(scored: DataFrame, key: str, score: str, prefix: str) -> DataFrame:
@@ -129,8 +129,8 @@ def product_and_seller_review_stats(
     order_items: DataFrame, reviews: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Review statistics of products and of sellers; the score of an order counts once per item."""
-    scored = order_items.select("order_id", "product_id", "seller_id").join(
-        reviews.select("order_id", "review_score"), "order_id", "left"
+    scored = lookup_join(
+        order_items.select("order_id", "product_id", "seller_id"), reviews.select("order_id", "review_score"), "order_id"
     )
     return (
         review_stats(scored, "product_id", "review_score", "product"),
@@ -144,7 +144,7 @@ def add_review_aggregates(
     """(orders with customer review statistics, product statistics, seller statistics)."""
     by_product, by_seller = product_and_seller_review_stats(order_items, reviews)
     by_customer = review_stats(orders, "customer_id", "review_score_latest", "customer")
-    return orders.join(by_customer, "customer_id", "left"), by_product, by_seller
+    return lookup_join(orders, by_customer, "customer_id"), by_product, by_seller
 
 
 def zip_centroids(geolocation: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def place(entities: DataFrame, who: str, centroids: DataFrame) -> DataFrame:
         F.col("geo_lat").alias(f"{who}_lat"),
         F.col("geo_lng").alias(f"{who}_lng"),
     )
-    return keys.join(points, "_zip", "left").drop("_zip")
+    return lookup_join(keys, points, "_zip").drop("_zip")
 
 
 def order_distance(
@@ -171,22 +171,24 @@ def order_distance(
     """Mean customer-to-seller distance per order.
 
     The customer's position is looked up once per order, not once per item; items carry two keys and two
-    coordinates through one shuffle on ``order_id``, which the final mean reuses.
+    coordinates through one shuffle, whose partitioning the final mean reuses.
     """
     centroids = zip_centroids(geolocation)
-    order_points = (
-        orders.select("order_id", "customer_id").join(place(customers, "customer", centroids), "customer_id", "left")
+    order_points = lookup_join(
+        orders.select("order_id", "customer_id"), place(customers, "customer", centroids), "customer_id"
     )
-    item_points = keep_known_keys(order_items.select("order_id", "seller_id"), "order_id").join(
-        place(sellers, "seller", centroids), "seller_id", "left"
+    item_points = lookup_join(
+        keep_known_keys(order_items.select("order_id", "seller_id"), "order_id"),
+        place(sellers, "seller", centroids), "seller_id",
     )
     distance = haversine_km(
         F.col("customer_lat"), F.col("customer_lng"), F.col("seller_lat"), F.col("seller_lng")
     )
     return (
-        item_points.join(order_points, "order_id", "left")
-        .groupBy("order_id")
+        lookup_join(item_points, order_points, "order_id", keep_spread=True)
+        .groupBy("order_id", SPREAD)
         .agg(F.avg(distance).alias("distance_km_mean"))
+        .drop(SPREAD)
     )
 
 
@@ -262,7 +264,5 @@ def build_enriched_orders(
         F.avg("review_score_latest").alias("customer_review_score_mean"),
         F.count("review_score_latest").alias("customer_review_count"),
     )
-    shared = (set(facts.columns) & set(tables["customers"].columns)) - {"customer_id"}
-    customers = tables["customers"].withColumnsRenamed({name: f"{name}_customer" for name in shared})
-    attributes = per_customer.join(customers, "customer_id", "left")
-    return facts.join(attributes, "customer_id", "left")
+    attributes = per_customer.join(tables["customers"], "customer_id", "left")
+    return lookup_join(facts, attributes, "customer_id", right_suffix="_customer")
