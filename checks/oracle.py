@@ -312,10 +312,10 @@ _BODIES: dict[str, str] = {
         select order_id, order_purchase_timestamp, round(coalesce(delivery_delay_days, 0), 6) as delivery_delay_days,
           is_late, n_items, review_score_latest, payment_type_mode from enriched""",
     "top_tables_export": """
-        (select 'category' as ranking, product_category_name_english as name, round(revenue, 4) as revenue, n_items
+        (select 'category' as ranking, product_category_name_english as name, round(revenue, 2) as revenue, n_items
           from category_sales order by category_sales.revenue desc, 2 limit 10)
         union all
-        (select 'seller', cast(seller_id as varchar), round(revenue, 4), n_items
+        (select 'seller', cast(seller_id as varchar), round(revenue, 2), n_items
           from seller_sales order by seller_sales.revenue desc, seller_id limit 10)""",
     "workflow_export": _MONTHLY,
     "tables_profile": " union all ".join(
@@ -418,16 +418,16 @@ _BODIES: dict[str, str] = {
         from enriched""",
     "monthly_orders_revenue": _MONTHLY,
     "top_categories": """
-        select product_category_name_english, round(revenue, 4) as revenue, n_items
+        select product_category_name_english, round(revenue, 2) as revenue, n_items
         from category_sales order by category_sales.revenue desc, product_category_name_english limit 15""",
     "top_sellers": """
         select seller_id, round(revenue, 4) as revenue, n_items
         from seller_sales order by seller_sales.revenue desc, seller_id limit 15""",
     "top_five_of_rankings": """
-        (select 'category' as ranking, product_category_name_english as name, round(revenue, 4) as revenue
+        (select 'category' as ranking, product_category_name_english as name, round(revenue, 2) as revenue
           from category_sales order by category_sales.revenue desc, 2 limit 5)
         union all
-        (select 'seller', cast(seller_id as varchar), round(revenue, 4)
+        (select 'seller', cast(seller_id as varchar), round(revenue, 2)
           from seller_sales order by seller_sales.revenue desc, seller_id limit 5)""",
     "top_customers": """
         select customer_id, round(customer_total_revenue, 4) as customer_total_revenue, customer_n_orders
@@ -441,7 +441,7 @@ _BODIES: dict[str, str] = {
         select customer_state, round(avg(abs(actual - predicted)), 6) as mean_abs_error
         from regression_rows group by 1 order by 2 desc, 1 limit 10""",
     "business_kpis": """
-        select round(sum(total_order_value), 4) as total_revenue, count(distinct order_id) as n_orders,
+        select round(sum(total_order_value), 2) as total_revenue, count(distinct order_id) as n_orders,
           round(avg(total_order_value), 6) as avg_order_value, round(avg(review_score_latest), 6) as avg_review_score,
           round(avg(cast(is_late as int)), 6) as late_delivery_rate from enriched""",
     "kpi_table": """
@@ -464,14 +464,14 @@ _BODIES: dict[str, str] = {
           and order_delivered_customer_date is not null
         group by 1""",
     "items_per_category_zero_filled": """
-        select t.product_category_name_english, round(coalesce(revenue, 0), 4) as revenue, coalesce(n_items, 0) as n_items
+        select t.product_category_name_english, round(coalesce(revenue, 0), 2) as revenue, coalesce(n_items, 0) as n_items
         from (select distinct product_category_name_english from v_category_translation) t
         left join category_sales s on s.product_category_name_english = t.product_category_name_english""",
     "dashboard_filtered_orders": f"""
         select order_id, customer_state, order_purchase_timestamp, {_round('delivery_delay_days total_order_value')}
         from chosen""",
     "dashboard_kpis": """
-        select round(coalesce(sum(total_order_value), 0), 4) as total_revenue, count(distinct order_id) as n_orders,
+        select round(coalesce(sum(total_order_value), 0), 2) as total_revenue, count(distinct order_id) as n_orders,
           round(avg(delivery_delay_days), 6) as avg_delay, round(avg(review_score_latest), 6) as avg_review_score
         from chosen""",
     "dashboard_kpi_table": """

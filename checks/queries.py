@@ -164,7 +164,7 @@ def top_tables_export(spark, sf_dir):
         categories.select(F.lit("category").alias("ranking"), F.col("product_category_name_english").alias("name"),
                           "revenue", "n_items")
         .unionByName(sellers.select(F.lit("seller").alias("ranking"), F.col("seller_id").alias("name"),
-                                    "revenue", "n_items")), 4)
+                                    "revenue", "n_items")), 2)
 
 
 @query
@@ -416,7 +416,7 @@ def monthly_orders_revenue(spark, sf_dir):
 @query
 def top_categories(spark, sf_dir):
     tables = prepared(spark, sf_dir)
-    return rounded(reports.top_categories(tables["order_items"], tables["products"]), 4)
+    return rounded(reports.top_categories(tables["order_items"], tables["products"]), 2)
 
 
 @query
@@ -437,7 +437,7 @@ def top_five_of_rankings(spark, sf_dir):
         five.select(F.lit("category").alias("ranking"), F.col(key).alias("name"), "revenue")
         .unionByName(five_sellers.select(
             F.lit("seller").alias("ranking"), F.col("seller_id").cast("string").alias("name"), "revenue"
-        )), 4)
+        )), 2)
 
 
 @query
@@ -460,7 +460,7 @@ def error_by_state(spark, sf_dir):
 @query
 def business_kpis(spark, sf_dir):
     orders = enriched(spark, sf_dir)
-    return rounded(reports.business_kpis(orders), 6, total_revenue=4)
+    return rounded(reports.business_kpis(orders), 6, total_revenue=2)
 
 
 @query
@@ -491,7 +491,7 @@ def items_per_category_zero_filled(spark, sf_dir):
     tables = prepared(spark, sf_dir)
     sales = reports.category_sales(tables["order_items"], tables["products"])
     domain = tables["category_translation"].select("product_category_name_english")
-    return rounded(fill_domain(sales, domain, "product_category_name_english", {"revenue": 0.0, "n_items": 0}), 4)
+    return rounded(fill_domain(sales, domain, "product_category_name_english", {"revenue": 0.0, "n_items": 0}), 2)
 
 
 # Dashboard -------------------------------------------------------------------------------------------------
@@ -512,7 +512,7 @@ def dashboard_filtered_orders(spark, sf_dir):
 
 @query
 def dashboard_kpis(spark, sf_dir):
-    return rounded(dashboard.dashboard_kpis(chosen(spark, sf_dir)), 6, total_revenue=4)
+    return rounded(dashboard.dashboard_kpis(chosen(spark, sf_dir)), 6, total_revenue=2)
 
 
 @query

@@ -136,16 +136,16 @@ def test_order_joins_share_one_partitioning(spark, smallest_dir):
 def test_hot_order_is_split_before_its_distance_mean(spark, smallest_dir):
     """Two thirds of all items belong to one order; the join is split although a mean per order follows."""
     with skew_settings(spark):
-        items = spark.range(0, 60000, 1, 8).select(
+        items = spark.range(0, 200000, 1, 8).select(
             F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id") % 900).alias("order_id"),
             (F.col("id") * 31 % 5000).alias("seller_id"),
         )
-        orders = spark.range(1000).select(F.col("id").alias("order_id"), (F.col("id") % 40).alias("customer_id"))
-        customers = spark.range(40).select(F.col("id").alias("customer_id"), (F.col("id") % 9).alias("customer_zip_code_prefix"))
-        sellers = spark.range(5000).select(F.col("id").alias("seller_id"), (F.col("id") % 9).alias("seller_zip_code_prefix"))
-        places = spark.range(90).select(
-            (F.col("id") % 9).alias("geolocation_zip_code_prefix"), (F.col("id") % 9 * 5.0).alias("geolocation_lat"),
-            (F.col("id") % 9 * 3.0).alias("geolocation_lng"),
+        orders = spark.range(1000).select(F.col("id").alias("order_id"), (F.col("id") % 400).alias("customer_id"))
+        customers = spark.range(400).select(F.col("id").alias("customer_id"), (F.col("id") % 900).alias("customer_zip_code_prefix"))
+        sellers = spark.range(5000).select(F.col("id").alias("seller_id"), (F.col("id") % 900).alias("seller_zip_code_prefix"))
+        places = spark.range(1800).select(
+            (F.col("id") % 900).alias("geolocation_zip_code_prefix"), (F.col("id") % 900 * 5.0).alias("geolocation_lat"),
+            (F.col("id") % 900 * 3.0).alias("geolocation_lng"),
         )
         distance = features.order_distance(orders, customers, sellers, places, items)
         assert distance.count() == 301
