@@ -38,6 +38,8 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
 def with_declared_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Coerce the columns named in ``types``; others, and already matching ones, stay as they are."""
     actual = dict(df.dtypes)
+    if all(actual.get(name, dtype) == dtype for name, dtype in types.items()):
+        return df
     return df.select(*[
         _coerce(name, types[name]) if name in types and actual[name] != types[name] else F.col(f"`{name}`")
         for name in df.columns
