@@ -26,13 +26,8 @@ def lookup_join(
     on: str | Sequence[str],
     left_suffix: str = "",
     right_suffix: str = "_right",
-    keep_spread: bool = False,
 ) -> DataFrame:
-    """``left`` with the columns of ``right`` attached by equal keys.
-
-    Columns both sides share get the suffixes. ``keep_spread`` leaves the key hash as column ``SPREAD``, so that
-    an aggregation by the key can name it too and reuse the partitioning.
-    """
+    """``left`` with the columns of ``right`` attached by equal keys. Columns both sides share get the suffixes."""
     keys = [on] if isinstance(on, str) else list(on)
     shared = (set(left.columns) & set(right.columns)) - set(keys)
     if shared and left_suffix == right_suffix:
@@ -43,4 +38,4 @@ def lookup_join(
         right = right.withColumnsRenamed({name: name + right_suffix for name in shared})
     spread = F.xxhash64(*keys)
     joined = left.withColumn(SPREAD, spread).join(right.withColumn(SPREAD, spread), [*keys, SPREAD], "left")
-    return joined if keep_spread else joined.drop(SPREAD)
+    return joined.drop(SPREAD)

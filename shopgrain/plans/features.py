@@ -12,7 +12,7 @@ from ..functions import (
     days_between, false_if_null, finite_or_null, haversine_km, month_start, safe_ratio, sum_or_zero,
     zero_if_null,
 )
-from ..operators import SPREAD, fill_domain, keep_known_keys, lookup_join
+from ..operators import fill_domain, keep_known_keys, lookup_join
 from .assembly import attach_order_facts
 
 
@@ -171,7 +171,7 @@ def order_distance(
     """Mean customer-to-seller distance per order.
 
     The customer's position is looked up once per order, not once per item; items carry two keys and two
-    coordinates through one shuffle, whose partitioning the final mean reuses.
+    coordinates through one shuffle, and the mean is begun before the next one, to one row per order.
     """
     centroids = zip_centroids(geolocation)
     order_points = lookup_join(
@@ -185,10 +185,9 @@ def order_distance(
         F.col("customer_lat"), F.col("customer_lng"), F.col("seller_lat"), F.col("seller_lng")
     )
     return (
-        lookup_join(item_points, order_points, "order_id", keep_spread=True)
-        .groupBy("order_id", SPREAD)
+        lookup_join(item_points, order_points, "order_id")
+        .groupBy("order_id")
         .agg(F.avg(distance).alias("distance_km_mean"))
-        .drop(SPREAD)
     )
 
 

@@ -17,10 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # A hot join key is split over several tasks, also where that costs one more shuffle before a
-    # following aggregation on the same key (item -> order distance).
+    # A hot join key is split over several tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -154,6 +154,12 @@ def test_hot_order_is_split_before_its_distance_mean(spark, smallest_dir):
         assert "skew=true" in plan_of(run)
 
 
+def test_customer_aggregates_do_not_compute_unused_facts(spark, smallest_dir):
+    """Payments and distances are one row per order, so the customer branch drops both joins."""
+    plan = plan_of(registered.enriched(spark, smallest_dir).select("order_id", "customer_n_orders"))
+    assert "mode(" not in plan and "ASIN" not in plan
+
+
 def test_hot_customer_is_split_by_adaptive_execution(spark, smallest_dir):
     """One customer holds most orders; the join on customer_id is planned with skewed partitions split."""
     with skew_settings(spark):
