@@ -21,7 +21,7 @@ from shopgrain.operators import (  # noqa: E402
     at_or_above_quantile, box_stats, correlation_matrix, exact_sample, histogram, missingness, stratified_split,
 )
 from shopgrain.plans import assembly, dashboard, features, reports  # noqa: E402
-from shopgrain.session import build_session, configure  # noqa: E402
+from shopgrain.session import build_session, configure, materialize  # noqa: E402
 
 
 def order_distances(spark, sf):
@@ -63,7 +63,9 @@ HEADLINE = {
     "dashboard_kpis": lambda s, sf: dashboard.dashboard_kpis(q.chosen(s, sf), unique_orders=True),
     "dashboard_delay_by_state": lambda s, sf: dashboard.delay_by_state(q.chosen(s, sf)),
     "dashboard_top_customers": lambda s, sf: reports.top_customers_of_orders(q.chosen(s, sf)),
-    "high_value_customers": lambda s, sf: at_or_above_quantile(customer_value(s, sf), "customer_total_revenue", 0.95),
+    "high_value_customers": lambda s, sf: at_or_above_quantile(
+        materialize(customer_value(s, sf)), "customer_total_revenue", 0.95
+    ),
     "base_missingness": lambda s, sf: missingness(q.base_orders(s, sf)),
     "correlation_of_order_facts": lambda s, sf: correlation_matrix(q.base_with_delivery(s, sf), q.CORRELATED),
     "delay_histogram": lambda s, sf: histogram(q.deliveries(s, sf), "delivery_delay_days"),

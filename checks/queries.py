@@ -471,7 +471,7 @@ def kpi_table(spark, sf_dir):
 @query
 def high_value_customers(spark, sf_dir):
     """Customers at or above the 95th percentile of revenue."""
-    value = features.customer_value(order_values(spark, sf_dir), unique_orders=True)
+    value = materialize(features.customer_value(order_values(spark, sf_dir), unique_orders=True))
     return rounded(at_or_above_quantile(value, "customer_total_revenue", 0.95), 6, customer_avg_order_value=8)
 
 
@@ -627,7 +627,7 @@ def price_freight_sample(spark, sf_dir):
 def pair_plot_sample(spark, sf_dir):
     """2,000 orders with all correlated columns present."""
     complete = base_with_delivery(spark, sf_dir).select("order_id", *CORRELATED).dropna()
-    return rounded(exact_sample(complete, 2_000, ["order_id"]))
+    return rounded(exact_sample(materialize(complete), 2_000, ["order_id"]))
 
 
 # Splits and preprocessing ----------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nan_to_null
 from ..operators import exact_quantiles, hash_split, stratified_split
+from ..session import materialize
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -48,7 +49,8 @@ def build_review_dataset(
         raise KeyError("neither review_score nor review_score_latest is a column of the orders")
     columns = list(dict.fromkeys([*keep, *inputs]))
     rows = orders.where(F.col(score).isNotNull()).select(*columns, F.col(score).cast("int").alias("label"))
-    return stratified_split(rows, ["order_id"], "label", seed=seed)
+    # The split reads its rows three times.
+    return stratified_split(materialize(rows), ["order_id"], "label", seed=seed)
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -140,10 +142,19 @@ def numeric_constants(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 
 def category_modes(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    """Most frequent present value (smallest on a tie) of each categorical feature, as one row."""
-    return train.agg(*[
-        F.coalesce(F.mode(F.col(name).cast("string"), True), F.lit("")).alias(name) for name in categorical
-    ])
+    """Most frequent present value (smallest on a tie) of each categorical feature, as one row.
+
+    Values are counted in a grouped aggregation first, so a feature of many values fills no single buffer.
+    """
+    counts = train.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("value")) for name in categorical
+    ]))).groupBy("feature", "value").agg(F.count("value").alias("n_rows"))
+
+    def first_of(name):
+        own = (F.col("feature") == name) & F.col("value").isNotNull()
+        return F.min(F.when(own, F.struct(-F.col("n_rows"), F.col("value").alias("value"))))["value"]
+
+    return counts.agg(*[F.coalesce(first_of(name), F.lit("")).alias(name) for name in categorical])
 
 
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preprocessor:

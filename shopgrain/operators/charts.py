@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .aggregates import double_or_null
 from .order_stats import exact_quantiles
 
@@ -75,7 +76,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 
 def _with_fences(df: DataFrame, value: str, by: str, reach: float) -> DataFrame:
-    rows = df.select(by, double_or_null(value).alias(value)).dropna()
+    rows = materialize(df.select(by, double_or_null(value).alias(value)).dropna())  # two columns, read three times
     quartiles = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
     spread = F.col("q3") - F.col("q1")
     fences = quartiles.select(

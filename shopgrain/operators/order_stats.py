@@ -137,7 +137,7 @@ def exact_quantiles(
 
 
 def at_or_above_quantile(df: DataFrame, value: str, fraction: float) -> DataFrame:
-    """Rows whose ``value`` is at least the given quantile of all rows."""
+    """Rows whose ``value`` is at least the given quantile of all rows. ``df`` is read three times."""
     cut = exact_quantiles(df, value, {"cut": fraction}).scalar()
     return df.where(F.col(value) >= cut)
 

@@ -33,7 +33,8 @@ def stratified_split(
 ) -> DataFrame:
     """``test`` for exactly ``ceil(test_fraction * n)`` rows of each label, given unique keys.
 
-    The cut is an exact order statistic of the hash per label, so no label is sorted in one task.
+    The cut is an exact order statistic of the hash per label, so no label is sorted in one task. ``df`` is read
+    three times; pass a stored or staged table.
     """
     hashed = df.withColumn("_hash", hash_rank(keys, seed))
     cuts = lowest_share(hashed, "_hash", [label], test_fraction, whole_interval_rows)
@@ -48,7 +49,8 @@ def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> D
     """``min(n, rows)`` rows: those with the smallest hash, further ordered by the keys.
 
     At most about ``2 n`` rows reach the final sort: a hash limit is derived from the row count, and it is
-    lifted if, against all odds (a key shared by very many rows), fewer than ``n`` rows pass it.
+    lifted if, against all odds (a key shared by very many rows), fewer than ``n`` rows pass it. ``df`` is read three times; pass a stored or
+    staged table.
     """
     hashed = df.withColumn("_hash", hash_rank(keys, seed)).withColumn("_order", hash_hex(keys, seed))
     share = F.lit(2.0 * n + 1000.0) / F.greatest(F.count(F.lit(1)), F.lit(1))
