@@ -21,7 +21,7 @@ from shopgrain.operators import (  # noqa: E402
     at_or_above_quantile, box_stats, correlation_matrix, exact_sample, histogram, missingness, stratified_split,
 )
 from shopgrain.plans import assembly, dashboard, features, reports  # noqa: E402
-from shopgrain.session import build_session, configure, materialize  # noqa: E402
+from shopgrain.session import build_session, configure, materialize, name_local_folder  # noqa: E402
 
 
 def order_distances(spark, sf):
@@ -98,7 +98,7 @@ def main() -> None:
             "spark.ui.showConsoleProgress": "false",
         },
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    name_local_folder(spark).sparkContext.setLogLevel("ERROR")
     times = {}
     for name in sys.argv[1:] or HEADLINE:
         run(spark, name, sf_dir)

@@ -23,7 +23,7 @@ from shopgrain.operators import (
 from shopgrain.plans import assembly, cleaning, dashboard, features, reports
 from shopgrain.plans.workflow import prepare_tables, run_workflow
 from shopgrain.schemas import TABLE_COLUMNS
-from shopgrain.session import configure, materialize, stage_path
+from shopgrain.session import configure, materialize, name_local_folder, stage_path
 from shopgrain.sources import (
     load_enriched_orders, load_optional, load_star_schema, load_tables, scan_csv, with_declared_types,
     write_enriched_orders, write_top_tables,
@@ -46,7 +46,7 @@ CORRELATED = (
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(configure(spark), sf_dir)
+        return fn(name_local_folder(configure(spark)), sf_dir)
 
     QUERIES[fn.__name__] = run
     return fn

@@ -44,17 +44,22 @@ def _own_dir(application_id: str) -> str:
     return tempfile.mkdtemp(prefix="shopgrain-")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
+def name_local_folder(spark: SparkSession) -> SparkSession:
+    """For checks, benchmarks and tests on one machine: name a temporary folder where none is named.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    The library itself never calls this. A session on a cluster is left as it is.
     """
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", _own_dir(spark.sparkContext.applicationId))
+    return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _own_dir(spark.sparkContext.applicationId)
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+    return named.rstrip("/")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from shopgrain.session import build_session
+    from shopgrain.session import build_session, name_local_folder
 
     session = build_session(
         "tests", "local[4]",
@@ -19,7 +19,7 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
         },
     )
-    session.sparkContext.setLogLevel("OFF")
+    name_local_folder(session).sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
 
