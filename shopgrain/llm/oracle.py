@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shopgrain.llm.quality_votes import ABSTAIN, BAD, FUNCTION_WORDS, GOOD, RULES
+from shopgrain.llm.warc import BASE32, BREAKS, DIGITS, ENTITIES, HIDDEN, TAGS
 
 WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -72,7 +73,62 @@ select x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 from votes x, p{rounds} p"""
 
 
+def warc_derivatives() -> str:
+    def uuid(*parts: str) -> str:
+        h = "sha1(concat_ws(chr(10), " + ", ".join(f"coalesce({p}::varchar, '')" for p in parts) + "))"
+        return (f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || "
+                f"substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'")
+
+    def digest(text: str) -> str:
+        groups = " || ".join(
+            f"to_base(('0x' || substr(sha1({text}), {5 * k + 1}, 5))::bigint, 32, 4)" for k in range(8)
+        )
+        return f"'sha1:' || translate({groups}, '{DIGITS}', '{BASE32}')"
+
+    plain = "payload"
+    for pattern, by in ((HIDDEN, "' '"), (BREAKS, "chr(10)"), (TAGS, "''")):
+        plain = f"regexp_replace({plain}, '{pattern}', {by}, 'g')"
+    for name, character in ENTITIES.items():
+        if name != "amp":
+            plain = f"replace({plain}, '&{name};', '{character.replace(chr(39), chr(39) * 2)}')"
+    crlf = "chr(13) || chr(10)"
+    return rf"""
+with source as (select page_id, url, coalesce(html, '') as payload from pages),
+blocks as (select *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} ||
+  'Content-Length: ' || strlen(payload) || {crlf} || {crlf} || payload as block from source),
+responses as (select *, {uuid("'response'", "page_id", "url", "sha1(payload)")} as refers_to,
+  {digest("payload")} as payload_digest, {digest("block")} as source_digest from blocks),
+named as (select *, {uuid("'metadata'", "refers_to")} as metadata_id,
+  {uuid("'conversion'", "refers_to")} as conversion_id, {plain} as marked from responses),
+decoded as (select *, replace(list_reduce(list_distinct(regexp_extract_all(marked, '&#([0-9]{{1,7}});', 1)),
+  lambda t, n: replace(t, '&#' || n || ';', chr(n::int)), marked), '&amp;', '&') as decoded from named),
+texts as (select *, trim(regexp_replace(regexp_replace(decoded, '[ \t\x0B\f\r\x{{A0}}]+', ' ', 'g'),
+  ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) as plain from decoded),
+records as (
+  select page_id, metadata_id as record_id, 'metadata' as warc_type, refers_to, url as target_uri,
+    'application/warc-fields' as content_type, payload_digest as source_payload_digest,
+    'http-status: HTTP/1.1 200 OK' || {crlf} || 'http-header: Content-Type: text/html; charset=utf-8' || {crlf} ||
+    'http-header: Content-Length: ' || strlen(payload) || {crlf} || 'source-block-digest: ' || source_digest || {crlf} ||
+    'source-payload-digest: ' || payload_digest || {crlf} || 'conversion: ' || conversion_id || {crlf} as block from texts
+  union all
+  select page_id, conversion_id, 'conversion', refers_to, url, 'text/plain; charset=utf-8', payload_digest, plain
+  from texts)
+select page_id, record_id, warc_type, refers_to, target_uri, '2024-01-01T00:00:00Z' as date, content_type,
+  strlen(block) as content_length, {digest("block")} as block_digest, source_payload_digest, block from records"""
+
+
+PIVOT_SEARCH = """
+with vectors as (select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+scored as (select q.vec_id as query_id, v.vec_id, list_dot_product(q.x, v.x)::bigint as score
+  from vectors q join vectors v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5"""
+
+
 def oracle() -> dict[str, str]:
     return {
+        "op1_warc_derivatives": warc_derivatives(),
+        "op2_pivot_search": PIVOT_SEARCH,
         "op4_quality_votes": quality_votes(),
     }

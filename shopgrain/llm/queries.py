@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import quality_votes
+from shopgrain.llm import pivot_index, quality_votes, warc
 from shopgrain.session import configure, name_local_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+
+
+@query
+def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_index.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return pivot_index.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_votes.judge(table(spark, sf_dir, "documents"))
