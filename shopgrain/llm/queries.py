@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import pivot_index, quality_votes, warc
+from shopgrain.llm import mincut_html, pivot_index, quality_votes, url_trees, warc
 from shopgrain.session import configure, name_local_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,14 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         *[F.col(f"v_{rule.name}").alias(f"vote_{rule.name}") for rule in quality_votes.RULES],
     )
+
+
+@query
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query
+def op8_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mincut_html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
