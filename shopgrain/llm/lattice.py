@@ -5,11 +5,13 @@ crosses: a run of spaces with what follows it, or a line feed. Each distinct uni
 
 1. its substrings of at most the longest piece's length are exploded and joined to the piece table;
 2. the matches, edges from a start to an end with a score, are grouped by unit;
-3. an ``aggregate`` over the edges in order of their ends keeps the best score and last edge for each end (Viterbi),
-   and a second one walks back. Of equal scores the edge that starts first wins.
+3. a fold with ``aggregate`` turns the edges into ids. ``viterbi``, for unigram tables, goes over the edges in order of
+   their ends, keeps the best score and last edge for each end, and walks back; of equal scores the edge that starts
+   first wins. ``merges``, for tables of merged pairs, starts from single characters and takes, again and again, the edge
+   with the best score (then the first) that joins two neighbours; scores of such tables are ranks, and their best sum
+   is not the model's encoding.
 
-Characters without a piece become their UTF-8 bytes. The result is the best-scoring segmentation of the piece table,
-which is what the model's library gives in unigram mode.
+Characters without a piece become their UTF-8 bytes.
 
 Way back to the documents: units of a bounded dictionary of frequent ones are encoded where the document stands; the
 others are joined. The result has a row for each *segment*: a maximal run of frequent units, or one other unit. The
@@ -22,6 +24,7 @@ segments of a document in order of ``seg`` are its ids. So no text is shuffled,
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -144,6 +147,37 @@ def viterbi(edges: Column) -> Column:
     return F.aggregate(edges, start, step, walk)
 
 
+def merges(edges: Column, n: Column) -> Column:
+    """The ids after all merges; ``edges`` hold every single character."""
+    ranked = F.sort_array(F.transform(
+        F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct((-x["score"]).alias("rank"), x["s"], x["e"])
+    ))
+
+    def fold(pairs: Column) -> Column:
+        def joins_two(cuts: Column, x: Column) -> Column:
+            at = F.array_position(cuts, x["s"]).cast("int")
+            return (at > 0) & (F.get(cuts, at + 1) == x["e"])
+
+        def step(a: Column, _: Column) -> Column:
+            def taken(hit: Column) -> Column:
+                between = F.get(a["cuts"], F.array_position(a["cuts"], hit["s"]).cast("int"))
+                return F.when(hit.isNull(), F.struct(a["cuts"], F.lit(True).alias("done"))).otherwise(
+                    F.struct(F.array_remove(a["cuts"], between).alias("cuts"), F.lit(False).alias("done")))
+
+            hit = F.get(F.filter(pairs, lambda x: joins_two(a["cuts"], x)), F.lit(0))
+            return F.when(a["done"], a).otherwise(bound(hit, taken))
+
+        start = F.struct(F.sequence(F.lit(0), n).alias("cuts"), (F.size(pairs) == 0).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["cuts"])
+
+    def ids(cuts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda k: F.get(F.filter(
+            edges, lambda x: (x["s"] == F.get(cuts, k)) & (x["e"] == F.get(cuts, k + 1))
+        ), F.lit(0))["id"])
+
+    return bound(bound(ranked, fold), ids)
+
+
 def viterbi_of_long(edges: pd.Series) -> pd.Series:
     """The same over the same edges, for long units."""
     out = []
@@ -161,6 +195,45 @@ def viterbi_of_long(edges: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def merges_of_long(edges: pd.Series) -> pd.Series:
+    """The same over the same edges, for long units: a queue holds the edges that join two neighbours."""
+    out = []
+    for rows in edges:
+        ids = {(x["s"], x["e"]): x["id"] for x in rows}
+        scores = {(x["s"], x["e"]): x["score"] for x in rows}
+        n = max(e for _, e in ids)
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        queue: list[tuple[float, int, int, int]] = []
+
+        def offer(s: int) -> None:
+            middle = after[s]
+            if middle < n and (s, after[middle]) in ids:
+                heapq.heappush(queue, (-scores[s, after[middle]], s, middle, after[middle]))
+
+        for s in range(n - 1):
+            offer(s)
+        while queue:
+            _, s, middle, e = heapq.heappop(queue)
+            if before[middle] == s and after[s] == middle and after[middle] == e:
+                after[s], before[middle] = e, -9
+                if e <= n - 1:
+                    before[e] = s
+                offer(s)
+                if s:
+                    offer(before[s])
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(after[cuts[-1]])
+        out.append([ids[c] for c in zip(cuts, cuts[1:])])
+    return pd.Series(out)
+
+
+FOLDS = {
+    "viterbi": (lambda: viterbi(F.col("edges")), viterbi_of_long),
+    "merges": (lambda: merges(F.col("edges"), F.length("unit")), merges_of_long),
+}
+
+
 def with_bytes(unit: Column, ids: Column, byte_ids: tuple[int, ...]) -> Column:
     """Unknown characters as ids of their bytes."""
     known = F.array(*map(F.lit, byte_ids))
@@ -175,10 +248,13 @@ def with_bytes(unit: Column, ids: Column, byte_ids: tuple[int, ...]) -> Column:
     return F.when(F.exists(ids, lambda i: i < 0), F.flatten(F.transform(ids, expanded))).otherwise(ids)
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+def encode_units(units: DataFrame, pieces: Pieces, fold: str = "merges", long_from: int = LONG) -> DataFrame:
     """``unit`` and ``ids`` of distinct units."""
-    short = edges_of(units.where(F.length("unit") <= LONG), pieces).withColumn("ids", viterbi(F.col("edges")))
-    long = edges_of(units.where(F.length("unit") > LONG), pieces).withColumn("ids", F.pandas_udf(viterbi_of_long, "array<int>")("edges"))
+    of_short, of_long = FOLDS[fold]
+    short = edges_of(units.where(F.length("unit") <= long_from), pieces).withColumn("ids", of_short())
+    long = edges_of(units.where(F.length("unit") > long_from), pieces).withColumn(
+        "ids", F.pandas_udf(of_long, "array<int>")("edges")
+    )
     both = short.select("unit", "ids").unionByName(long.select("unit", "ids"))
     return both.select("unit", with_bytes(F.col("unit"), F.col("ids"), pieces.byte_ids).alias("ids"))
 
@@ -233,12 +309,14 @@ def _segments(documents: DataFrame, frequent_ids, others: bool) -> DataFrame:
     )
 
 
-def encode(documents: DataFrame, model_file: str, frequent_units: int = 300_000) -> DataFrame:
+def encode(
+    documents: DataFrame, model_file: str, fold: str = "merges", frequent_units: int = 300_000,
+) -> DataFrame:
     """Segments of all documents: doc_id, seg, ids."""
     spark: SparkSession = documents.sparkSession
     pieces = load_pieces(model_file)
     counts = materialize(count_units(documents.select("text"), split_units), "units")
-    encoded = materialize(encode_units(counts, pieces), "encoded")
+    encoded = materialize(encode_units(counts, pieces, fold), "encoded")
     chosen = frequent(counts, frequent_units).select("unit")
     table = encoded.join(chosen, "unit", "left_semi").toPandas()  # at most frequent_units rows
     known = spark.sparkContext.broadcast({

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import mincut_html, pivot_index, quality_votes, url_trees, warc
+from shopgrain.llm import edit_counts, lattice, mincut_html, pivot_index, quality_votes, url_trees, warc
 from shopgrain.session import configure, name_local_folder
 
+TOKENIZERS = "/opt/tokenizers"
+# Fixed value: how the byte-level vocabulary splits a text before encoding.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -23,6 +28,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file stands; on a cluster, the path on every machine."""
+    return str(Path(TOKENIZERS) / name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +48,12 @@ def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    revised = edit_counts.revisions(table(spark, sf_dir, "documents"))
+    return edit_counts.recount(revised, tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+
+
 @query
 def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_votes.judge(table(spark, sf_dir, "documents"))
@@ -56,3 +72,9 @@ def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return mincut_html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return lattice.decode(lattice.encode(table(spark, sf_dir, "documents"), model), model)
