@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopgrain.llm.common import computed
+from shopgrain.llm.common import bound, computed
 
 CRLF = "\r\n"
 # Character references, the ampersand last.
@@ -61,14 +61,19 @@ def plain_text(html: Column) -> Column:
     for name, character in ENTITIES.items():
         if name != "amp":
             text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
-    text = F.aggregate(numbers, text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), code_point(n)))
+    text = bound(text, with_numbers)
     text = F.replace(text, F.lit("&amp;"), F.lit("&"))
-    text = F.regexp_replace(text, r"[ \t\x0B\f\r\xA0]+", " ")
+    text = F.regexp_replace(text, r"[ \t\x0B\f\r\xA0]{2,}|[\t\x0B\f\r\xA0]", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
 
+def with_numbers(text: Column) -> Column:
+    """Decimal character references replaced, each number once."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1)))
+    return F.aggregate(numbers, text, lambda t, n: F.replace(t, F.concat(F.lit("&#"), n, F.lit(";")), code_point(n)))
+
+
 def code_point(digits: Column) -> Column:
     """The character of a decimal number; numbers that name none give U+FFFD."""
     number = digits.cast("int")
