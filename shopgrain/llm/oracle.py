@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shopgrain.llm.mixing import MARGINS, SEED, SWEEPS
 from shopgrain.llm.quality_votes import ABSTAIN, BAD, FUNCTION_WORDS, GOOD, RULES
 from shopgrain.llm.warc import BASE32, BREAKS, DIGITS, ENTITIES, HIDDEN, TAGS
 
@@ -126,9 +127,47 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5"""
 
 
+def mixing_weights(sweeps: int = SWEEPS, power: float = 0.8) -> str:
+    """Raking as a chain: one table of factors for each margin and sweep."""
+    steps = []
+    for margin in MARGINS:
+        steps.append(
+            f"share_{margin} as materialized (select {margin}, share / sum(share) over () as share from "
+            f"(select {margin}, pow(sum(n_tokens)::double, {power}) as share from cells where n_tokens > 0 group by {margin}))"
+        )
+    last: dict[str, str] = {}
+    for k in range(sweeps):
+        for margin in MARGINS:
+            joins = " ".join(f"join {table} using ({other})" for other, table in last.items() if other != margin)
+            weight = " * ".join(["n_tokens::double", *[f"f_{o}" for o in last if o != margin]])
+            steps.append(
+                f"{margin}_{k} as materialized (select {margin}, share / weight as f_{margin} from (select {margin}, "
+                f"sum({weight}) as weight from cells {joins} where n_tokens > 0 group by {margin}) "
+                f"join share_{margin} using ({margin}))"
+            )
+            last[margin] = f"{margin}_{k}"
+    joins = " ".join(f"left join {table} using ({margin})" for margin, table in last.items())
+    weight = " * ".join(f"coalesce(f_{margin}, 1)" for margin in MARGINS)
+    return rf"""
+with counted as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as text,
+  len({WORDS.format(text="coalesce(text, '')")})::bigint as n_tokens from documents),
+described as (select doc_id, source, lang, n_tokens, case when n_tokens < 80 then 'short'
+  when (length(text) - length(replace(text, '|', ''))) * 20 >= n_tokens then 'list'
+  when length(regexp_replace(text, '[^0-9]', '', 'g')) * 50 >= length(text) then 'figures' else 'prose' end as topic
+  from counted),
+cells as materialized (select source, lang, topic, sum(n_tokens)::bigint as n_tokens from described group by all),
+{", ".join(steps)},
+weights as materialized (select source, lang, topic, {weight} as weight, n_tokens > 0 as filled from cells {joins}),
+placed as (select described.*, least(weight / (select max(weight) from weights where filled), 1) as p,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{SEED}'), 1, 13))::bigint / {16 ** 13}.0::double as place
+  from described join weights using (source, lang, topic))
+select doc_id, source, lang, topic, n_tokens, round(p, 9) as probability, place < p as sampled from placed"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op1_warc_derivatives": warc_derivatives(),
         "op2_pivot_search": PIVOT_SEARCH,
         "op4_quality_votes": quality_votes(),
+        "op5_mixing_weights": mixing_weights(),
     }

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import edit_counts, lattice, mincut_html, pivot_index, quality_votes, url_trees, warc
+from shopgrain.llm import edit_counts, lattice, log_bilinear, mincut_html, mixing, pivot_index, quality_votes, url_trees, warc
 from shopgrain.session import configure, name_local_folder
 
 TOKENIZERS = "/opt/tokenizers"
@@ -63,6 +63,14 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = mixing.weigh(table(spark, sf_dir, "documents"))
+    return weighed.select(
+        "row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "sampled"
+    )
+
+
 @query
 def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -78,3 +86,8 @@ def op8_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
     return lattice.decode(lattice.encode(table(spark, sf_dir, "documents"), model), model)
+
+
+@query
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(table(spark, sf_dir, "documents"))
