@@ -23,7 +23,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,25 +183,28 @@ def apply_edit(text: str, tree: TokenTree, start: int, stop: int, new: str, spli
 def recount(df: DataFrame, file: str, pattern: str) -> DataFrame:
     """Counts before and after ``edits`` (an array of start, stop, replacement) for rows of doc_id, text, edits."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    id_type = dict(df.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = tokenizer(file, pattern)
         for batch in batches:
-            out = []
-            for doc_id, text, edits in zip(batch["doc_id"], batch["text"], batch["edits"]):
-                text = text if isinstance(text, str) else ""
+            out: list[tuple[int, ...]] = []
+            for text, edits in zip(batch.column(1), batch.column(2)):
+                text = text.as_py() or ""
                 tree = build_tree(text, split, counts)
                 before, pieces = tree.n_tokens, sum(map(len, tree.lengths))
                 n_edits = encoded = 0
-                for edit in edits if edits is not None else ():
+                for edit in edits.as_py() or ():
                     if edit is not None and edit["start"] is not None:
                         stop = edit["start"] if edit["stop"] is None else edit["stop"]
                         text, n = apply_edit(text, tree, edit["start"], stop, edit["replacement"] or "", split, counts)
                         n_edits, encoded = n_edits + 1, encoded + n
-                out.append((doc_id, n_edits, pieces, before, encoded, sum(map(len, tree.lengths)), tree.n_tokens, len(text)))
-            yield pd.DataFrame(out, columns=NAMES).astype({c: "int64" for c in NAMES[1:]})
+                out.append((n_edits, pieces, before, encoded, sum(map(len, tree.lengths)), tree.n_tokens, len(text)))
+            columns = zip(*out) if out else [()] * (len(NAMES) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], NAMES)
 
-    return df.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits")).mapInPandas(
-        run, f"doc_id {dict(df.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in NAMES[1:])
+    return df.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(
+        run, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in NAMES[1:])
     )
 
 
@@ -211,7 +214,9 @@ NAMES = ["doc_id", "n_edits", "n_pretokens", "n_tokens", "n_encoded", "n_pretoke
 def attach_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
     """Documents with their rows of an edit table (doc_id, seq, start, stop, replacement) as an array in order of seq."""
     entry = F.struct("seq", "start", "stop", "replacement")
-    grouped = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("edits"))
+    ordered = F.sort_array(F.collect_list(entry))
+    plain = F.transform(ordered, lambda x: F.struct(x["start"], x["stop"], x["replacement"]))
+    grouped = edits.groupBy("doc_id").agg(plain.cast(EDITS).alias("edits"))
     return documents.select("doc_id", "text").join(grouped, "doc_id", "left")
 
 

@@ -227,7 +227,7 @@ def fit_classifier(pages: DataFrame, html_column: str = "html", max_pages: int =
                     if b.aside or b.main:
                         x.append(f)
                         y.append(0.0 if b.aside else 1.0)
-            yield pd.DataFrame({"x": x, "label": y})
+            yield pd.DataFrame({"x": pd.Series(x, dtype=object), "label": pd.Series(y, dtype=float)})
 
     rows = sample.mapInPandas(examples, "x array<double>, label double").cache()
     try:
