@@ -145,6 +145,16 @@ STEPS |= {
         select * replace (coalesce(delivery_delay_days, 0) as delivery_delay_days) from enriched
         where customer_state in {STATES}
           and order_purchase_timestamp between timestamp '{START}' and timestamp '{END}'""",
+    "chosen_kpis": """
+        select coalesce(sum(total_order_value), 0) as total_revenue, count(distinct order_id)::double as n_orders,
+          avg(delivery_delay_days) as avg_delay, avg(review_score_latest) as avg_review_score from chosen""",
+    "chosen_customers": """
+        select customer_id, max(customer_total_revenue) as revenue from chosen group by 1
+        order by revenue desc, customer_id limit 15""",
+    "first_categories": """
+        select * from category_sales order by revenue desc, product_category_name_english limit 10""",
+    "first_sellers": """
+        select * from seller_sales order by revenue desc, seller_id limit 10""",
     "delay_rows": f"""
         select order_id, customer_state, items_price_sum, freight_value_sum, payment_value_sum, n_items,
           total_order_value, distance_km_mean, delivery_estimated_days, purchase_month, purchase_hour,
@@ -493,6 +503,20 @@ _BODIES: dict[str, str] = {
         select review_score_latest, count(*) as n_orders from chosen where review_score_latest is not null group by 1""",
     "dashboard_delay_vs_review": f"""
         select order_id, {_round('delivery_delay_days')}, review_score_latest from chosen""",
+    "dashboard_refresh": """
+        select dataset, label, round(value::double, 2) as value from (
+          select 'kpis' as dataset, unnest(['total_revenue', 'n_orders', 'avg_delay', 'avg_review_score']) as label,
+            unnest([total_revenue, n_orders, avg_delay, avg_review_score]) as value from chosen_kpis
+          union all select 'top_categories', product_category_name_english, n_items from first_categories
+          union all select 'top_sellers', seller_id::varchar, n_items from first_sellers
+          union all select 'delay_by_state', customer_state, avg(delivery_delay_days) from chosen group by 2
+          union all select 'top_customers', customer_id::varchar, revenue from chosen_customers
+          union all select 'review_scores', review_score_latest::varchar, count(*) from chosen
+            where review_score_latest is not null group by 2
+          union all select 'delay_vs_review', order_id::varchar, delivery_delay_days from chosen)""",
+    "price_quantiles_by_product": """
+        select product_id, round(quantile_cont(price, 0.25), 6) as q1, round(quantile_cont(price, 0.5), 6) as median,
+          round(quantile_cont(price, 0.75), 6) as q3 from c_items group by 1""",
     "state_options": """
         select distinct customer_state from c_orders o join c_customers c on o.customer_id = c.customer_id
         where customer_state is not null""",

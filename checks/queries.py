@@ -17,7 +17,7 @@ from shopgrain.ml import (
 from shopgrain.ml.prepare import category_modes, numeric_constants
 from shopgrain.ml.train import binary_estimators, review_estimators
 from shopgrain.operators import (
-    at_or_above_quantile, box_outliers, box_stats, correlation_matrix, count_by, exact_sample, fill_domain,
+    at_or_above_quantile, box_outliers, box_stats, correlation_matrix, count_by, exact_quantiles, exact_sample, fill_domain,
     hash_split, histogram, keep_first, lookup_join, missingness, stratified_split, table_profile, top_k,
 )
 from shopgrain.plans import assembly, cleaning, dashboard, features, reports
@@ -35,7 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # One choice of dashboard filters.
-STATES = ("BRAZIL", "CANADA", "FRANCE", "INDIA", "CHINA")
+STATES = ("NATION_1", "NATION_3", "NATION_7", "NATION_12", "NATION_20")
 START, END = "1996-01-01", "1998-06-30 12:00:00"
 
 CORRELATED = (
@@ -498,7 +498,8 @@ def items_per_category_zero_filled(spark, sf_dir):
 
 
 def chosen(spark, sf_dir):
-    orders = enriched(spark, sf_dir)
+    """The stored enriched table, filtered as a request would."""
+    orders = materialize(staged_enriched(spark, sf_dir))
     orders = orders.withColumn("delivery_delay_days", F.coalesce("delivery_delay_days", F.lit(0.0)))
     return dashboard.filter_orders(orders, STATES, START, END)
 
@@ -540,6 +541,35 @@ def dashboard_delay_vs_review(spark, sf_dir):
     return rounded(dashboard.delay_review_pairs(chosen(spark, sf_dir)))
 
 
+@query
+def dashboard_refresh(spark, sf_dir):
+    """All seven datasets of one refresh, as rows of (dataset, label, value)."""
+    tables = prepared(spark, sf_dir)
+    shown = dashboard.refresh(
+        chosen(spark, sf_dir), reports.top_categories(tables["order_items"], tables["products"]),
+        reports.top_sellers(tables["order_items"]),
+    )
+
+    def part(name, df, label, value):
+        return df.select(
+            F.lit(name).alias("dataset"), F.col(label).cast("string").alias("label"),
+            F.round(F.col(value).cast("double"), 2).alias("value"),
+        )
+
+    kpis = shown.kpis.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("label"), F.col(name).cast("double").alias("value")) for name in shown.kpis.columns
+    ])))
+    return (
+        part("kpis", kpis, "label", "value")
+        .unionByName(part("top_categories", shown.top_categories, "product_category_name_english", "n_items"))
+        .unionByName(part("top_sellers", shown.top_sellers, "seller_id", "n_items"))
+        .unionByName(part("delay_by_state", shown.delay_by_state, "customer_state", "avg_delay"))
+        .unionByName(part("top_customers", shown.top_customers, "customer_id", "customer_total_revenue"))
+        .unionByName(part("review_scores", shown.review_scores, "review_score_latest", "n_orders"))
+        .unionByName(part("delay_vs_review", shown.delay_vs_review, "order_id", "delivery_delay_days"))
+    )
+
+
 @query
 def state_options(spark, sf_dir):
     tables = clean(spark, sf_dir, "orders", "customers")
@@ -601,6 +631,13 @@ def delay_outliers_by_score(spark, sf_dir):
     ))
 
 
+@query
+def price_quantiles_by_product(spark, sf_dir):
+    """Quartiles of the price of every product: as many groups as there are products."""
+    items = clean(spark, sf_dir, "order_items")["order_items"]
+    return rounded(exact_quantiles(items, "price", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["product_id"]))
+
+
 @query
 def correlation_of_order_facts(spark, sf_dir):
     return rounded(correlation_matrix(base_with_delivery(spark, sf_dir), CORRELATED))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null
-from ..operators import exact_quantiles, hash_split, stratified_split
+from ..operators import exact_quantiles, hash_split, lookup_join, stratified_split
 from ..session import materialize
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -130,8 +130,7 @@ def numeric_constants(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
         F.struct(F.lit(name).alias("feature"), nan_to_null(F.col(name).cast("double")).alias("value")) for name in numeric
     ])).alias("cell")).select("cell.feature", "cell.value")
     medians = exact_quantiles(long, "value", {"median": 0.5}, ["feature"])
-    # One row per feature name in the query.
-    imputed = long.join(F.broadcast(medians), "feature", "left").select(
+    imputed = lookup_join(long, medians, "feature").select(
         "feature", "median", F.coalesce("value", "median", F.lit(0.0)).alias("value")
     )
     return imputed.groupBy("feature").agg(

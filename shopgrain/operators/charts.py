@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .aggregates import double_or_null
-from .order_stats import exact_quantiles
+from .joins import lookup_join
+from .order_stats import Stage, exact_quantiles
 
 
 def table_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -75,21 +75,21 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
-def _with_fences(df: DataFrame, value: str, by: str, reach: float) -> DataFrame:
-    rows = materialize(df.select(by, double_or_null(value).alias(value)).dropna())  # two columns, read three times
-    quartiles = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
+def _with_fences(df: DataFrame, value: str, by: str, reach: float, stage: Stage | None) -> DataFrame:
+    rows = df.select(by, double_or_null(value).alias(value)).dropna()  # two columns, read several times
+    rows = stage(rows) if stage else rows
+    quartiles = exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by], stage)
     spread = F.col("q3") - F.col("q1")
     fences = quartiles.select(
         "*", (F.col("q1") - reach * spread).alias("_low"), (F.col("q3") + reach * spread).alias("_high")
     )
-    # One row per group; ``exact_quantiles`` refuses more than a few thousand groups.
-    return rows.join(F.broadcast(fences), by)
+    return lookup_join(rows, fences, by)
 
 
-def box_stats(df: DataFrame, value: str, by: str, reach: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, reach: float = 1.5, stage: Stage | None = None) -> DataFrame:
     """Quartiles per group, whiskers at the last points within ``reach`` interquartile ranges, outlier count."""
     inside = F.col(value).between(F.col("_low"), F.col("_high"))
-    return _with_fences(df, value, by, reach).groupBy(by).agg(
+    return _with_fences(df, value, by, reach, stage).groupBy(by).agg(
         F.count(value).alias("n_rows"),
         F.max("q1").alias("q1"),
         F.max("median").alias("median"),
@@ -100,9 +100,9 @@ def box_stats(df: DataFrame, value: str, by: str, reach: float = 1.5) -> DataFra
     )
 
 
-def box_outliers(df: DataFrame, value: str, by: str, reach: float = 1.5) -> DataFrame:
-    """The points beyond the whiskers."""
-    fenced = _with_fences(df, value, by, reach)
+def box_outliers(df: DataFrame, value: str, by: str, reach: float = 1.5, stage: Stage | None = None) -> DataFrame:
+    """The points beyond the whiskers. ``stage`` may write the two columns, which are read several times."""
+    fenced = _with_fences(df, value, by, reach, stage)
     return fenced.where(~F.col(value).between(F.col("_low"), F.col("_high"))).select(by, value)
 
 

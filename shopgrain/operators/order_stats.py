@@ -1,150 +1,105 @@
 """Exact quantiles and rank cuts without collecting a group in one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here the wanted rank is closed in from
-counts: each pass counts the values of the current interval in equal-width cells (a hash aggregation that
-combines before the shuffle) and moves into the one cell that holds the rank. When the interval holds few
-enough rows, its distinct values are ranked. A value shared by many rows is one row with a count throughout.
+``percentile`` keeps every distinct value of a group in one buffer. Here equal values become one row with a count, a
+sketch cuts the distinct values of each group into cells of about equal size, the cells' totals tell in which one a
+rank falls, and that cell alone is cut once more before its values are ranked. Two levels of ``CELLS`` cells leave one
+in tens of thousands of a group's distinct values for the last ranking. The same plan serves any number of groups and
+rows; nothing passes through the driver, and infinite values are values like others.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .aggregates import double_or_null
+from .joins import lookup_join
 
-WHOLE_INTERVAL_ROWS = 1_000_000
-CELLS = 4096
-MAX_GROUPS = 10_000
+CELLS = 256
+LEVELS = 2
 
+Stage = Callable[[DataFrame], DataFrame]
 
-def _values_at_ranks(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str],
-    ranks: Callable[[int], Sequence[int]],
-    whole_interval_rows: int,
-) -> DataFrame:
-    """(``by``, ``_i``, ``_n``, ``_value``): the value at each 0-based rank that ``ranks(n)`` asks of a group of n rows.
 
-    Group sizes and intervals, a few numbers per group, pass through the driver; rows do not.
-    """
-    by = list(by)
-    rows = df.select(*by, double_or_null(value).alias("_x")).where(F.col("_x").isNotNull())
-    groups = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-    ).limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"exact ranks are meant for keys of few values; {by} has more than {MAX_GROUPS}")
-    intervals = [
-        {**{key: row[key] for key in by}, "_i": i, "_n": row["_n"], "_rank": rank, "_lo": row["_lo"],
-         "_hi": row["_hi"], "_below": 0, "_inside": row["_n"]}
-        for row in groups if row["_n"] for i, rank in enumerate(ranks(row["_n"]))
-    ]
-
-    def is_open(interval):
-        return interval["_inside"] > whole_interval_rows and interval["_lo"] < interval["_hi"]
-
-    if any(map(is_open, intervals)):
-        rows = materialize(rows)  # two columns, read once per pass
-    while wide := [interval for interval in intervals if is_open(interval)]:
-        closed = [interval for interval in intervals if not is_open(interval)]
-        intervals = closed + [row.asDict() for row in _closer(rows, by, wide).collect()]
-    inside = _join_intervals(rows, by, intervals).groupBy(*by, "_i", "_n", "_rank", "_below", "_x").agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    upward = Window.partitionBy(*by, "_i").orderBy("_x")
-    return (
-        inside.withColumn("_to", F.col("_below") + F.sum("_c").over(upward))
-        .where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
-        .select(*by, "_i", "_n", F.col("_x").alias("_value"))
-    )
+def group_key(by: Sequence[str]) -> Column:
+    """The group as one value. As part of a struct a missing key equals another missing key."""
+    return F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
 
 
-def _join_intervals(rows: DataFrame, by: Sequence[str], intervals: Sequence[Mapping]) -> DataFrame:
-    """Rows with every interval of their group that contains them."""
-    types = dict(rows.dtypes)
-    schema = ", ".join([
-        *[f"`{key}` {types[key]}" for key in by],
-        "_i int, _n bigint, _rank bigint, _lo double, _hi double, _below bigint, _inside bigint",
-    ])
-    names = [*by, "_i", "_n", "_rank", "_lo", "_hi", "_below", "_inside"]
-    table = rows.sparkSession.createDataFrame([tuple(row[name] for name in names) for row in intervals], schema)
-    packed = table.groupBy(*by).agg(F.collect_list(F.struct(*names[len(by):])).alias("_intervals"))
-    within = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
-    if by:
-        # A list made on the driver: at most MAX_GROUPS groups with one entry per rank.
-        packed = packed.withColumnsRenamed({key: f"_key_{key}" for key in by})
-        match = [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in by]
-        joined = rows.join(F.broadcast(packed), match).drop(*[f"_key_{key}" for key in by])
-    else:
-        joined = rows.withColumn("_intervals", packed.scalar())
-    return joined.select(*by, "_x", F.inline("_intervals")).where(within)
-
-
-def _closer(rows: DataFrame, by: Sequence[str], intervals: Sequence[Mapping]) -> DataFrame:
-    """For each interval, the tightest one around the cell that holds its rank."""
-    keys = [*by, "_i", "_n", "_rank"]
-    share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1))
-    counts = _join_intervals(rows, by, intervals).groupBy(*keys, "_below", cell.alias("_cell")).agg(
-        F.count(F.lit(1)).alias("_inside"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-    )
-    upward = Window.partitionBy(*by, "_i").orderBy("_cell")  # at most CELLS rows
-    start = F.col("_below") + F.sum("_inside").over(upward) - F.col("_inside")
-    return (
-        counts.withColumn("_start", start)
-        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_inside")))
-        .select(*keys, "_lo", "_hi", F.col("_start").alias("_below"), "_inside")
+def _values_at_ranks(
+    df: DataFrame, value: str, by: Sequence[str], ranks: Sequence[Column], stage: Stage | None
+) -> DataFrame:
+    """(``_key``, ``_i``, ``_n``, ``_value``): the value at each 0-based rank, given as expressions of ``_n``."""
+    rows = df.select(group_key(by).alias("_key"), double_or_null(value).alias("_x")).where(F.col("_x").isNotNull())
+    counts = rows.groupBy("_key", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    counts = stage(counts) if stage else counts
+    wanted = counts.groupBy("_key").agg(F.sum("_c").alias("_n")).select(
+        "_key", "_n", F.posexplode(F.array(*[rank.cast("bigint") for rank in ranks])).alias("_i", "_rank")
     )
+    keys = ["_key"]
+    for level in range(LEVELS):
+        counts, wanted, keys = _cut(counts, wanted, keys, f"_cell{level}")
+    upward = Window.partitionBy(*keys).orderBy("_x")
+    ends = counts.withColumn("_to", F.sum("_c").over(upward))
+    found = wanted.join(ends, keys).where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c")))
+    return found.select("_key", "_i", "_n", F.col("_x").alias("_value"))
+
+
+def _cut(counts: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Values of the cells that hold a wanted rank, and the ranks counted from the start of their cell."""
+    fractions = [i / CELLS for i in range(1, CELLS)]
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("_x", fractions, 4 * CELLS).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda edge: edge < F.col("_x")))
+    placed = lookup_join(counts, edges, keys).withColumn(cell, below).drop("_edges")
+    upward = Window.partitionBy(*keys).orderBy(cell)  # at most CELLS rows
+    totals = placed.groupBy(*keys, cell).agg(F.sum("_c").alias("_total")).withColumn("_end", F.sum("_total").over(upward))
+    start = F.col("_end") - F.col("_total")
+    hits = wanted.join(totals, keys).where((F.col("_rank") >= start) & (F.col("_rank") < F.col("_end")))
+    hits = hits.withColumn("_rank", F.col("_rank") - start).drop("_total", "_end")
+    inside = [*keys, cell]
+    chosen = hits.select(*inside).distinct().withColumn("_hit", F.lit(True))
+    return lookup_join(placed, chosen, inside).where("_hit").drop("_hit"), hits, inside
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    fractions: Mapping[str, float],
-    by: Sequence[str] = (),
-    whole_interval_rows: int = WHOLE_INTERVAL_ROWS,
+    df: DataFrame, value: str, fractions: Mapping[str, float], by: Sequence[str] = (), stage: Stage | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``fractions``, one row per group.
 
-    ``by`` is meant for keys of few values; a group without any value gives no row.
+    A group without any value gives no row. ``stage`` may write the counted values, which are read several times.
     """
     by = list(by)
-
-    def ranks(n):
-        positions = [q * (n - 1) for q in fractions.values()]
-        return [rank for p in positions for rank in (math.floor(p), math.ceil(p))]
-
-    found = _values_at_ranks(df, value, by, ranks, whole_interval_rows)
+    positions = [F.lit(float(q)) * (F.col("_n") - 1) for q in fractions.values()]
+    found = _values_at_ranks(df, value, by, [f(p) for p in positions for f in (F.floor, F.ceil)], stage)
 
     def at(i):
         return F.max(F.when(F.col("_i") == i, F.col("_value")))
 
-    def quantile(k: int, q: float) -> Column:
-        position = q * (F.col("_n") - 1)
+    def quantile(k: int, position: Column) -> Column:
         below, above = at(2 * k), at(2 * k + 1)
-        return below + (above - below) * (position - F.floor(position))
+        between = below + (above - below) * (position - F.floor(position))
+        # Equal neighbours, infinite ones included, need no arithmetic.
+        return F.when(below == above, below).otherwise(between)
 
-    per_group = found.groupBy(*by, "_n").agg(*[
-        quantile(k, q).alias(name) for k, (name, q) in enumerate(fractions.items())
-    ]).drop("_n")
-    return per_group if by else per_group.agg(*[F.max(name).alias(name) for name in fractions])
+    per_group = found.groupBy("_key", "_n").agg(*[
+        quantile(k, position).alias(name) for k, (name, position) in enumerate(zip(fractions, positions))
+    ])
+    if by:
+        return per_group.select("_key.*", *fractions)
+    return per_group.agg(*[F.max(name).alias(name) for name in fractions])
 
 
 def at_or_above_quantile(df: DataFrame, value: str, fraction: float) -> DataFrame:
-    """Rows whose ``value`` is at least the given quantile of all rows. ``df`` is read three times."""
+    """Rows whose ``value`` is at least the given quantile of all rows. ``df`` is read several times."""
     cut = exact_quantiles(df, value, {"cut": fraction}).scalar()
     return df.where(F.col(value) >= cut)
 
 
 def lowest_share(
-    df: DataFrame, value: str, by: Sequence[str], fraction: float, whole_interval_rows: int = WHOLE_INTERVAL_ROWS
+    df: DataFrame, value: str, by: Sequence[str], fraction: float, stage: Stage | None = None
 ) -> DataFrame:
-    """Per group, the largest value among its lowest ``ceil(fraction * n)`` rows, as column ``cut``."""
-    found = _values_at_ranks(df, value, by, lambda n: [math.ceil(fraction * n) - 1], whole_interval_rows)
-    return found.select(*by, F.col("_value").alias("cut"))
+    """Per group (``_key``), the largest value among its lowest ``ceil(fraction * n)`` rows, as column ``cut``."""
+    rank = F.ceil(F.lit(float(fraction)) * F.col("_n")) - 1
+    return _values_at_ranks(df, value, by, [rank], stage).select("_key", F.col("_value").alias("cut"))

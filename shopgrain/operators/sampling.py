@@ -8,17 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_hex, hash_rank
-from .order_stats import WHOLE_INTERVAL_ROWS, lowest_share
+from .joins import lookup_join
+from .order_stats import Stage, group_key, lowest_share
 
 HASH_RANGE = float(2**52)
 
 
+def _check_fraction(fraction: float) -> None:
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"a fraction lies between 0 and 1, not at {fraction}")
+
+
 def hash_split(
     df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2, seed: int = 42, column: str = "split"
 ) -> DataFrame:
     """``test`` for about ``test_fraction`` of the rows, else ``train``. One narrow projection, no shuffle."""
-    cut = format(int(test_fraction * 2**32), "08x")
-    is_test = F.substring(hash_hex(keys, seed), 1, 8) < cut
+    _check_fraction(test_fraction)
+    number = F.conv(F.substring(hash_hex(keys, seed), 1, 8), 16, 10).cast("bigint")
+    is_test = number < int(test_fraction * 2**32)
     return df.withColumn(column, F.when(is_test, "test").otherwise("train"))
 
 
@@ -29,20 +36,19 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
     column: str = "split",
-    whole_interval_rows: int = WHOLE_INTERVAL_ROWS,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """``test`` for exactly ``ceil(test_fraction * n)`` rows of each label, given unique keys.
 
     The cut is an exact order statistic of the hash per label, so no label is sorted in one task. ``df`` is read
-    three times; pass a stored or staged table.
+    several times; pass a stored or staged table.
     """
+    _check_fraction(test_fraction)
     hashed = df.withColumn("_hash", hash_rank(keys, seed))
-    cuts = lowest_share(hashed, "_hash", [label], test_fraction, whole_interval_rows)
-    cuts = cuts.select(F.col(label).alias("_label"), "cut")
-    # ``lowest_share`` returns one row per label and refuses more than a few thousand labels.
-    joined = hashed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_label")), "left")
+    cuts = lowest_share(hashed, "_hash", [label], test_fraction, stage)
+    joined = lookup_join(hashed.withColumn("_key", group_key([label])), cuts, "_key")
     is_test = F.col("_hash") <= F.col("cut")
-    return joined.withColumn(column, F.when(is_test, "test").otherwise("train")).drop("_hash", "_label", "cut")
+    return joined.withColumn(column, F.when(is_test, "test").otherwise("train")).drop("_hash", "_key", "cut")
 
 
 def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:

@@ -31,8 +31,7 @@ def lopsided(seed=1, n=4000):
     return rows + [("lonely", 1.0), ("empty", None), (None, 3.0), (None, 4.0)]
 
 
-@pytest.mark.parametrize("whole", [10**6, 50, 1])
-def test_quantiles_by_group(spark, whole):
+def test_quantiles_by_group(spark):
     data = lopsided()
     fractions = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "q100": 1.0}
     df = spark.createDataFrame(data, "g string, v double").repartition(7)
@@ -40,18 +39,17 @@ def test_quantiles_by_group(spark, whole):
     for g, v in data:
         if v is not None:
             groups[g].append(v)
-    got = {row["g"]: row.asDict() for row in exact_quantiles(df, "v", fractions, ["g"], whole).collect()}
+    got = {row["g"]: row.asDict() for row in exact_quantiles(df, "v", fractions, ["g"]).collect()}
     assert set(got) == set(groups)
     for g, values in groups.items():
         for name, q in fractions.items():
             assert got[g][name] == pytest.approx(quantile(values, q), rel=1e-12), (g, name)
 
 
-@pytest.mark.parametrize("whole", [10**6, 20])
-def test_quantiles_of_all_rows(spark, whole):
+def test_quantiles_of_all_rows(spark):
     values = [v for _, v in lopsided(2, 1500) if v is not None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = exact_quantiles(df, "v", {"a": 0.1, "b": 0.9}, (), whole).first()
+    got = exact_quantiles(df, "v", {"a": 0.1, "b": 0.9}).first()
     assert (got["a"], got["b"]) == (pytest.approx(quantile(values, 0.1)), pytest.approx(quantile(values, 0.9)))
 
 
@@ -61,10 +59,9 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(df, "v", {"a": 0.5}, ["g"]).collect() == []
 
 
-@pytest.mark.parametrize("whole", [10**6, 30])
-def test_stratified_split_is_exact(spark, whole):
+def test_stratified_split_is_exact(spark):
     df = spark.range(3001).select("id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") < 20, 2).otherwise(3).alias("label"))
-    split = stratified_split(df, ["id"], "label", whole_interval_rows=whole)
+    split = stratified_split(df, ["id"], "label")
     total, test = Counter(), Counter()
     for row in split.collect():
         total[row["label"]] += 1
@@ -79,6 +76,40 @@ def test_stratified_split_does_not_depend_on_partitioning(spark, rows):
         stratified_split(df.coalesce(1), ["id"], "label"))
 
 
+def test_quantiles_of_many_groups(spark):
+    df = spark.range(100_000).select((F.col("id") % 20_000).alias("g"), F.col("id").cast("double").alias("v"))
+    got = exact_quantiles(df, "v", {"m": 0.5}, ["g"])
+    assert got.count() == 20_000
+    assert got.where(F.col("m") != F.col("g") + 40_000).count() == 0
+
+
+def test_quantiles_of_infinite_and_far_spread_values(spark):
+    values = [math.exp(7 * i) for i in range(100)] + [math.inf, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = exact_quantiles(df, "v", {"low": 0.0, "mid": 0.5, "high": 1.0}).first()
+    assert (got["low"], got["high"]) == (-math.inf, math.inf)
+    assert got["mid"] == pytest.approx(sorted(values)[51])
+
+
+def test_quantiles_pass_nothing_through_the_driver_and_plan_once(spark):
+    df = spark.range(10).select(F.col("id").cast("double").alias("v"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    exact_quantiles(df, "v", {"m": 0.5})
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_hash_split_at_the_ends(spark):
+    df = spark.range(1000)
+
+    def tests(fraction):
+        return hash_split(df, ["id"], fraction).where("split = 'test'").count()
+
+    assert tests(0.0) == 0 and tests(1.0) == 1000 and tests(1e-12) == 0
+    assert 400 < tests(0.5) < 600
+    with pytest.raises(ValueError):
+        hash_split(df, ["id"], 1.5)
+
+
 def test_hash_split_share_and_seed(spark):
     df = spark.range(20000)
     share = hash_split(df, ["id"]).where("split = 'test'").count() / 20000

@@ -71,7 +71,7 @@ def test_dashboard_filter_reaches_the_scan(spark, smallest_dir, tmp_path):
         "review_score_latest",
     ).write.parquet(path)
     orders = spark.read.parquet(path)
-    chosen = dashboard.filter_orders(orders, ["BRAZIL"], "1996-01-01", "1997-01-01 12:00:00")
+    chosen = dashboard.filter_orders(orders, ["NATION_1"], "1996-01-01", "1997-01-01 12:00:00")
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = plan_of(dashboard.delay_by_state(chosen))
     spark.conf.unset("spark.sql.maxMetadataStringLength")
