@@ -1,7 +1,8 @@
 """Wall time of the headline queries; prints one JSON line.
 
 Each query is planned and run to completion into a sink that discards rows, once to warm up the session and
-then ``BENCH_RUNS`` times, of which the median counts.
+then ``BENCH_RUNS`` times, of which the median counts. ``build`` is the part of it before the final write: building the
+plan and, for operators that count or stage first, those jobs.
 """
 
 from __future__ import annotations
@@ -68,10 +69,13 @@ HEADLINE = {
     ),
     "base_missingness": lambda s, sf: missingness(q.base_orders(s, sf)),
     "correlation_of_order_facts": lambda s, sf: correlation_matrix(q.base_with_delivery(s, sf), q.CORRELATED),
-    "delay_histogram": lambda s, sf: histogram(q.deliveries(s, sf), "delivery_delay_days"),
-    "delay_box_by_score": lambda s, sf: box_stats(q.deliveries(s, sf), "delivery_delay_days", "review_score_latest"),
+    "delay_histogram": lambda s, sf: histogram(q.deliveries(s, sf), "delivery_delay_days", stage=materialize),
+    "delay_box_by_score": lambda s, sf: box_stats(
+        q.deliveries(s, sf), "delivery_delay_days", "review_score_latest", stage=materialize
+    ),
     "price_freight_sample": lambda s, sf: exact_sample(
-        q.clean(s, sf, "order_items")["order_items"], 20_000, ["order_id", "order_item_id", "product_id", "seller_id"]
+        q.clean(s, sf, "order_items")["order_items"], 20_000, ["order_id", "order_item_id", "product_id", "seller_id"],
+        stage=materialize,
     ),
     "stratified_review_split": stratified_review_split,
     "delay_dataset": lambda s, sf: build_delay_dataset(q.enriched(s, sf), features.FEATURE_SETS["delay"].inputs),
@@ -79,10 +83,13 @@ HEADLINE = {
 }
 
 
-def run(spark, name: str, sf_dir: str) -> float:
+def run(spark, name: str, sf_dir: str) -> tuple[float, float]:
+    """Seconds in all, and of them before the final write."""
     start = time.perf_counter()
-    HEADLINE[name](configure(spark), sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    df = HEADLINE[name](configure(spark), sf_dir)
+    built = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start, built - start
 
 
 def main() -> None:
@@ -99,15 +106,18 @@ def main() -> None:
         },
     )
     name_local_folder(spark).sparkContext.setLogLevel("ERROR")
-    times = {}
+    times, builds = {}, {}
     for name in sys.argv[1:] or HEADLINE:
         run(spark, name, sf_dir)
-        times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(runs)), 3)
+        measured = sorted(run(spark, name, sf_dir) for _ in range(runs))
+        times[name] = round(statistics.median(x for x, _ in measured), 3)
+        builds[name] = round(statistics.median(x for _, x in measured), 3)
     print(json.dumps({
         "metric": "headline_queries_total",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "build": builds,
         "sf": Path(sf_dir).name.removeprefix("sf"),
     }))
     spark.stop()

@@ -601,17 +601,17 @@ def payments_by_type(spark, sf_dir):
 
 @query
 def item_sum_histogram(spark, sf_dir):
-    return rounded(histogram(order_values(spark, sf_dir), "items_price_sum"), 4)
+    return rounded(histogram(order_values(spark, sf_dir), "items_price_sum", stage=materialize), 4)
 
 
 @query
 def freight_sum_histogram(spark, sf_dir):
-    return rounded(histogram(order_values(spark, sf_dir), "freight_value_sum"), 4)
+    return rounded(histogram(order_values(spark, sf_dir), "freight_value_sum", stage=materialize), 4)
 
 
 @query
 def delay_histogram(spark, sf_dir):
-    return rounded(histogram(deliveries(spark, sf_dir), "delivery_delay_days"))
+    return rounded(histogram(deliveries(spark, sf_dir), "delivery_delay_days", stage=materialize))
 
 
 @query
@@ -656,7 +656,7 @@ def base_with_delivery(spark, sf_dir):
 def price_freight_sample(spark, sf_dir):
     """20,000 items in hash order, by all columns since the item key repeats."""
     items = clean(spark, sf_dir, "order_items")["order_items"]
-    sample = exact_sample(items, 20_000, ["order_id", "order_item_id", "product_id", "seller_id"])
+    sample = exact_sample(items, 20_000, ["order_id", "order_item_id", "product_id", "seller_id"], stage=materialize)
     return rounded(sample.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"))
 
 
@@ -664,7 +664,7 @@ def price_freight_sample(spark, sf_dir):
 def pair_plot_sample(spark, sf_dir):
     """2,000 orders with all correlated columns present."""
     complete = base_with_delivery(spark, sf_dir).select("order_id", *CORRELATED).dropna()
-    return rounded(exact_sample(materialize(complete), 2_000, ["order_id"]))
+    return rounded(exact_sample(materialize(complete), 2_000, ["order_id"], stage=materialize))
 
 
 # Splits and preprocessing ----------------------------------------------------------------------------------
@@ -841,7 +841,7 @@ def satisfaction_model_metrics(spark, sf_dir):
     small = binary_estimators({"GradientBoostingClassifier": 5, "DeepBoostingClassifier": 5})
     return train_binary_review_models(
         orders, spec.inputs, use_class_weight=True, tune_threshold=True, estimators=small
-    )
+    )[0]
 
 
 @query

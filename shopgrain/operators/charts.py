@@ -49,29 +49,27 @@ def missingness(df: DataFrame, top_n: int = 20) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int = 50, stage: Stage | None = None) -> DataFrame:
     """Equal-width bins from the smallest to the largest value; the top edge belongs to the last bin.
 
-    One row per bin, empty bins with zero. If all values are equal there is one bin.
+    One row per bin, empty bins with zero. If all values are equal there is one bin. The two bounds come to the driver
+    first; ``stage`` may write the one column, so that what computes it runs once.
     """
     rows = df.select(double_or_null(column).alias("_x")).where(F.col("_x").isNotNull())
-    bounds = rows.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi")).alias("bounds")).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    number = F.when(lo == hi, F.lit(1)).otherwise(
-        F.least(F.width_bucket("_x", lo, hi, F.lit(bins)), F.lit(bins)).cast("int")
-    )
+    rows = stage(rows) if stage else rows
+    lo, hi = rows.agg(F.min("_x"), F.max("_x")).first()
+    if lo is None:
+        edges = []
+    elif lo == hi:
+        edges = [(1, lo, hi)]
+    else:
+        width = (hi - lo) / bins
+        edges = [(k, lo + (k - 1) * width, hi if k == bins else lo + k * width) for k in range(1, bins + 1)]
+    all_bins = df.sparkSession.createDataFrame(edges, "bin int, bin_start double, bin_end double")
+    number = F.lit(1) if lo == hi else F.least(F.width_bucket("_x", F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)).cast("int")
     counts = rows.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("_count"))
-    width = (hi - lo) / bins
-    all_bins = (
-        df.sparkSession.range(1, bins + 1)
-        .select(F.col("id").cast("int").alias("bin"))
-        .where((lo < hi) | ((lo == hi) & (F.col("bin") == 1)))
-    )
     return all_bins.join(counts, "bin", "left").select(
-        "bin",
-        (lo + (F.col("bin") - 1) * width).alias("bin_start"),
-        F.when(lo == hi, hi).when(F.col("bin") == bins, hi).otherwise(lo + F.col("bin") * width).alias("bin_end"),
-        F.coalesce("_count", F.lit(0)).alias("n_rows"),
+        "bin", "bin_start", "bin_end", F.coalesce("_count", F.lit(0)).alias("n_rows")
     )
 
 

@@ -11,8 +11,6 @@ from ..functions import hash_hex, hash_rank
 from .joins import lookup_join
 from .order_stats import Stage, group_key, lowest_share
 
-HASH_RANGE = float(2**52)
-
 
 def _check_fraction(fraction: float) -> None:
     if not 0 <= fraction <= 1:
@@ -51,17 +49,20 @@ def stratified_split(
     return joined.withColumn(column, F.when(is_test, "test").otherwise("train")).drop("_hash", "_key", "cut")
 
 
-def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
+def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0, stage: Stage | None = None) -> DataFrame:
     """``min(n, rows)`` rows: those with the smallest hash, further ordered by the keys.
 
-    At most about ``2 n`` rows reach the final sort: a hash limit is derived from the row count, and it is
-    lifted if, against all odds (a key shared by very many rows), fewer than ``n`` rows pass it. ``df`` is read three times; pass a stored or
-    staged table.
+    At most about ``2 n`` rows reach the final sort: a hash limit is derived from the row count, which reads no columns,
+    and it is lifted if, against all odds (a key shared by very many rows), fewer than ``n`` rows pass it. ``stage``
+    may write the rows below the limit, so that the table is scanned once.
     """
-    hashed = df.withColumn("_hash", hash_rank(keys, seed)).withColumn("_order", hash_hex(keys, seed))
-    share = F.lit(2.0 * n + 1000.0) / F.greatest(F.count(F.lit(1)), F.lit(1))
-    limit = df.agg((share * HASH_RANGE).alias("limit")).scalar()
-    passing = hashed.where(F.col("_hash") < limit).agg(F.count(F.lit(1)).alias("passing")).scalar()
-    near = F.col("_hash") < F.when(passing >= n, limit).otherwise(F.lit(HASH_RANGE))
+    hashed = df.withColumn("_order", hash_hex(keys, seed))
+    share = (2.0 * n + 1000.0) / max(df.count(), 1)
+    near = hashed
+    if share < 1:
+        near = hashed.where(F.col("_order") < format(int(share * 2**32), "08x"))
+        near = stage(near) if stage else near
+        if near.count() < n:
+            near = hashed
     rest = [F.col(name) for name in df.columns if name not in keys]
-    return hashed.where(near).orderBy("_order", *keys, *rest).limit(n).drop("_hash", "_order")
+    return near.orderBy("_order", *keys, *rest).limit(n).drop("_order")

@@ -64,7 +64,8 @@ def top_customers_of_orders(orders: DataFrame, k: int = 15) -> DataFrame:
     needed = {"customer_id", "customer_total_revenue", "customer_n_orders"}
     if not needed <= set(orders.columns):
         return orders.sparkSession.createDataFrame(
-            [], "customer_id string, customer_total_revenue double, customer_n_orders bigint, customer_label string"
+            [], f"customer_id {dict(orders.dtypes).get('customer_id', 'string')}, customer_total_revenue double, "
+            "customer_n_orders bigint, customer_label string"
         )
     customers = orders.groupBy("customer_id").agg(
         F.max("customer_total_revenue").alias("customer_total_revenue"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -63,9 +63,13 @@ def load_tables(
     fmt: str = "csv",
     paths: Mapping[str, str] | None = None,
     require_rows: bool = True,
+    multiline: Collection[str] = MULTILINE_TABLES,
 ) -> dict[str, DataFrame]:
     """The nine input tables as ``{name: DataFrame}``.
 
+    CSV files of the ``multiline`` tables may hold quoted line breaks and are one task each; pass an empty collection
+    if no text does, and they are split like the others.
+
     ``paths`` overrides the default ``<base>/<name>.csv`` (or ``<base>/<name>.parquet``) per table. Text
     sources arrive typed; a value that does not fit its column is NULL.
     """
@@ -75,7 +79,7 @@ def load_tables(
         path = paths.get(name, f"{base}/{name}.{fmt}")
         try:
             if fmt == "csv":
-                rows = scan_csv(spark, path, multiline=name in MULTILINE_TABLES)
+                rows = scan_csv(spark, path, multiline=name in multiline)
             else:
                 rows = spark.read.format(fmt).load(path)
         except AnalysisException as error:

@@ -176,9 +176,18 @@ def test_review_models_learn(orders):
 
 def test_satisfaction_models_learn(orders):
     small = binary_estimators({"GradientBoostingClassifier": 4, "DeepBoostingClassifier": 2})
-    got = train_binary_review_models(
+    metrics, scored, models = train_binary_review_models(
         orders, NUMERIC + CATEGORICAL, use_class_weight=True, tune_threshold=True, estimators=small
-    ).collect()
+    )
+    got = metrics.collect()
+    assert set(models) == set(small)
+    for name in small:
+        rows = scored.where(F.col("model") == name)
+        report = {r["class"]: r for r in classification_report(rows).collect()}
+        assert sum(r["support"] for r in report.values()) == rows.count() == confusion_matrix(rows).agg(F.sum("n_rows")).first()[0]
+        assert threshold_curve(rows).count() > 1
+        again = score_classes(models[name], orders).where("score is null").count()
+        assert again == 0
     assert [r["model"] for r in got] == ["DeepBoostingClassifier", "GradientBoostingClassifier"]
     for row in got:
         assert row["accuracy"] > 0.9 and row["roc_auc"] > 0.9 and 0.1 <= row["best_threshold"] <= 0.9
@@ -190,7 +199,8 @@ def test_customer_value_model(spark):
         F.col("id").cast("double").alias("customer_avg_order_value"),
         (F.col("id") * 2.0).alias("customer_total_revenue"),
     )
-    metrics, scored = train_customer_value_model(value, trees=10)
+    metrics, scored, model = train_customer_value_model(value, trees=10)
+    assert "prediction" in model.transform(value).columns
     row = metrics.first()
     assert scored.agg(F.min("label")).first()[0] >= 1900 * 2.0 - 2
     spread = scored.agg(F.stddev_pop("label")).first()[0]
