@@ -41,6 +41,7 @@ from shopgrain.session import materialize
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b""  # no word is empty
 OTHER_CLASS, END_CLASS = 0, 1
+LEAST = 40_000  # examples in a round, so that a small corpus is learned from too
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -135,11 +136,11 @@ def learn(
     codes: np.ndarray, counts: np.ndarray, start: Parameters, noise_share: np.ndarray, rng: np.random.Generator,
     noise: int, rate: float, batch: int = 256,
 ) -> Parameters:
-    """One pass of noise-contrastive estimation over as many examples as there are distinct trigrams."""
+    """Noise-contrastive estimation over as many examples as there are distinct trigrams, and ``LEAST`` at least."""
     K = len(start.b)
     R, Q, c, b = (x.copy() for x in (start.R, start.Q, start.c, start.b))
     squares = [np.full_like(x, 1e-2) for x in (R, Q, c, b)]
-    drawn = rng.choice(len(codes), size=len(codes), p=counts / counts.sum())
+    drawn = rng.choice(len(codes), size=max(len(codes), LEAST), p=counts / counts.sum())
     log_noise = np.log(noise * noise_share)
 
     def move(k: int, value: np.ndarray, gradient: np.ndarray) -> None:
@@ -170,7 +171,7 @@ def learn(
 
 def train(
     trigrams: DataFrame, class_counts: np.ndarray, dims: int = 16, noise: int = 10, rounds: int = 4, rate: float = 0.3,
-    seed: int = 11, rows_per_part: int = 500_000,
+    seed: int = 11, rows_per_part: int = 100_000,
 ) -> Parameters:
     """Rounds of local learning on all parts of the trigram table, averaged by weight."""
     K = len(class_counts)
@@ -179,7 +180,7 @@ def train(
     n = trigrams.count()
     if not n:
         return model
-    parts = max(6, -(-n // rows_per_part))
+    parts = -(-n // rows_per_part)
     table = materialize(trigrams.repartition(parts, "code"), "trigrams")
     for step in range(rounds):
         packed = model.packed()
@@ -233,9 +234,9 @@ def score(
     packed = train(materialize(trigrams, "codes"), class_counts).packed()
 
     table = frequent(counts, frequent_words).where("unit <> ''").toPandas()  # at most frequent_words rows
-    known = spark.sparkContext.broadcast((
-        packed, {u.encode(): (classes.get(u.encode(), OTHER_CLASS), math.log10(n + 1)) for u, n in zip(table["unit"], table["n"])},
-    ))
+    logs = {u.encode(): (OTHER_CLASS, math.log10(n + 1)) for u, n in zip(table["unit"], table["n"])}
+    logs |= {row["unit"].encode(): (k + 2, math.log10(row["n"] + 1)) for k, row in enumerate(top)}
+    known = spark.sparkContext.broadcast((packed, logs))
     log_end = math.log10(n_end + 1)
     id_type = dict(documents.dtypes)["doc_id"]
 
