@@ -6,8 +6,11 @@ safe to call on a session that somebody else built.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +52,7 @@ def name_local_folder(spark: SparkSession) -> SparkSession:
 
     The library itself never calls this. A session on a cluster is left as it is.
     """
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         spark.conf.set("spark.checkpoint.dir", _own_dir(spark.sparkContext.applicationId))
     return spark
 
@@ -67,12 +70,35 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shopgrain/{name}-{uuid.uuid4().hex}"
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Owns the stages written inside the block and deletes them at its end.
+
+    Write or collect what is wanted inside; tables that read a stage cannot be read after it.
+    """
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(paths)
+        hadoop = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Later steps restart from files when executors are lost, read only the columns they need, and do not
-    compute the table again.
+    compute the table again. Inside ``staged`` the files go with the block; otherwise they stay.
     """
     path = stage_path(df.sparkSession, name)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

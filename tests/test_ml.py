@@ -174,6 +174,26 @@ def test_review_models_learn(orders):
     assert set(models) == set(small)
 
 
+def test_stages_go_with_their_owner(spark, orders):
+    from pathlib import Path
+
+    from shopgrain.session import shared_dir, staged
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "shopgrain"
+
+    def stages():
+        return {x.name for x in folder.iterdir()} if folder.exists() else set()
+
+    before = stages()
+    small = {"GradientBoostingClassifier": binary_estimators({"GradientBoostingClassifier": 1})["GradientBoostingClassifier"]}
+    with staged(spark):
+        metrics, scored, _ = train_binary_review_models(orders, NUMERIC, estimators=small)
+        assert metrics.count() == 1 and scored.count() > 0
+        # the rows, their features and the scored rows: each written once, but for the split that reads its rows again
+        assert 0 < len(stages() - before) <= 4
+    assert stages() == before
+
+
 def test_satisfaction_models_learn(orders):
     small = binary_estimators({"GradientBoostingClassifier": 4, "DeepBoostingClassifier": 2})
     metrics, scored, models = train_binary_review_models(
