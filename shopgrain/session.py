@@ -91,6 +91,14 @@ def staged(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(hadoop).delete(folder, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned, once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
