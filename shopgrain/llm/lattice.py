@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
 A text is normalised as the model says (a space in front, spaces written as U+2581) and falls into units that no piece
-crosses: a run of spaces with what follows it, or a line feed. Each distinct unit of the corpus is encoded once:
+crosses: spaces with the letters or with the other characters that follow, or a line feed (loading a table checks that
+its pieces keep to that). Each distinct unit of the corpus is encoded once:
 
 1. its substrings of at most the longest piece's length are exploded and joined to the piece table;
 2. the matches, edges from a start to an end with a score, are grouped by unit;
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,12 @@ from shopgrain.llm.vocabulary import count_units, frequent
 from shopgrain.session import materialize
 
 SPACE = "▁"
-UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
+UNIT = regex.compile(r"▁*\p{L}+|▁*[^\p{L}▁\n]+|▁+|\n")
+WORD = re.compile(" *[^ ]+| +")
 LONG = 1_000
+PART = 20_000  # units
+CACHE = 200_000  # words
+GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 UNKNOWN_PENALTY = 10.0
 
 
@@ -81,17 +87,61 @@ def load_pieces(model_file: str) -> Pieces:
         raise ValueError("the piece table needs the 256 bytes as fallback")
     usual = (i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)))
     table = {i: (model.id_to_piece(i), model.get_score(i)) for i in usual}
-    if any(SPACE in piece.lstrip(SPACE) or "\n" in piece for piece, _ in table.values()):
-        raise ValueError("pieces that cross words are not supported")
+    if not all(UNIT.fullmatch(piece) for piece, _ in table.values()):
+        raise ValueError("pieces that cross units are not supported")
     return Pieces(table, byte_ids, size)
 
 
-def units_of(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def split_units(text: str | None) -> list[bytes]:
-    return [unit.encode("utf-8", "replace") for unit in units_of(text)]
+def words_of(text: str | None) -> list[str]:
+    """What stands between single spaces; further spaces stay in front of a word."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " ":
+        return [word[1:] for word in WORD.findall(" " + text)]
+    return text.split(" ")
+
+
+def units_of(word: str) -> list[str]:
+    """The units of a word and the space before it."""
+    return UNIT.findall(SPACE + word.replace(" ", SPACE))
+
+
+class WordCodes(dict):
+    """Ids of words, as bytes, from those of their units; False for words with a unit that is not among the known."""
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> bytes | bool:
+        if len(self) >= CACHE:
+            self.clear()
+        parts = [self.known.get(unit) for unit in units_of(word)]
+        self[word] = code = False if None in parts else b"".join(parts)
+        return code
+
+    def runs(self, text: str | None) -> list[tuple[bytes | None, str | None]]:
+        """The segments of a text: ids of a run of known units, or else one other unit."""
+        words = words_of(text)
+        codes = list(map(self.__getitem__, words))
+        if False not in codes:
+            return [(b"".join(codes), None)]
+        out: list[tuple[bytes | None, str | None]] = []
+        run: list[bytes] = []
+        for word, code in zip(words, codes):
+            if code is not False:
+                run.append(code)
+                continue
+            for unit in units_of(word):
+                code = self.known.get(unit)
+                if code is not None:
+                    run.append(code)
+                    continue
+                if run:
+                    out.append((b"".join(run), None))
+                    run = []
+                out.append((None, unit))
+        return [*out, (b"".join(run), None)] if run else out
 
 
 def edges_of(units: DataFrame, pieces: Pieces) -> DataFrame:
@@ -102,12 +152,14 @@ def edges_of(units: DataFrame, pieces: Pieces) -> DataFrame:
         "piece string, id int, score double",
     )
     # The units are dealt out once; neither the explosion nor the join with the bounded piece table moves them again.
+    # A part holds so few that its edges are sorted in memory.
+    parts = max(1, -(-units.count() // PART))
     n = F.length("unit")
-    starts = units.select("unit").repartition("unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    starts = units.select("unit").repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))
-    parts = starts.select("unit", "s", F.explode(lengths).alias("l"))
-    parts = parts.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l")))
-    matched = parts.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") == 1))
+    substrings = starts.select("unit", "s", F.explode(lengths).alias("l"))
+    substrings = substrings.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l")))
+    matched = substrings.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("l") == 1))
     edge = F.struct(
         (F.col("s") + F.col("l")).alias("e"), "s", F.coalesce("id", -1 - F.col("s")).alias("id"),
         F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
@@ -265,42 +317,28 @@ def _segments(documents: DataFrame, frequent_ids, others: bool) -> DataFrame:
     id_type = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent_ids.value
+        codes = WordCodes(frequent_ids.value)
         for batch in batches:
-            rows, segs, values = [], [], []
-            for row, text in enumerate(batch.column(1)):
-                units = units_of(text.as_py())
-                found = [known.get(u) for u in units]
-                if None not in found:
-                    if not others:
-                        rows.append(row)
-                        segs.append(0)
-                        values.append(b"".join(found))
-                    continue
-                seg, begin = 0, 0
-                for at in [i for i, x in enumerate(found) if x is None] + [len(found)]:
-                    if at > begin:
-                        if not others:
-                            rows.append(row)
-                            segs.append(seg)
-                            values.append(b"".join(found[begin:at]))
-                        seg += 1
-                    if at < len(found):
-                        if others:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows, segs, values = [], [], []
+                for row, text in enumerate(part.column(1)):
+                    for seg, (ids, unit) in enumerate(codes.runs(text.as_py())):
+                        if (unit is not None) == others:
                             rows.append(row)
                             segs.append(seg)
-                            values.append(units[at])
-                        seg += 1
-                    begin = at + 1
-            doc_ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            seg_column = pa.array(segs, pa.int32())
-            if others:
-                last = pa.array(values, pa.string())
-            else:
-                offsets = np.zeros(len(values) + 1, dtype=np.int32)
-                np.cumsum([len(v) // 4 for v in values], out=offsets[1:])
-                last = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([doc_ids, seg_column, last], ["doc_id", "seg", "unit" if others else "ids"])
+                            values.append(unit if others else ids)
+                if others:
+                    last = pa.array(values, pa.string())
+                else:
+                    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+                    np.cumsum([len(v) // 4 for v in values], out=offsets[1:])
+                    flat = pa.array(np.frombuffer(b"".join(values), dtype=np.int32))
+                    last = pa.ListArray.from_arrays(pa.array(offsets), flat)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(segs, pa.int32()), last],
+                    ["doc_id", "seg", "unit" if others else "ids"],
+                )
 
     if id_type not in shape:
         raise TypeError(f"doc_id of type {id_type}")
@@ -310,13 +348,19 @@ def _segments(documents: DataFrame, frequent_ids, others: bool) -> DataFrame:
 
 
 def encode(
-    documents: DataFrame, model_file: str, fold: str = "merges", frequent_units: int = 300_000,
+    documents: DataFrame, model_file: str, fold: str = "merges", frequent_units: int = 200_000,
 ) -> DataFrame:
     """Segments of all documents: doc_id, seg, ids."""
     spark: SparkSession = documents.sparkSession
     pieces = load_pieces(model_file)
-    counts = materialize(count_units(documents.select("text"), split_units), "units")
-    encoded = materialize(encode_units(counts, pieces, fold), "encoded")
+    counts = materialize(count_units(documents.select("text"), words_of, units_of), "units")
+    # A part's units fit in a hash map, so their edges need not be sorted.
+    before = spark.conf.get(GROUPS)
+    spark.conf.set(GROUPS, str(2 * PART))
+    try:
+        encoded = materialize(encode_units(counts, pieces, fold), "encoded")
+    finally:
+        spark.conf.set(GROUPS, before)
     chosen = frequent(counts, frequent_units).select("unit")
     table = encoded.join(chosen, "unit", "left_semi").toPandas()  # at most frequent_units rows
     known = spark.sparkContext.broadcast({

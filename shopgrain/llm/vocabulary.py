@@ -13,21 +13,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLUSH = 500_000
+FLUSH = 200_000
 LEVELS = 8  # of count, for each doubling
 
 
-def count_units(texts: DataFrame, split: Callable[[str | None], list[bytes]]) -> DataFrame:
-    """``unit`` and ``n`` for all texts of the only column. Each task counts before the shuffle."""
+def count_units(
+    texts: DataFrame, split: Callable[[str | None], list], expand: Callable[[str], list[str]] | None = None,
+) -> DataFrame:
+    """``unit`` and ``n`` for all texts of the only column. Each task counts before the shuffle.
+
+    With ``expand``, what ``split`` gives is counted first and falls into its units once for each distinct one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
-                ["unit", "n"],
-            )
+            units = counts
+            if expand:
+                units = Counter()
+                for word, n in counts.items():
+                    for unit in expand(word):
+                        units[unit] += n
+            names = pa.array(list(units)) if units else pa.array([], pa.string())
+            batch = pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
             counts.clear()
             return batch
 
