@@ -13,9 +13,9 @@ Candidates come from PartEnum signatures (``partenum``): sets that are similar e
    components. After that every pair that shares a signature is either compared or inside one component: no link is
    lost.
 
-Comparing: a parity sketch (1,024 bits, each flipped by the elements that hash to it) bounds the symmetric difference
-of two sets from below, so most unlinked pairs are ruled out exactly before their sets are read; all others are
-intersected.
+Comparing: a parity sketch (1,024 bits, each flipped by the elements that hash to it; for large sets a second one of
+16,384 bits) bounds the symmetric difference of two sets from below, so unlinked pairs are ruled out exactly, but for
+few, before their sets are made; all others are intersected.
 
 * Texts that are null, empty or without words have an empty set and are linked with nothing; fewer words than an n-gram
   are one shingle. A null doc_id is linked with nothing and has a null component.
@@ -37,10 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.llm.partenum import Similarity, mixed, signatures
-from shopgrain.session import materialize
+from shopgrain.session import discard, materialize
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SKETCH_WORDS = 16
+SKETCH_WORDS, WIDE_WORDS = 16, 256
+LARGE = 500  # sets of more elements have the wide sketch too
 BROADCAST = 1_000_000
 CACHE = 500_000
 
@@ -71,59 +72,58 @@ def class_of(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def sketch_of(grams: np.ndarray) -> np.ndarray:
-    """Parities of the elements at each of 1,024 places, as 16 longs."""
-    place = (mixed(grams + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(54)).astype(np.int64)
-    odd = np.bincount(place, minlength=1024) & 1
+def sketch_of(grams: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of the elements at each of ``64 * words`` places, as longs."""
+    bits = 64 * words
+    place = (mixed(grams + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(place, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _per_text(documents: DataFrame, n: int, make, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
-    """Rows that ``make(doc_id, grams)`` gives for each text."""
+def _per_text(documents: DataFrame, n: int, make, fields: dict[str, pa.DataType], chunk: int) -> DataFrame:
+    """One row of ``make(doc_id, grams)`` for each text."""
+    names = {pa.int64(): "long", pa.list_(pa.int64()): "array<long>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [make(i, shingles(t, n, hashes)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
-                columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else list(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                rows = [make(i.as_py(), shingles(t.as_py(), n, hashes)) for i, t in zip(part.column(0), part.column(1))]
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), fields.values())]
+                yield pa.RecordBatch.from_arrays(columns, list(fields))
 
+    schema = ", ".join(f"{name} {names[kind]}" for name, kind in fields.items())
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def sizes_and_classes(documents: DataFrame, n: int) -> DataFrame:
+LONG, LONGS = pa.int64(), pa.list_(pa.int64())
+
+
+def described_texts(documents: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+    """doc_id, n (size of the set), class and sigs of every text; rows without id have no signatures."""
+    none = np.zeros(0, np.int64)
+
     def make(doc_id, grams):
-        return doc_id, len(grams), class_of(grams)
+        found = none if doc_id is None else signatures(grams, similarity).view(np.int64)
+        return doc_id, len(grams), class_of(grams), found
 
-    return _per_text(documents, n, make, "doc_id long, n long, class long", ["doc_id", "n", "class"], [pa.int64()] * 3)
+    return _per_text(documents, n, make, {"doc_id": LONG, "n": LONG, "class": LONG, "sigs": LONGS}, 500)
 
 
-def signature_rows(documents: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+def sketches(documents: DataFrame, n: int) -> DataFrame:
     def make(doc_id, grams):
-        found = signatures(grams, similarity) if doc_id is not None else np.zeros(0, np.uint64)
-        return found.view(np.int64), np.full(len(found), class_of(grams), np.int64)
+        wide = sketch_of(grams, WIDE_WORDS) if len(grams) > LARGE else None
+        return class_of(grams), len(grams), sketch_of(grams), wide
 
-    return _per_text(documents, n, make, "sig long, class long", ["sig", "class"], [pa.int64()] * 2)
+    return _per_text(documents, n, make, {"class": LONG, "n": LONG, "sketch": LONGS, "wide": LONGS}, 200)
 
 
 def whole_sets(documents: DataFrame, n: int) -> DataFrame:
     def make(doc_id, grams):
-        return class_of(grams), len(grams), sketch_of(grams).tolist(), grams.view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = [make(i, shingles(t.as_py(), n, hashes)) for i, t in
-                        zip(range(batch.num_rows), batch.column(1).slice(at, 200))]
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["class", "n", "sketch", "grams"]
-                )
+        return class_of(grams), grams.view(np.int64)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "class long, n long, sketch array<long>, grams array<long>")
+    return _per_text(documents, n, make, {"class": LONG, "grams": LONGS}, 200)
 
 
 def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
@@ -146,19 +146,41 @@ def may_link(similarity: Similarity, a: str, b: str) -> Column:
     return (different <= allowed(similarity, n, m)) & (F.least(n, m) * similarity.bottom >= F.greatest(n, m) * similarity.top)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity, sketched: bool = False) -> DataFrame:
-    """The linked ones of distinct pairs (a, b) of classes."""
-    if not sketched:
-        small = sets.select("class", "n", "sketch")
-        pairs = (
-            pairs.join(small.alias("x"), F.col("a") == F.col("x.class")).join(small.alias("y"), F.col("b") == F.col("y.class"))
-            .where(may_link(similarity, "x", "y")).select("a", "b")
-        )
-    grams = sets.select("class", "grams")
-    both = pairs.join(grams.alias("x"), F.col("a") == F.col("x.class")).join(grams.alias("y"), F.col("b") == F.col("y.class"))
+def wide_may_link(similarity: Similarity) -> Column:
+    """The same by the wide sketches of large sets."""
+    n, m = F.col("x.n"), F.col("y.n")
+    different = F.aggregate(
+        F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k
+    )
+    return F.coalesce(different <= allowed(similarity, n, m), F.lit(True))
+
+
+def verified(
+    pairs: DataFrame, documents: DataFrame, ids: DataFrame, sketched: DataFrame, n: int, similarity: Similarity,
+) -> DataFrame:
+    """The linked ones of distinct pairs (a, b) of classes; ``ids`` names a document of each class."""
+    x, y = sketched.alias("x"), sketched.alias("y")
+    on_x, on_y = F.col("a") == F.col("x.class"), F.col("b") == F.col("y.class")
+    small = sketched.select("class", "n", "sketch")
+    pairs = (
+        pairs.join(small.alias("x"), on_x).join(small.alias("y"), on_y).where(may_link(similarity, "x", "y"))
+        .select("a", "b")
+    )
+    pairs = materialize(pairs, "pairs")
+    large = sketched.where(F.col("wide").isNotNull()).select("class", "n", "wide")
+    x, y = large.alias("x"), large.alias("y")
+    pairs = pairs.join(x, on_x, "left").join(y, on_y, "left").where(wide_may_link(similarity)).select("a", "b")
+    pairs = materialize(pairs, "pairs")
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    wanted = materialize(ids.join(named, "class"), "wanted")
+    sets = whole_sets(only(documents, wanted.select("doc_id").distinct(), "doc_id"), n)
+    sets = materialize(only(sets, wanted.select("class"), "class").dropDuplicates(["class"]), "sets")
+    both = pairs.join(sets.alias("x"), on_x).join(sets.alias("y"), on_y)
     shared = F.size(F.array_intersect("x.grams", "y.grams"))
     union = F.size("x.grams") + F.size("y.grams") - shared
-    return both.where(similarity.bottom * shared >= similarity.top * union).select("a", "b")
+    links = materialize(both.where(similarity.bottom * shared >= similarity.top * union).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,17 +216,17 @@ def open_members(members: DataFrame, components_of: DataFrame) -> DataFrame:
     return rows.join(main.where("parts > 1").select("sig", F.col("most.component").alias("main")), "sig")
 
 
-def link_classes(documents: DataFrame, classes: DataFrame, n: int, similarity: Similarity, rounds: int = 3) -> DataFrame:
-    """``class`` and ``component`` of the classes that share a signature with another one."""
-    rows = signature_rows(documents, n, similarity)
+def link_classes(
+    documents: DataFrame, rows: DataFrame, classes: DataFrame, n: int, similarity: Similarity, rounds: int = 3,
+) -> DataFrame:
+    """``class`` and ``component`` of the classes that share a signature with another one; ``rows``: sig, class."""
     shared = rows.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     shared = materialize(shared.select("sig"), "shared")
     members = materialize(only(rows, shared, "sig").distinct(), "signatures")
     named = members.select("class").distinct()
     ids = materialize(classes.join(named, "class").select(F.col("rep").alias("doc_id"), "class"), "candidates")
-    sets = materialize(
-        only(whole_sets(only(documents, ids.select("doc_id"), "doc_id"), n), ids.select("class"), "class"), "sets"
-    )
+    found = sketches(only(documents, ids.select("doc_id"), "doc_id"), n)
+    sketched = materialize(only(found, ids.select("class"), "class").dropDuplicates(["class"]), "sketches")
     components_of = materialize(named.select("class", F.col("class").alias("component")), "components")
     for step in range(rounds):
         rows = materialize(open_members(members, components_of), "open")
@@ -212,11 +234,10 @@ def link_classes(documents: DataFrame, classes: DataFrame, n: int, similarity: S
         pairs = rows.join(pivots, "sig").where("component <> p.component").select(
             F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
         ).distinct()
-        links = materialize(verified(pairs, sets, similarity), "links")
-        if not links.limit(1).count():
-            continue
-        components_of = merged(components_of, links)
-    rows = open_members(members, components_of).join(sets.select("class", "n", "sketch"), "class")
+        links = verified(pairs, documents, ids, sketched, n, similarity)
+        if links.limit(1).count():
+            components_of = merged(components_of, links)
+    rows = open_members(members, components_of).join(sketched.select("class", "n", "sketch"), "class")
     rows = materialize(rows, "open")
     left, right = rows.where("component <> main").alias("x"), rows.alias("y")
     pair = (F.col("x.component") != F.col("y.component")) & (
@@ -225,19 +246,21 @@ def link_classes(documents: DataFrame, classes: DataFrame, n: int, similarity: S
     pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & pair & may_link(similarity, "x", "y")).select(
         F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")
     ).distinct()
-    links = materialize(verified(pairs, sets, similarity, sketched=True), "links")
+    links = verified(pairs, documents, ids, sketched, n, similarity)
     return merged(components_of, links) if links.limit(1).count() else components_of
 
 
 def join(documents: DataFrame, n: int = 5, similarity: Similarity = Similarity(4, 5)) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reached by links) of every document row."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialize(sizes_and_classes(documents, n), "classes")
+    signed = materialize(described_texts(documents, n, similarity), "signed")
+    described = materialize(signed.drop("sigs"), "classes")
     filled = described.where("n > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("class").agg(F.min("doc_id").alias("rep")), "reps")
     # Rows that repeat an id with another text link their classes.
     twice = filled.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-    linked = link_classes(documents, classes, n, similarity)
+    linked = link_classes(documents, signed.select(F.explode("sigs").alias("sig"), "class"), classes, n, similarity)
+    discard(signed)
     whole = classes.join(linked, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     if twice.limit(1).count():
         repeated = filled.join(twice.select("doc_id", F.col("a").alias("first")), "doc_id").select(F.col("first").alias("a"), F.col("class").alias("b"))
@@ -245,7 +268,7 @@ def join(documents: DataFrame, n: int = 5, similarity: Similarity = Similarity(4
     whole = materialize(whole, "linked")
     smallest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(whole.join(smallest, "component").select("class", "component_id"), "named")
-    joined = described.join(named, "class", "left")
+    joined = described.select("doc_id", "n", "class").join(named, "class", "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
