@@ -16,6 +16,9 @@ from shopgrain.llm import jaccard_join, lattice, mixing, quality_votes
 from shopgrain.llm.queries import tokenizer_file
 from shopgrain.session import configure, materialize, name_local_folder
 
+# Mild tempering of source, language and topic shares, so that most documents stay.
+POWERS = (0.95, 0.95, 0.95)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -31,7 +34,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose expected tokens meet tempered shares of sources, languages and topics."""
-    return mixing.sample(docs)
+    return mixing.sample(docs, powers=POWERS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,8 @@ def weigh(documents: DataFrame, targets: dict[str, DataFrame] | None = None, pow
     )
 
 
-def sample(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample(
+    documents: DataFrame, targets: dict[str, DataFrame] | None = None, powers: tuple[float, ...] = (0.8, 0.8, 0.8),
+) -> DataFrame:
     """The sampled documents with all their columns."""
-    return weigh(documents, targets).where("sampled").select("row.*")
+    return weigh(documents, targets, powers).where("sampled").select("row.*")

@@ -66,7 +66,7 @@ def test_one_document_of_each_group_stays(stages):
 
 def test_mixing_samples_by_its_probabilities(stages):
     before, after = stages[2]
-    assert ids(after) == ids(mixing.weigh(before).where("sampled").select("row.doc_id"))
+    assert ids(after) == ids(mixing.weigh(before, powers=pipeline.POWERS).where("sampled").select("row.doc_id"))
 
 
 def test_encoded_documents_decode(stages):
