@@ -3,7 +3,8 @@
 A page becomes a row of text blocks. A logistic classifier and the elements around a block give the costs of calling it
 content or boilerplate, which are the capacities from the source and to the sink. Blocks that follow each other, and
 blocks of one parent element, are joined by edges that grow with their closeness in the tree. The minimum cut is the
-cheapest labelling; its content side is the main text.
+cheapest labelling; its content side is the main text. What elements say is a cost too: an ``article`` or ``main`` inside
+a named wrapper outweighs the wrapper, and a name alone costs less than the classifier and the edges can overrule.
 
 The classifier reads only the shape of blocks (lengths, links, punctuation, place). It is fitted by Spark ML on blocks
 of a bounded sample of pages whose semantic elements say what they are (``max_pages``); every page is labelled.
@@ -44,7 +45,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-ASIDE_TAGS = frozenset("nav footer header aside form menu button dialog label fieldset".split())
+ASIDE_TAGS = frozenset("nav footer header aside menu button dialog label".split())
+WRAPPERS = frozenset("form fieldset".split())  # may hold a whole page, so no more than a name
 MAIN_TAGS = frozenset("article main".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -53,6 +55,11 @@ ASIDE_NAMES = frozenset(
     "reply respond share sharing sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split()
 )
 MAIN_ROLES = frozenset("main article".split())
+TALK_NAMES = frozenset("comment comments discussion disqus replies reply respond".split())  # may hold articles of readers
+LAYOUT = frozenset("has no with without is not hide show".split())  # 'has-sidebar' tells of the page, not of the element
+# What the open elements say, and the log odds of content it counts for.
+NOTHING, MAIN, HINT, NAMED, TALK, FIXED, MAIN_IN_NAMED, MAIN_IN_TALK = range(8)
+SAID = (0.0, 3.0, -1.0, -3.5, -3.5, -6.0, 1.0, -1.5)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -64,8 +71,7 @@ FIRST_WEIGHTS = (0.9, -3.0, 0.0, 1.0, -1.0, 0.0, 0.3, -2.0)  # the last is the i
 @dataclass
 class Block:
     path: tuple[int, ...]  # numbers of the open elements, outermost first
-    aside: int  # open elements that hold boilerplate
-    main: int
+    said: int  # what the open elements say, one of NOTHING to MAIN_IN_TALK
     parts: list[str] = field(default_factory=list)
     text: str = ""
     n_words: int = 0
@@ -73,22 +79,45 @@ class Block:
 
 
 def kind_of(tag: str, attributes: str) -> int:
-    """-1 for elements of boilerplate, 1 for those of content, 0 for others."""
-    words: set[str] = set()
+    """What an element says by itself: whole names count, parts of longer names are a hint."""
+    if tag in ASIDE_TAGS:
+        return FIXED
+    kind = NAMED if tag in WRAPPERS else NOTHING
+    is_main = tag in MAIN_TAGS
     if attributes:
         for _, value in ATTRIBUTE.findall(attributes):
-            words.update(NAME.findall(value.lower()))
-    if tag in ASIDE_TAGS or (tag not in ("body", "html") and words & ASIDE_NAMES):
-        return -1
-    return 1 if tag in MAIN_TAGS or words & MAIN_ROLES else 0
+            for name in value.lower().strip("\"'").split():
+                parts = NAME.findall(name)
+                if not parts or parts[0] in LAYOUT:
+                    continue
+                if ASIDE_NAMES.isdisjoint(parts):
+                    is_main |= not MAIN_ROLES.isdisjoint(parts)
+                elif tag in ("body", "html"):
+                    continue
+                elif ASIDE_NAMES.issuperset(parts):
+                    kind = TALK if kind == TALK or not TALK_NAMES.isdisjoint(parts) else NAMED
+                elif kind == NOTHING:
+                    kind = HINT
+    return MAIN if is_main and kind in (NOTHING, HINT) else kind
+
+
+def said_inside(outer: int, kind: int) -> int:
+    """What is said of the content of an element of this kind: the nearest word, which an outer name weakens."""
+    if outer == FIXED or kind == NOTHING:
+        return outer
+    if kind == HINT:
+        return outer if outer in (NAMED, TALK) else HINT
+    if kind == MAIN:
+        return {NAMED: MAIN_IN_NAMED, MAIN_IN_NAMED: MAIN_IN_NAMED, TALK: MAIN_IN_TALK, MAIN_IN_TALK: MAIN_IN_TALK}.get(outer, MAIN)
+    return TALK if kind == NAMED and outer in (TALK, MAIN_IN_TALK) else kind
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, kind
-    aside = main = links = number = 0
-    block = Block((), 0, 0)
+    stack: list[tuple[str, int, int]] = []  # tag, number, what is said inside
+    links = number = 0
+    block = Block((), NOTHING)
 
     def add(piece: str) -> None:
         if piece:
@@ -103,13 +132,11 @@ def blocks_of(page: str) -> list[Block]:
         if words:
             block.text, block.n_words = " ".join(words), len(words)
             blocks.append(block)
-        block = Block(tuple(n for t, n, _ in stack if t in BLOCKS), aside, main)
+        block = Block(tuple(n for t, n, _ in stack if t in BLOCKS), stack[-1][2] if stack else NOTHING)
 
     def pop_to(depth: int) -> None:
-        nonlocal aside, main, links
-        for tag, _, kind in stack[depth:]:
-            aside -= kind < 0
-            main -= kind > 0
+        nonlocal links
+        for tag, _, _ in stack[depth:]:
             links -= tag == "a"
         del stack[depth:]
 
@@ -149,10 +176,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
             pop_to(depth)
         number += 1
-        kind = kind_of(tag, m[4])
-        stack.append((tag, number, kind))
-        aside += kind < 0
-        main += kind > 0
+        stack.append((tag, number, said_inside(stack[-1][2] if stack else NOTHING, kind_of(tag, m[4]))))
         links += tag == "a"
         if tag in BLOCKS:
             close()
@@ -175,13 +199,12 @@ def features_of(blocks: list[Block]) -> list[list[float]]:
     return out
 
 
-def logits(blocks: list[Block], weights: tuple[float, ...], around: float = 3.0) -> list[float]:
-    """Log odds of content: the classifier's, within bounds, and what the open elements say, which counts for more."""
+def logits(blocks: list[Block], weights: tuple[float, ...]) -> list[float]:
+    """Log odds of content: the classifier's, within bounds, and what the open elements say."""
     out = []
     for b, x in zip(blocks, features_of(blocks)):
         shape = sum(w * v for w, v in zip(weights, x)) + weights[-1]
-        said = -2 * around if b.aside else around if b.main else 0.0
-        out.append(max(-2.5, min(2.5, shape)) + said)
+        out.append(max(-2.5, min(2.5, shape)) + SAID[b.said])
     return out
 
 
@@ -224,9 +247,9 @@ def fit_classifier(pages: DataFrame, html_column: str = "html", max_pages: int =
             for page in batch[html_column]:
                 blocks = blocks_of(page or "")
                 for b, f in zip(blocks, features_of(blocks)):
-                    if b.aside or b.main:
+                    if b.said in (MAIN, NAMED, TALK, FIXED):
                         x.append(f)
-                        y.append(0.0 if b.aside else 1.0)
+                        y.append(float(b.said == MAIN))
             yield pd.DataFrame({"x": pd.Series(x, dtype=object), "label": pd.Series(y, dtype=float)})
 
     rows = sample.mapInPandas(examples, "x array<double>, label double").cache()

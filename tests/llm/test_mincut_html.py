@@ -31,6 +31,33 @@ def test_pages_without_semantic_elements():
     assert "Short." in text and "Imprint" not in text and "One" not in text and text.startswith("A long text")
 
 
+LONG = "A long text with many words, as articles have, and it goes on. " * 4
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='layout has-sidebar'>", "<div class='no-sidebar'>", "<div class=with-comments>", "<div class=page-header>",
+    "<section class='related'>", "<div id=sidebar>", "<div class=comments>", "<form id=page>",
+])
+def test_a_name_on_a_wrapper_does_not_drop_the_article(wrapper):
+    article = f"<article><h1>The title of it</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    text = m.main_text(f"<html><body>{wrapper}{article}</div></section></form><footer>Imprint</footer></body></html>")
+    assert text.count("A long text") == 8 and "Imprint" not in text
+
+
+def test_the_cut_can_overrule_a_name():
+    assert m.SAID[m.NAMED] + 2.5 + 4 * 0.8 > 0
+    inside = "".join(f"<p>{LONG}</p>" for _ in range(2))
+    text = m.main_text(f"<html><body><div><div><div><article>{inside}<div class=ad></div><p class=notice>{LONG}</p>{inside}</article></div></div></div>")
+    assert text.count("A long text") == 20
+    assert m.main_text(f"<article><p>{LONG}</p><div class=ad>Buy now.</div><p>{LONG}</p></article>").count("Buy") == 0
+
+
+def test_related_and_comments_outside_stay_out():
+    article = f"<article><p>{LONG}</p></article>"
+    aside = "<section class=related><article><a href=1>Other story</a></article></section><div class=comments><article><p>So nice.</p></article></div>"
+    assert m.main_text(f"<body>{article}{aside}</body>") == " ".join(LONG.split())
+
+
 def test_cut_is_minimal():
     draw = random.Random(2)
     for _ in range(300):
