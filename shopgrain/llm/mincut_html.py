@@ -193,7 +193,7 @@ def features_of(blocks: list[Block]) -> list[list[float]]:
         near = max(sizes[i - 1] if i else 0, sizes[i + 1] if i + 1 < len(blocks) else 0)
         out.append([
             math.log1p(n), min(1.0, b.n_linked / max(n, 1)), length / max(n, 1) / 10,
-            sum(map(b.text.count, ".!?")) / max(n, 1), len(CAPITALS.findall(b.text[:200])) / min(length, 200),
+            sum(map(b.text.count, ".!?")) / max(n, 1), len(CAPITALS.findall(b.text)) / length,
             i / len(blocks), math.log1p(near),
         ])
     return out

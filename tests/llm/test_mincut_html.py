@@ -58,6 +58,12 @@ def test_related_and_comments_outside_stay_out():
     assert m.main_text(f"<body>{article}{aside}</body>") == " ".join(LONG.split())
 
 
+def test_capitals_are_counted_over_the_whole_block():
+    title = "WORDS IN CAPITALS " * 12
+    short, long = (m.features_of(m.blocks_of(f"<p>{title}{'and small ones ' * k}</p>"))[0][4] for k in (0, 100))
+    assert short > 0.8 and long < 0.15
+
+
 def test_cut_is_minimal():
     draw = random.Random(2)
     for _ in range(300):
