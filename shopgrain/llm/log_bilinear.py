@@ -4,14 +4,20 @@ Counts. Words of all training documents are counted, the end of each text includ
 frequent words, one class for the end, one for all other words) are counted too; both tables grow with the corpus and
 stay distributed.
 
-Training. The vector predicted for a context is ``c1 * R[w1] + c2 * R[w2]``, the score of a class
-``Q[w] . predicted + b[w]``. In each round every partition of the trigram table draws examples in proportion to their
-counts, tells each from ``noise`` classes drawn from the class frequencies (noise-contrastive estimation, numpy), and
+Classes. The vector predicted for a context is ``c1 * R[w1] + c2 * R[w2]``, the score of a class
+``Q[w] . predicted + b[w]``. In each round every partition of the trigram table shows all its counted trigrams, weighted by
+their counts, and tells each from ``noise`` classes drawn from the class frequencies (noise-contrastive estimation, numpy);
 the parameters, a few tens of kilobytes whatever the corpus, are averaged by weight of data.
 
-Scoring. One matrix product over all contexts of a task gives normalised log probabilities. A word outside the frequent
-ones gets its class's probability times its smoothed share of that class, so the probabilities of all words, and of
-unseen ones as one, add up to 1.
+Words. Every word of the dictionary (``frequent_words``) has a context vector of its own: one damped Newton step from the
+vector of its class over all its occurrences. Words of the class of all others are the leaves of a binary tree, split
+by the mean contexts they follow; every node is a log-bilinear decision, fitted by one damped Newton step from the share of
+its counts. Words outside the dictionary are one leaf and share the class's context vector; both passes sum a vector for
+each word, in each task before the shuffle.
+
+Scoring. Log probabilities are normalised over the classes and at every node. A word outside the dictionary gets the
+probability of its leaf times its smoothed share of it, so the probabilities of all words, and of unseen ones as one, add
+up to 1.
 
 * Null texts count as empty: one token, the end. A null doc_id counts as a training document. Repeated rows are trained
   on and scored apart. Without training documents all counts are 0 and the model is uniform.
@@ -25,9 +31,8 @@ import io
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -83,11 +88,6 @@ class Parameters:
         return out.reshape(K * K, K)
 
 
-@lru_cache(maxsize=1)
-def log_table(packed: bytes) -> np.ndarray:
-    return Parameters.unpacked(packed).log_probabilities()
-
-
 def first_parameters(class_counts: np.ndarray, dims: int, seed: int) -> Parameters:
     """Small random vectors; the biases already give the class frequencies."""
     rng = np.random.default_rng(seed)
@@ -136,11 +136,15 @@ def learn(
     codes: np.ndarray, counts: np.ndarray, start: Parameters, noise_share: np.ndarray, rng: np.random.Generator,
     noise: int, rate: float, batch: int = 256,
 ) -> Parameters:
-    """Noise-contrastive estimation over as many examples as there are distinct trigrams, and ``LEAST`` at least."""
+    """Noise-contrastive estimation over all trigrams by weight of count, shown again until they are ``LEAST``."""
     K = len(start.b)
     R, Q, c, b = (x.copy() for x in (start.R, start.Q, start.c, start.b))
     squares = [np.full_like(x, 1e-2) for x in (R, Q, c, b)]
-    drawn = rng.choice(len(codes), size=max(len(codes), LEAST), p=counts / counts.sum())
+    # A trigram of more than the mean count is shown in several examples that share its count.
+    times = -(-counts // max(1, int(counts.mean()))) * -(-LEAST // len(codes))
+    drawn = rng.permutation(np.repeat(np.arange(len(codes)), times))
+    share = (counts / times)[drawn]
+    share /= share.mean()
     log_noise = np.log(noise * noise_share)
 
     def move(k: int, value: np.ndarray, gradient: np.ndarray) -> None:
@@ -156,7 +160,7 @@ def learn(
         odds = np.einsum("nkd,nd->nk", vectors, predicted) + b[shown] - log_noise[shown]
         slope = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         slope[:, 0] -= 1
-        slope /= len(w)
+        slope *= share[at: at + batch, None] / len(w)
         back = np.einsum("nk,nkd->nd", slope, vectors)
         dQ, dR = np.zeros_like(Q), np.zeros_like(R)
         np.add.at(dQ, shown, slope[:, :, None] * predicted[:, None, :])
@@ -207,6 +211,191 @@ def train(
     return model
 
 
+def word_sums(texts: DataFrame, tokens: Callable, rows_of: Callable, size: int, dims: int, block: int = 4096) -> np.ndarray:
+    """Sums of the vectors that ``rows_of`` gives for places of texts, for each of ``size`` words; tasks add before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((size, dims), np.float32)
+        for x in token_runs((text.as_py() for batch in batches for text in batch.column(0)), tokens):
+            for index, vectors in rows_of(x):
+                if len(index):
+                    order = np.argsort(index, kind="stable")
+                    index = index[order]
+                    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+                    sums[index[first]] += np.add.reduceat(vectors[order], first)
+        seen = np.flatnonzero(sums.any(1))
+        parts = [part for part in np.split(seen, np.flatnonzero(np.diff(seen // block)) + 1) if len(part)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(part[0]) // block for part in parts], pa.int32()), pa.array([part.astype(np.int32).tobytes() for part in parts], pa.binary()),
+             pa.array([sums[part].tobytes() for part in parts], pa.binary())], ["block", "words", "sums"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        at = int(rows["block"].iloc[0])
+        total = np.zeros((block, dims))
+        for words, sums in zip(rows["words"], rows["sums"]):
+            total[np.frombuffer(words, np.int32) - at * block] += np.frombuffer(sums, np.float32).reshape(-1, dims)
+        return pd.DataFrame({"block": [at], "sums": [total.astype(np.float32).tobytes()]})
+
+    out = np.zeros((-(-size // block) * block, dims))
+    found = texts.mapInArrow(run, "block int, words binary, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary")
+    for row in found.collect():  # size x dims numbers, which the dictionary bounds
+        out[row["block"] * block: (row["block"] + 1) * block] = np.frombuffer(row["sums"], np.float32).reshape(block, dims)
+    return out[:size]
+
+
+def token_runs(texts: Iterator[str | None], tokens: Callable, size: int = 16_384) -> Iterator[np.ndarray]:
+    """Columns first, second and next word of every place of the texts, some thousand at a time."""
+    pending: list[np.ndarray] = []
+    held = 0
+    for text in texts:
+        x = np.concatenate([[END_CLASS, END_CLASS], np.asarray(tokens(text), np.int64), [END_CLASS]])
+        pending.append(np.stack([x[:-2], x[1:-1], x[2:]]))
+        held += pending[-1].shape[1]
+        if held >= size:
+            both = np.concatenate(pending, 1)
+            pending, held = [], 0
+            yield from (both[:, at: at + size] for at in range(0, both.shape[1], size))
+    if held:
+        both = np.concatenate(pending, 1)
+        yield from (both[:, at: at + size] for at in range(0, both.shape[1], size))
+
+
+@dataclass(frozen=True)
+class WordModel:
+    """Classes are words 0 to K - 1; then come the other words of the dictionary, leaves 0, 1, ... by ``leaf``."""
+
+    R: np.ndarray
+    Q: np.ndarray
+    c: np.ndarray
+    b: np.ndarray
+    mean: np.ndarray  # of the contexts of other words
+    leaf: np.ndarray  # of the class of others and of each word from K on
+    nodes: np.ndarray  # vectors of the decisions, the root is 1
+    bias: np.ndarray
+    depth: int
+
+    def contexts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self.c[0] * self.R[first] + self.c[1] * self.R[second]
+
+    def log_probabilities(self, first: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10; OTHER_CLASS as the word is the leaf of words outside the dictionary."""
+        K = len(self.b)
+        h = self.contexts(first, second)
+        scores = h @ self.Q.T + self.b
+        kind = np.where(word < K, word, OTHER_CLASS)
+        top = scores.max(1)
+        out = scores[np.arange(len(word)), kind] - top
+        scores -= top[:, None]
+        out -= np.log(np.exp(scores, out=scores).sum(1))
+        others = np.flatnonzero(kind == OTHER_CLASS)
+        if self.depth and len(others):
+            x = h[others] - self.mean
+            place = self.leaf[np.maximum(word[others] - K + 1, 0)] + (1 << self.depth)
+            for _ in range(self.depth):
+                right, place = place & 1, place >> 1
+                z = np.einsum("nd,nd->n", x, self.nodes[place]) + self.bias[place]
+                out[others] -= np.logaddexp(0, np.where(right, -z, z))
+        return out / math.log(10)
+
+
+def expected_outputs(model: Parameters) -> np.ndarray:
+    """The mean output vector that the classes predict after each pair of classes."""
+    K = len(model.b)
+    out = np.empty((K, K, model.Q.shape[1]), np.float32)
+    for first in range(K):
+        scores = (model.c[0] * model.R[first] + model.c[1] * model.R) @ model.Q.T + model.b
+        scores = np.exp(scores - scores.max(1, keepdims=True))
+        out[first] = scores @ model.Q / scores.sum(1, keepdims=True)
+    return out.reshape(K * K, -1)
+
+
+def damped(gradient: np.ndarray, times: np.ndarray, curvature: np.ndarray, ridge: float) -> np.ndarray:
+    """Newton steps with the curvature ``times * curvature + ridge``, one for each row."""
+    values, turn = np.linalg.eigh(curvature)
+    return (gradient @ turn / (times[:, None] * np.maximum(values, 0) + ridge)) @ turn.T
+
+
+def train_words(
+    training: DataFrame, model: Parameters, class_counts: np.ndarray, index: dict[bytes, int], mass: np.ndarray,
+    ridge: float = 30.0, ridge_of_nodes: float = 30.0,
+) -> WordModel:
+    """Vectors of all words of the dictionary. ``mass`` has the smoothed counts of the leaf of all others and of each word."""
+    spark = training.sparkSession
+    K, dims = model.Q.shape
+    V = len(mass)
+    share = (class_counts + 1) / (class_counts + 1).sum()
+    centred = model.Q - share @ model.Q
+    spread = centred.T @ (centred * share[:, None])
+    # Context vectors.
+    R = np.concatenate([model.R, np.repeat(model.R[OTHER_CLASS][None], V - 1, 0)]).astype(np.float32)
+    Q, c, b = (x.astype(np.float32) for x in (model.Q, model.c, model.b))
+    if V > 1:
+        sent = spark.sparkContext.broadcast((index, expected_outputs(model), Q, c))
+
+        def tokens(text: str | None) -> list[int]:
+            get = sent.value[0].get
+            return [get(w, OTHER_CLASS) for w in words_of(text)]
+
+        def as_contexts(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            _, expected, Q, c = sent.value
+            kind = np.where(x < K, x, OTHER_CLASS)
+            off = Q[kind[2]] - expected[kind[0] * K + kind[1]]
+            for place in (0, 1):
+                at = np.flatnonzero(x[place] >= K)
+                yield x[place, at] - K, off[at] * c[place]
+
+        gradient = word_sums(training, tokens, as_contexts, V - 1, dims)
+        curvature = sum(np.outer(model.c[k], model.c[k]) * spread for k in (0, 1))
+        R[K:] += damped(gradient, mass[1:] - 1, curvature, ridge)
+    # Output vectors, from sums of the contexts before each word.
+    depth = max(0, V - 1).bit_length()
+    blank = WordModel(R, Q, c, b, np.zeros(dims, np.float32), np.zeros(V, np.int64), np.zeros((1, dims), np.float32), np.zeros(1, np.float32), 0)
+    if not depth:
+        return blank
+    packed = spark.sparkContext.broadcast(blank)
+
+    # Products of contexts are needed only in total; their rows follow those of the words.
+    def as_outputs(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.flatnonzero((x[2] >= K) | (x[2] == OTHER_CLASS))
+        h = packed.value.contexts(x[0, at], x[1, at])
+        yield np.maximum(x[2, at] - K + 1, 0), np.concatenate([np.ones((len(at), 1), np.float32), h], 1)
+        if len(at):
+            square = np.concatenate([np.zeros((dims, 1), np.float32), h.T @ h], 1)
+            yield V + np.arange(dims), square
+
+    sums = word_sums(training, tokens, as_outputs, V + dims, 1 + dims)
+    n, sums, square = sums[:V, 0], sums[:V, 1:], sums[V:, 1:]
+    mean = sums.sum(0) / max(n.sum(), 1)
+    curvature = square / max(n.sum(), 1) - np.outer(mean, mean)
+    sums = sums - n[:, None] * mean
+    # The tree: halves of equal size along the main directions of the words' mean contexts.
+    _, turn = np.linalg.eigh(curvature)
+    along = (sums / (n[:, None] + 5)) @ turn[:, ::-1]
+    size = 1 << depth
+    order, node = np.arange(V), np.zeros(V, np.int64)
+    leaf = np.empty(V, np.int64)
+    position = np.arange(V) * size // V  # of the words in order; no half is empty but by rounding
+    for level in range(depth):
+        order = order[np.lexsort((along[order, level % min(4, dims)], node))]
+        node = position >> (depth - 1 - level)
+    leaf[order] = position
+    count, total, found = np.zeros(2 * size), np.zeros((2 * size, dims)), np.zeros(2 * size)
+    count[size + leaf], total[size + leaf], found[size + leaf] = mass, sums, n
+    for array in (count, total, found):
+        for level in range(depth - 1, -1, -1):
+            at = np.arange(1 << level, 2 << level)
+            array[at] = array[2 * at] + array[2 * at + 1]
+    at = np.arange(1, size)
+    left, right = count[2 * at], count[2 * at + 1]
+    p = right / np.maximum(left + right, 1e-300)
+    forked = (left > 0) & (right > 0)
+    nodes, bias = np.zeros((size, dims), np.float32), np.zeros(size, np.float32)
+    bias[1:] = np.where(forked, np.log(np.maximum(right, 1e-300)) - np.log(np.maximum(left, 1e-300)), np.where(right > 0, 60.0, -60.0))
+    step = damped(total[2 * at + 1] - p[:, None] * total[at], found[at] * p * (1 - p), curvature, ridge_of_nodes)
+    nodes[1:] = np.where(forked[:, None], step, 0)
+    return WordModel(R, Q, c, b, mean.astype(np.float32), leaf, nodes, bias, depth)
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 7, left: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == left, F.lit(False))
 
@@ -231,46 +420,48 @@ def score(
     class_counts[OTHER_CLASS] = n_other
     v_other = V - len(top) - (1 if end else 0)
     trigrams = count_trigrams(training, classes)
-    packed = train(materialize(trigrams, "codes"), class_counts).packed()
+    model = train(materialize(trigrams, "codes"), class_counts)
 
     table = frequent(counts, frequent_words).where("unit <> ''").toPandas()  # at most frequent_words rows
-    logs = {u.encode(): (OTHER_CLASS, math.log10(n + 1)) for u, n in zip(table["unit"], table["n"])}
-    logs |= {row["unit"].encode(): (k + 2, math.log10(row["n"] + 1)) for k, row in enumerate(top)}
-    known = spark.sparkContext.broadcast((packed, logs))
+    table = table.loc[np.array([u.encode() not in classes for u in table["unit"]], dtype=bool)].sort_values(["n", "unit"], ascending=[False, True])
+    K = len(class_counts)
+    index = {w: k for w, k in classes.items() if w} | {u.encode(): K + k for k, u in enumerate(table["unit"])}
+    tail = n_other + v_other + 1 - int(table["n"].sum()) - len(table)  # smoothed counts of words outside the dictionary
+    words = train_words(training, model, class_counts, index, np.concatenate([[tail], table["n"].to_numpy() + 1.0]))
+    log_counts = np.log10(np.concatenate([[1.0, 1.0], [row["n"] + 1 for row in top], table["n"].to_numpy() + 1.0]))
+    known = spark.sparkContext.broadcast((words, index, log_counts))
     log_end = math.log10(n_end + 1)
     id_type = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, words = known.value
-        log_class = log_table(packed)
-        K = log_class.shape[1]
+        words, index, log_counts = known.value
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(6)]
+            found_in: list[np.ndarray] = []
             for text in batch.column(2):
                 found = words_of(text.as_py())
-                pairs = [words.get(w) for w in found]
-                rare = Counter(w for w, p in zip(found, pairs) if p is None) if None in pairs else {}
-                x = np.fromiter((OTHER_CLASS if p is None else p[0] for p in pairs), np.int64, len(pairs))
-                logs = np.fromiter((0.0 if p is None else p[1] for p in pairs), np.float64, len(pairs))
-                x = np.concatenate([[END_CLASS, END_CLASS], x, [END_CLASS]])
-                others = x[2:-1] == OTHER_CLASS
+                x = np.fromiter((index.get(w, OTHER_CLASS) for w in found), np.int64, len(found))
+                rare = Counter(found[k] for k in np.flatnonzero(x == OTHER_CLASS))
                 columns[0].append(len(found) + 1)
                 columns[1].append(len(found) - sum(rare.values()) + (n_end > 0))
-                columns[2].append(float(logs.sum()) + log_end)
-                columns[3].append(float(log_class[x[:-2] * K + x[1:-1], x[2:]].sum(dtype=np.float64)))
-                columns[4].append(float(logs[others].sum()))
-                columns[5].append(int(others.sum()))
-                columns[6].append([{"unit": w.decode("utf-8", "replace"), "times": n} for w, n in rare.items()])
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(),
+                columns[2].append(float(log_counts[x].sum()) + log_end)
+                columns[4].append(sum(rare.values()))
+                columns[5].append([{"unit": w.decode("utf-8", "replace"), "times": n} for w, n in rare.items()])
+                found_in.append(x)
+            parts = [words.log_probabilities(*x) for x in token_runs(found_in, lambda x: x)]
+            logs = np.concatenate(parts) if parts else np.zeros(0)
+            ends = np.cumsum([0, *columns[0]])
+            columns[3] = [float(logs[i: j].sum(dtype=np.float64)) for i, j in zip(ends, ends[1:])]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
                      pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "class_score", "other_logs", "n_other", "rare"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "word_score", "n_rare", "rare"],
             )
 
     scored = documents.select("doc_id", is_held_out.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, class_score double, "
-        "other_logs double, n_other long, rare array<struct<unit:string,times:long>>"
+        run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, word_score double, "
+        "n_rare long, rare array<struct<unit:string,times:long>>"
     )
     # Row numbers are fixed by being written, so that repeated ids stay apart.
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
@@ -286,6 +477,5 @@ def score(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"),
         F.lit(N).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * math.log10(N + V + 1)).alias("base_score"),
-        (F.col("class_score") + F.col("other_logs") + F.col("rare_logs")
-         - F.col("n_other") * math.log10(n_other + v_other + 1)).alias("score"),
+        (F.col("word_score") + F.col("rare_logs") - F.col("n_rare") * math.log10(tail)).alias("score"),
     )

@@ -99,3 +99,36 @@ def test_words_are_lower_cased_as_asked():
     assert l.words_of("AÉ b c\x0bD") == ["aÉ".encode(), "b c".encode(), b"d"]
     with pytest.raises(AttributeError):
         l.words_of(5)
+
+
+def test_words_outside_the_classes_keep_their_identity(spark):
+    """Equally frequent words: which frequent word follows a rare one, and which rare one follows a frequent one."""
+    rows = [(i, f"u{k} {'ab'[k % 2]} v{k}") for i, k in enumerate(list(range(20)) * 60) if not is_held_out(i)]
+    held = [i for i in range(10_000, 99_999) if is_held_out(i)]
+    asked = ["u2 a", "u3 b", "u2 b", "u3 a", "a v2", "b v3", "a v3", "b v2"]
+    docs = spark.createDataFrame(rows + list(zip(held, asked)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in l.score(docs, n_classes=4).collect()}
+    x = [scores[i] for i in held[:8]]
+    assert x[0] + x[1] > x[2] + x[3] + 0.01
+    assert x[4] + x[5] > x[6] + x[7] + 0.01
+
+
+def test_word_model_adds_up_to_one_after_any_context(spark):
+    texts = spark.createDataFrame([(f"w{k % 7} x w{k % 5} y w{k % 11}",) for k in range(200)], "text string")
+    classes = {b"x": 2, b"y": 3}
+    index = classes | {f"w{k}".encode(): 4 + k for k in range(11)}
+    model = l.first_parameters(np.array([600.0, 200, 200, 200]), dims=4, seed=1)
+    words = l.train_words(texts, model, np.array([600.0, 200, 200, 200]), index, np.array([3.0, *range(80, 91)]))
+    asked = np.array([0, 1, 2, 3, *range(4, 15)])
+    for first, second in ((1, 1), (4, 2), (0, 14), (9, 9)):
+        logs = words.log_probabilities(np.full(15, first), np.full(15, second), asked)
+        assert math.isclose((10.0 ** logs.astype(float)).sum(), 1, abs_tol=1e-5)
+    assert np.abs(words.nodes).max() > 0 and len(np.unique(words.R[4:], axis=0)) > 1
+
+
+def test_learning_shows_every_counted_trigram():
+    """A trigram counted once among very frequent ones moves its own class."""
+    start = l.first_parameters(np.array([5.0, 5, 5, 5]), dims=4, seed=1)
+    codes, counts = np.array([0, 1, 2 * 16 + 3 * 4 + 3]), np.array([10 ** 6, 10 ** 6, 1])
+    model = l.learn(codes, counts, start, np.full(4, 0.25), np.random.default_rng(1), noise=2, rate=0.1)
+    assert not np.array_equal(model.R[2], start.R[2])
