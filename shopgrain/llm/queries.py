@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import edit_counts, jaccard_join, lattice, log_bilinear, mincut_html, mixing, pivot_index, quality_votes, url_trees, warc
+from shopgrain.llm import edit_counts, jaccard_join, lattice, log_bilinear, merkle, mincut_html, mixing, pivot_index, quality_votes, url_trees, warc
 from shopgrain.session import configure, name_local_folder
 
 TOKENIZERS = "/opt/tokenizers"
@@ -96,3 +96,8 @@ def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), n=3, similarity=jaccard_join.Similarity(9, 10))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
