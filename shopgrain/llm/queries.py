@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopgrain.llm import alignment, edit_counts, jaccard_join, lattice, log_bilinear, merkle, mincut_html, mixing, pivot_index, quality_votes, url_trees, warc
+from shopgrain.llm import alignment, edit_counts, jaccard_join, lattice, log_bilinear, merkle, mincut_html, mixing, pivot_index, quality_votes, secrets, url_trees, warc
 from shopgrain.session import configure, name_local_folder
 
 TOKENIZERS = "/opt/tokenizers"
@@ -98,6 +98,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), n=3, similarity=jaccard_join.Similarity(9, 10))
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summarize(secrets.spans(table(spark, sf_dir, "documents")))
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
