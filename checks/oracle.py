@@ -11,7 +11,8 @@ import re
 from shopgrain.schemas import TABLE_COLUMNS
 from shopgrain.sources.star_schema import BASE_TABLES, VIEWS
 
-from .queries import CORRELATED, END, START, STATES
+from .boosting_sql import boosted_steps
+from .queries import BOOSTED, CORRELATED, END, START, STATES
 
 MODEL_SALT = "42"
 
@@ -618,6 +619,36 @@ _BODIES: dict[str, str] = {
 }
 
 
+def _boosted(name: str, source: str, shown: str, weight: str = "1.0::double") -> str:
+    """A chain of boosting steps over the rows of another query's text."""
+    task = BOOSTED[name]
+    steps = boosted_steps("given", task.numeric, task.categorical, task.objective, task.settings, task.classes, weight)
+    chain = ", ".join(f"{step} as materialized ({text})" for step, text in {"given": source, **steps}.items())
+    return f"with {chain} select {shown} from scored join known using (order_id) where scored.split = 'test'"
+
+
+_BALANCED = """(select count(*) / count(distinct label) from known where split = 'train')
+    / greatest(count(*) filter (split = 'train') over (partition by label), 1)"""
+
+
+def _boosted_texts() -> dict[str, str]:
+    review, delay = with_steps(_BODIES["review_dataset"]), with_steps(_BODIES["delay_dataset"])
+    satisfaction = with_steps("""
+        select * exclude (score), case when score >= 4 then 1 else 0 end as label from (
+          select * exclude (label), label as score from ({review}))""".format(review=_BODIES["review_dataset"]))
+    return {
+        "review_softmax_scores": _boosted(
+            "review_softmax_scores", review,
+            "order_id, label, list_position(p, list_max(p)) as prediction, " + ", ".join(f"round(p[{k}], 6) as p{k}" for k in range(1, 6)),
+            _BALANCED,
+        ),
+        "satisfaction_boosted_scores": _boosted(
+            "satisfaction_boosted_scores", satisfaction, "order_id, label, (p[2] > p[1])::int as prediction, round(p[2], 6) as score", _BALANCED
+        ),
+        "delay_boosted_scores": _boosted("delay_boosted_scores", delay, "order_id, label, round(m[1], 6) as prediction"),
+    }
+
+
 def oracle() -> dict[str, str]:
     texts = {name: with_steps(body) for name, body in _BODIES.items() if not body.startswith("@")}
     texts |= {name: texts[body[1:]] for name, body in _BODIES.items() if body.startswith("@")}
@@ -628,4 +659,4 @@ def oracle() -> dict[str, str]:
         "scaled_delay_features": _scaled(),
         "one_hot_delay_features": _one_hot(),
     }
-    return texts
+    return texts | _boosted_texts()

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgrain.functions import number_or_null, timestamp_or_null
 from shopgrain.ml import (
-    best_threshold, binary_summary, build_delay_dataset, build_review_dataset, class_weights,
+    add_class_weights, best_threshold, binary_summary, build_delay_dataset, build_review_dataset, class_weights,
     classification_report, confusion_matrix, delay_estimators, fit_preprocessor, regression_metrics,
     report_summary, roc_auc, threshold_curve, train_binary_review_models, train_customer_value_model,
     train_delay_models, train_review_models,
 )
+from shopgrain.ml.boosting import Boosting, fit
 from shopgrain.ml.prepare import category_modes, numeric_constants
 from shopgrain.ml.train import binary_estimators, review_estimators
 from shopgrain.operators import (
@@ -805,6 +807,72 @@ def quality_binary_summary(spark, sf_dir):
     return rounded(binary_summary(rows, tune_threshold=True))
 
 
+# Boosted trees, tree by tree: few rounds over all rows, so that the twin can grow the same ones ---------------
+
+
+@dataclass(frozen=True)
+class Task:
+    """Inputs and settings that a query of boosted trees and its twin share."""
+
+    objective: str
+    numeric: tuple[str, ...]
+    categorical: tuple[str, ...]
+    settings: Boosting
+    classes: tuple[int, ...] = ()
+
+
+BOOSTED = {
+    "review_softmax_scores": Task(
+        "softmax", features.FEATURE_SETS["review"].numeric, features.FEATURE_SETS["review"].categorical,
+        Boosting(rounds=3, depth=3), (1, 2, 3, 4, 5),
+    ),
+    "satisfaction_boosted_scores": Task(
+        "logistic", features.FEATURE_SETS["review"].numeric, features.FEATURE_SETS["review"].categorical,
+        Boosting(rounds=4, depth=3, rate=0.3, rows=0.8, columns=0.6),
+    ),
+    "delay_boosted_scores": Task(
+        "squared", features.FEATURE_SETS["delay"].numeric, features.FEATURE_SETS["delay"].categorical,
+        Boosting(rounds=3, depth=4, rate=0.3, columns=0.8, stage_every=2),
+    ),
+}
+
+
+def boosted_scores(name: str, rows: DataFrame, balanced: bool) -> DataFrame:
+    """Test rows scored by trees fitted to the training rows."""
+    task, rows = BOOSTED[name], materialize(rows)
+    train = rows.where("split = 'train'")
+    train = add_class_weights(train) if balanced else train
+    model = fit(
+        train, ["order_id"], task.numeric, task.categorical, task.objective, task.settings,
+        weight="class_weight" if balanced else None,
+    )
+    return model.score(rows.where("split = 'test'"))
+
+
+@query
+def review_softmax_scores(spark, sf_dir):
+    """Probabilities of the five scores from one softmax."""
+    scored = boosted_scores("review_softmax_scores", review_dataset(spark, sf_dir), balanced=True)
+    return scored.select(
+        "order_id", "label", "prediction", *[F.round(F.col("probabilities")[k], 6).alias(f"p{k + 1}") for k in range(5)]
+    )
+
+
+@query
+def satisfaction_boosted_scores(spark, sf_dir):
+    """Probability of a satisfied customer; trees see samples of rows and inputs."""
+    rows = review_dataset(spark, sf_dir).withColumn("label", (F.col("label") >= 4).cast("int"))
+    scored = boosted_scores("satisfaction_boosted_scores", rows, balanced=True)
+    return scored.select("order_id", "label", "prediction", F.round("score", 6).alias("score"))
+
+
+@query
+def delay_boosted_scores(spark, sf_dir):
+    """Days of delay, trees on samples of inputs, margins written every other round."""
+    scored = boosted_scores("delay_boosted_scores", delay_dataset(spark, sf_dir), balanced=False)
+    return scored.select("order_id", "label", F.round("prediction", 6).alias("prediction"))
+
+
 # Models: full rows, smaller ensembles than the defaults ------------------------------------------------------
 
 

@@ -91,6 +91,18 @@ def exact_quantiles(
     return per_group.agg(*[F.max(name).alias(name) for name in fractions])
 
 
+def values_at_shares(
+    df: DataFrame, value: str, parts: int, by: Sequence[str] = (), stage: Stage | None = None
+) -> DataFrame:
+    """Per group, the values at the ends of the first ``parts - 1`` of so many equal parts, in rows (``by``, ``part``, ``value``).
+
+    The end of part ``i`` is the value of the row number ``ceil(i * n / parts)`` in order.
+    """
+    ranks = [F.floor((F.lit(i) * F.col("_n") + (parts - 1)) / parts) - 1 for i in range(1, parts)]
+    found = _values_at_ranks(df, value, by, [F.greatest(r, F.lit(0)) for r in ranks], stage)
+    return found.select(*([F.col("_key.*")] if by else []), (F.col("_i") + 1).alias("part"), F.col("_value").alias("value"))
+
+
 def at_or_above_quantile(df: DataFrame, value: str, fraction: float) -> DataFrame:
     """Rows whose ``value`` is at least the given quantile of all rows. ``df`` is read several times."""
     cut = exact_quantiles(df, value, {"cut": fraction}).scalar()
