@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,19 +34,18 @@ from shopgrain.session import materialize
 
 # Fixed value: how the byte-level vocabulary splits a text before encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = re.compile(" +[^ ]*")
 SPACE = "▁"
 KNOWN = 200_000  # pairs that every task gets as arrays: 17 bytes each
-PART = 400_000  # characters that are aligned at the same time, or one text
-LINKS = 1 << 20  # links that are made at the same time
-CACHE, SHORT = 100_000, 40
+PART = 100_000  # characters that are aligned at the same time, or one text
+LINKS = 1 << 18  # links that are made at the same time
+FLUSH = 1 << 20  # pairs that a task counts before it sends them
 
 
 @dataclass(frozen=True)
 class Tokens:
-    """How to encode a text, which already starts with a space, and the bytes of each id."""
+    """How to encode texts, which already start with a space, and the bytes of each id."""
 
-    encode: Callable[[str], list[int]]
+    encode: Callable[[list[str]], list[list[int]]]
     pieces: list[bytes]
 
 
@@ -73,44 +71,24 @@ def byte_level(path: str) -> Tokens:
         import tiktoken
 
         ranks = {entry: i for entry, i in entries.items() if i < 256 + len(merges)}  # ids are the ranks of the merges
-        return Tokens(tiktoken.Encoding("alignment", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, pieces)
+        encode = tiktoken.Encoding("alignment", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return Tokens(lambda texts: [encode(t) for t in texts], pieces)
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return Tokens(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, pieces)
+    return Tokens(lambda texts: [tokenizer.encode(t, add_special_tokens=False).ids for t in texts], pieces)
 
 
 @lru_cache(maxsize=4)
 def pieces_file(path: str) -> Tokens:
-    """A SentencePiece model that puts a space in front of a text.
-
-    If no piece has a space behind another character, spaces with what follows are encoded by themselves, each
-    short one once.
-    """
+    """A SentencePiece model that puts a space in front of a text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-    if any(SPACE in p.lstrip(SPACE) for p in names):
-        return Tokens(lambda text: model.encode(text[1:], num_threads=1), pieces)
-    space = model.piece_to_id(SPACE)
-    known: dict[str, list[int]] = {}
-
-    def of(chunk: str) -> list[int]:
-        ids = [space] if chunk == " " else model.encode(chunk[1:], num_threads=1)
-        if len(chunk) <= SHORT:
-            if len(known) >= CACHE:
-                known.clear()
-            known[chunk] = ids
-        return ids
-
-    def encode(text: str) -> list[int]:
-        find = known.get
-        return list(chain.from_iterable([find(c) or of(c) for c in CHUNK.findall(text)]))
-
-    return Tokens(encode, pieces)
+    return Tokens(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), pieces)
 
 
 def shared_cuts(a_ends: np.ndarray, b_ends: np.ndarray, a_start: np.ndarray, b_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,17 +143,12 @@ class Aligned:
 
 
 def align_part(texts: list[str | None], a: Tokens, b: Tokens, a_size: np.ndarray, b_size: np.ndarray) -> Aligned:
-    a_all, b_all = [], []
-    for text in texts:
-        ids_a, ids_b = [], []
-        if text:
-            spaced = " " + text
-            ids_a, ids_b = a.encode(spaced), b.encode(spaced)
-            data = spaced.encode()
-            if b"".join(map(a.pieces.__getitem__, ids_a)) != data or b"".join(map(b.pieces.__getitem__, ids_b)) != data:
-                ids_a, ids_b = [], []
-        a_all.append(ids_a)
-        b_all.append(ids_b)
+    spaced = [" " + t if t else "" for t in texts]
+    a_all, b_all = ([ids if t else [] for t, ids in zip(spaced, x.encode(spaced))] for x in (a, b))
+    for k, text in enumerate(spaced):
+        data = text.encode()
+        if b"".join(map(a.pieces.__getitem__, a_all[k])) != data or b"".join(map(b.pieces.__getitem__, b_all[k])) != data:
+            a_all[k], b_all[k] = [], []
     a_text, b_text = (np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) for ids in (a_all, b_all))
     a_ids, b_ids = (np.fromiter(chain.from_iterable(x), np.int64, n[-1]) for x, n in ((a_all, a_text), (b_all, b_text)))
     filled = a_text[1:] > a_text[:-1]
@@ -326,7 +299,7 @@ def pair_counts(linked: DataFrame, n_a: int, n_b: int) -> DataFrame:
             for start in range(0, batch.num_rows, 1024):
                 found = np.frombuffer(b"".join(batch.column("pairs").slice(start, 1024).to_pylist()), kind).astype(np.int64)
                 keys, n = summed(np.concatenate([keys, found]), np.concatenate([n, np.ones(len(found), np.int64)]))
-                if len(keys) > LINKS:
+                if len(keys) > FLUSH:
                     yield pa.RecordBatch.from_pydict({"pair": keys, "n": n})
                     keys, n = keys[:0], n[:0]
         yield pa.RecordBatch.from_pydict({"pair": keys, "n": n})
