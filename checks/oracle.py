@@ -12,7 +12,7 @@ from shopgrain.schemas import TABLE_COLUMNS
 from shopgrain.sources.star_schema import BASE_TABLES, VIEWS
 
 from .boosting_sql import boosted_steps
-from .queries import BOOSTED, CORRELATED, END, START, STATES
+from .queries import BOOSTED, CORRELATED, END, INSIDE_DAYS, START, STATES
 
 MODEL_SALT = "42"
 
@@ -485,6 +485,39 @@ _BODIES: dict[str, str] = {
         select round(coalesce(sum(total_order_value), 0), 2) as total_revenue, count(distinct order_id) as n_orders,
           round(avg(delivery_delay_days), 6) as avg_delay, round(avg(review_score_latest), 6) as avg_review_score
         from chosen""",
+    "cube_kpis": "@dashboard_kpis",
+    "cube_delay_by_state": "@dashboard_delay_by_state",
+    "cube_review_scores": "@dashboard_review_scores",
+    "cube_kpis_inside_days": f"""
+        select round(coalesce(sum(total_order_value), 0), 2) as total_revenue, count(distinct order_id) as n_orders,
+          round(avg(coalesce(delivery_delay_days, 0)), 6) as avg_delay, round(avg(review_score_latest), 6) as avg_review_score
+        from enriched where customer_state in {STATES}
+          and order_purchase_timestamp between timestamp '{INSIDE_DAYS[0]}' and timestamp '{INSIDE_DAYS[1]}'""",
+    "incremental_export": f"""
+        select order_id, customer_id, purchase_year, purchase_month, n_items, review_score_latest, customer_n_orders,
+          customer_last_purchase, customer_review_count, customer_state,
+          {_round('total_order_value delivery_delay_days customer_total_revenue customer_review_score_mean')},
+          round(customer_avg_order_value, 8) as customer_avg_order_value
+        from enriched""",
+    "coercion_report": """
+        select 'purchase_text' as "column", count(purchase_text) as n_given,
+          count(purchase_text) - count(try_cast(purchase_text as timestamp)) as n_rejected from v_raw_orders
+        union all select 'price_text', count(price_text), count(price_text) - count(try_cast(price_text as double)) from v_raw_orders""",
+    "coercion_rejects": """
+        select order_id, 'purchase_text' as "column", purchase_text as raw from v_raw_orders
+          where purchase_text is not null and try_cast(purchase_text as timestamp) is null
+        union all select order_id, 'price_text', price_text from v_raw_orders
+          where price_text is not null and try_cast(price_text as double) is null""",
+    "sales_by_every_key": """
+        select grouping, "key", round(sum(price), 2) as revenue, count(order_item_id) as n_items from (
+          select 'category' as grouping, product_category_name_english as "key", price, order_item_id
+            from c_items join c_products using (product_id)
+          union all select 'product', product_id::varchar, price, order_item_id from c_items
+          union all select 'seller', seller_id::varchar, price, order_item_id from c_items
+          union all select 'month', strftime(order_purchase_timestamp, '%Y-%m'), price, order_item_id from c_items join c_orders using (order_id)
+          union all select 'state', customer_state, price, order_item_id from c_items join c_orders using (order_id)
+            join c_customers using (customer_id))
+        where "key" is not null group by 1, 2""",
     "dashboard_kpi_table": """
         select unnest(['Total revenue (BRL)', 'Number of orders', 'Average delay (days)', 'Average review score'])
             as "KPI",

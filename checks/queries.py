@@ -22,12 +22,12 @@ from shopgrain.operators import (
     at_or_above_quantile, box_outliers, box_stats, correlation_matrix, count_by, exact_quantiles, exact_sample, fill_domain,
     hash_split, histogram, keep_first, lookup_join, missingness, stratified_split, table_profile, top_k,
 )
-from shopgrain.plans import assembly, cleaning, dashboard, features, reports
+from shopgrain.plans import assembly, cleaning, cube, dashboard, features, incremental, reports
 from shopgrain.plans.workflow import prepare_tables, run_workflow
 from shopgrain.schemas import TABLE_COLUMNS
 from shopgrain.session import configure, materialize, name_local_folder, stage_path
 from shopgrain.sources import (
-    load_enriched_orders, load_optional, load_star_schema, load_tables, scan_csv, with_declared_types,
+    coerce_counted, load_enriched_orders, load_optional, load_star_schema, load_tables, scan_csv, with_declared_types,
     write_enriched_orders, write_top_tables,
 )
 from shopgrain.sources.star_schema import view
@@ -40,6 +40,8 @@ QUERIES: dict[str, Query] = {}
 STATES = ("NATION_1", "NATION_3", "NATION_7", "NATION_12", "NATION_20")
 START, END = "1996-01-01", "1998-06-30 12:00:00"
 
+INSIDE_DAYS = "1994-02-03 10:30:00", "1997-05-06 07:08:09"
+
 CORRELATED = (
     "items_price_sum", "freight_value_sum", "payment_value_sum", "delivery_time_days", "delivery_estimated_days",
     "delivery_delay_days", "n_items", "review_score_latest",
@@ -177,6 +179,22 @@ def workflow_export(spark, sf_dir):
     return rounded(reports.monthly_orders_and_revenue(orders), 4)
 
 
+@query
+def incremental_export(spark, sf_dir):
+    """Enriched orders after three instalments, of which the last repeats a month of the first."""
+    tables = prepared(spark, sf_dir)
+    base = stage_path(spark, "instalments")
+    year, month = F.year("order_purchase_timestamp"), F.month("order_purchase_timestamp")
+    for part in (year <= 1994, year.between(1995, 1996), (year >= 1997) | ((year == 1993) & (month == 5))):
+        incremental.export_instalment(spark, {**tables, "orders": tables["orders"].where(part)}, base)
+    orders = incremental.load_export(spark, base, tables["customers"])
+    return rounded(orders.select(
+        "order_id", "customer_id", "purchase_year", "purchase_month", "total_order_value", "delivery_delay_days", "n_items",
+        "review_score_latest", "customer_n_orders", "customer_total_revenue", "customer_avg_order_value",
+        "customer_last_purchase", "customer_review_score_mean", "customer_review_count", "customer_state",
+    ), 6, customer_avg_order_value=8)
+
+
 @query
 def tables_profile(spark, sf_dir):
     return table_profile(raw(spark, sf_dir))
@@ -195,6 +213,22 @@ def coerced_raw_orders(spark, sf_dir):
     )
 
 
+def counted_raw_orders(spark, sf_dir):
+    text = view(spark, sf_dir, "raw_orders")
+    return coerce_counted(text, {"purchase_text": "timestamp_ntz", "price_text": "double"}, ["order_id"], materialize)
+
+
+@query
+def coercion_report(spark, sf_dir):
+    """How many values were given and how many could not be read, observed while the typed rows were written."""
+    return counted_raw_orders(spark, sf_dir).report
+
+
+@query
+def coercion_rejects(spark, sf_dir):
+    return counted_raw_orders(spark, sf_dir).rejects
+
+
 @query
 def identifier_typing(spark, sf_dir):
     return cleaning.cast_identifiers(raw(spark, sf_dir, "orders")["orders"], "orders").select(
@@ -487,6 +521,14 @@ def customers_with_zero_filled_value(spark, sf_dir):
     )
 
 
+@query
+def sales_by_every_key(spark, sf_dir):
+    """Five rankings' measures from one scan of the items."""
+    tables = prepared(spark, sf_dir)
+    orders = assembly.attach_customers(tables["orders"], tables["customers"])
+    return rounded(reports.sales_by_every_key(tables["order_items"], tables["products"], orders), 2)
+
+
 @query
 def items_per_category_zero_filled(spark, sf_dir):
     """Item counts over every translated category, sold or not."""
@@ -499,11 +541,35 @@ def items_per_category_zero_filled(spark, sf_dir):
 # Dashboard -------------------------------------------------------------------------------------------------
 
 
+_EXPORTS: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def exported(spark, sf_dir):
+    """Paths of one workflow run over a folder, kept for the session: what a dashboard reads, whatever its filters."""
+    key = spark.sparkContext.applicationId, sf_dir
+    found = _EXPORTS.get(key)
+    if found:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{found['cells']}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            found = None
+    if not found:
+        base = stage_path(spark, "run")
+        found = run_workflow(spark, raw(spark, sf_dir), base) | {"cells": f"{base}/cells"}
+        cube.build_cells(load_enriched_orders(spark, found["enriched_orders"])).write.parquet(found["cells"])
+        _EXPORTS[key] = found
+    return found
+
+
 def chosen(spark, sf_dir):
     """The stored enriched table, filtered as a request would."""
-    orders = materialize(staged_enriched(spark, sf_dir))
-    orders = orders.withColumn("delivery_delay_days", F.coalesce("delivery_delay_days", F.lit(0.0)))
-    return dashboard.filter_orders(orders, STATES, START, END)
+    return dashboard.filter_orders(load_enriched_orders(spark, exported(spark, sf_dir)["enriched_orders"]), STATES, START, END)
+
+
+def chosen_cells(spark, sf_dir, start=START, end=END):
+    """The same choice from stored cells; only orders of the last day are read from the wide table."""
+    paths = exported(spark, sf_dir)
+    orders = load_enriched_orders(spark, paths["enriched_orders"])
+    return cube.choose_cells(spark.read.parquet(paths["cells"]), orders, STATES, start, end)
 
 
 @query
@@ -545,12 +611,8 @@ def dashboard_delay_vs_review(spark, sf_dir):
 
 @query
 def dashboard_refresh(spark, sf_dir):
-    """All seven datasets of one refresh, as rows of (dataset, label, value)."""
-    tables = prepared(spark, sf_dir)
-    shown = dashboard.refresh(
-        chosen(spark, sf_dir), reports.top_categories(tables["order_items"], tables["products"]),
-        reports.top_sellers(tables["order_items"]),
-    )
+    """All seven datasets of one refresh over an export, as rows of (dataset, label, value)."""
+    shown = dashboard.refresh_export(spark, exported(spark, sf_dir), STATES, START, END)
 
     def part(name, df, label, value):
         return df.select(
@@ -572,6 +634,27 @@ def dashboard_refresh(spark, sf_dir):
     )
 
 
+@query
+def cube_kpis(spark, sf_dir):
+    return rounded(cube.kpis_of(chosen_cells(spark, sf_dir)), 6, total_revenue=2)
+
+
+@query
+def cube_delay_by_state(spark, sf_dir):
+    return rounded(cube.delay_by_state_of(chosen_cells(spark, sf_dir)))
+
+
+@query
+def cube_review_scores(spark, sf_dir):
+    return cube.review_scores_of(chosen_cells(spark, sf_dir))
+
+
+@query
+def cube_kpis_inside_days(spark, sf_dir):
+    """Both bounds inside a day."""
+    return rounded(cube.kpis_of(chosen_cells(spark, sf_dir, *INSIDE_DAYS)), 6, total_revenue=2)
+
+
 @query
 def state_options(spark, sf_dir):
     tables = clean(spark, sf_dir, "orders", "customers")

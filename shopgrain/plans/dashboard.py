@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sum_or_zero
 from ..operators import count_by
+from ..sources import load_enriched_orders, load_optional
 from .reports import mean_by_state, top_customers_of_orders
 
 
@@ -106,3 +107,15 @@ def refresh(
             delay_review_pairs(chosen) if {"delivery_delay_days", "review_score_latest"} <= present else None
         ),
     )
+
+
+def refresh_export(
+    spark: SparkSession, paths: Mapping[str, str], states: Sequence[str] = (), start: str | None = None, end: str | None = None
+) -> Dashboard:
+    """One refresh from what a workflow run has written: the enriched orders, and the two rankings if they are there."""
+    return refresh(
+        load_enriched_orders(spark, paths["enriched_orders"]),
+        load_optional(spark, paths.get("categories"), "product_category_name_english string, revenue double, n_items bigint"),
+        load_optional(spark, paths.get("sellers"), "seller_id string, revenue double, n_items bigint"),
+        states, start, end, unique_orders=True,
+    )

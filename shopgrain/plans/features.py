@@ -232,16 +232,8 @@ FEATURE_SETS = {
 }
 
 
-def build_enriched_orders(
-    tables: Mapping[str, DataFrame], stage: Callable[[DataFrame], DataFrame] = lambda df: df
-) -> DataFrame:
-    """The order-level table with every feature, from cleaned tables.
-
-    All steps keyed by ``order_id`` come first, on the partitioning that deduplicating the orders created;
-    then the wide rows move once to ``customer_id``, where the customer attributes, customer value and
-    customer review statistics arrive as one table. ``stage`` is applied to the order-level facts, which both
-    the customer aggregation and the final join read: pass ``materialize`` to compute them once on large data.
-    """
+def build_order_facts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Orders with every feature that does not depend on their customer's other orders, from cleaned tables."""
     facts = attach_order_facts(tables["orders"], tables).join(
         order_distance(
             tables["orders"], tables["customers"], tables["sellers"], tables["geolocation"], tables["order_items"]
@@ -249,12 +241,25 @@ def build_enriched_orders(
         "order_id",
         "left",
     )
-    facts = stage(
+    return (
         facts.transform(add_time_features)
         .transform(add_delivery_features)
         .transform(add_monetary_features)
         .transform(add_interaction_features)
     )
+
+
+def build_enriched_orders(
+    tables: Mapping[str, DataFrame], stage: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """The order-level table with every feature, from cleaned tables.
+
+    All steps keyed by ``order_id`` come first, on the partitioning that deduplicating the orders created;
+    then the wide rows move once to ``customer_id``, where the customer attributes, customer value and
+    customer review statistics arrive as one table. ``stage`` is applied to the order-level facts, which both
+    the customer aggregation and the final join read: pass ``materialize`` to compute them once on large data.
+    """
+    facts = stage(build_order_facts(tables))
     per_customer = keep_known_keys(facts, "customer_id").groupBy("customer_id").agg(
         F.count("order_id").alias("customer_n_orders"),
         sum_or_zero(F.col("total_order_value")).alias("customer_total_revenue"),

@@ -49,6 +49,33 @@ def top_sellers(order_items: DataFrame, k: int = 15) -> DataFrame:
     return top_k(_sales_by(order_items, "seller_id"), "revenue", "seller_id", k)
 
 
+def sales_by_every_key(order_items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
+    """Revenue and items by category, product, seller, purchase month and customer state, as (grouping, key, ...).
+
+    One scan of the items: they meet the products and the orders once, and all groupings are combined in the same
+    aggregation before the shuffle. ``orders`` has the customers' states. Missing keys form no group.
+    """
+    keys = {
+        "category": F.col("product_category_name_english"), "product": F.col("product_id").cast("string"),
+        "seller": F.col("seller_id").cast("string"), "month": F.date_format("order_purchase_timestamp", "yyyy-MM"),
+        "state": F.col("customer_state"),
+    }
+    rows = (
+        order_items.select("order_id", "order_item_id", "product_id", "seller_id", "price")
+        .join(products.select("product_id", "product_category_name_english"), "product_id", "left")
+        .join(orders.select("order_id", "order_purchase_timestamp", "customer_state"), "order_id", "left")
+        .select(*[key.alias(name) for name, key in keys.items()], "price", "order_item_id")
+    )
+    # The sum over known keys of one grouping: with all other keys blank, the grouping's number says which it is.
+    grouped = rows.groupingSets([[F.col(name)] for name in keys], *keys).agg(
+        F.grouping_id().alias("id"), sum_or_zero(F.col("price")).alias("revenue"), F.count("order_item_id").alias("n_items")
+    )
+    last = len(keys) - 1
+    names = {(1 << len(keys)) - 1 - (1 << (last - i)): name for i, name in enumerate(keys)}
+    grouping = F.coalesce(*[F.when(F.col("id") == number, F.lit(name)) for number, name in names.items()])
+    return grouped.select(grouping.alias("grouping"), F.coalesce(*keys).alias("key"), "revenue", "n_items").where(F.col("key").isNotNull())
+
+
 def top_customers(customer_value: DataFrame, k: int = 5) -> DataFrame:
     """Best customers by total revenue, from the customer table."""
     best = top_k(customer_value, "customer_total_revenue", "customer_id", k)

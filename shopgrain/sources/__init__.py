@@ -1,14 +1,14 @@
 """Table scans and sinks."""
 
 from .readers import (
-    SourceEmptyError, SourceMissingError, load_enriched_orders, load_optional, load_tables, scan_csv,
+    Coerced, SourceEmptyError, SourceMissingError, coerce_counted, load_enriched_orders, load_optional, load_tables, scan_csv,
     with_declared_types,
 )
 from .star_schema import load_star_schema
 from .writers import write_enriched_orders, write_small_csv, write_top_tables
 
 __all__ = [
-    "SourceEmptyError", "SourceMissingError", "load_enriched_orders", "load_optional", "load_star_schema",
+    "Coerced", "SourceEmptyError", "SourceMissingError", "coerce_counted", "load_enriched_orders", "load_optional", "load_star_schema",
     "load_tables", "scan_csv", "with_declared_types", "write_enriched_orders", "write_small_csv",
     "write_top_tables",
 ]

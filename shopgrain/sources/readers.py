@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Callable, Collection, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import number_or_null, text_or_null, timestamp_or_null, zero_if_null
@@ -57,6 +58,41 @@ def _coerce(name: str, dtype: str):
     return value.alias(name)
 
 
+@dataclass(frozen=True)
+class Coerced:
+    """Typed rows, how many values of each column were given and could not be read, and those values."""
+
+    rows: DataFrame
+    report: DataFrame
+    rejects: DataFrame
+
+
+def coerce_counted(df: DataFrame, types: Mapping[str, str], keys: Sequence[str], stage: Callable[[DataFrame], DataFrame]) -> Coerced:
+    """``with_declared_types`` that leaves a trace of what it turned into NULL.
+
+    The rows are read once: the counts are observed while ``stage`` writes the typed rows together with their rejected
+    values, which both results then read. ``report`` has a row per column of ``types`` that ``df`` has; ``rejects`` the
+    ``keys``, the column's name and the raw text.
+    """
+    names = [name for name in types if name in df.columns]
+    typed = with_declared_types(df, types)
+    raw = df.select(*[F.col(f"`{n}`") for n in df.columns], F.struct(*[F.col(f"`{n}`").cast("string").alias(n) for n in names]).alias("_raw"))
+    rows = with_declared_types(raw, types)
+    lost = {n: F.col("_raw")[n].isNotNull() & F.col(f"`{n}`").isNull() for n in names}
+    cells = F.array(*[F.when(lost[n], F.struct(F.lit(n).alias("column"), F.col("_raw")[n].alias("raw"))) for n in names])
+    seen = Observation()
+    marked = rows.observe(
+        seen, *[F.count(F.col("_raw")[n]).alias(f"given_{n}") for n in names], *[F.count_if(lost[n]).alias(f"lost_{n}") for n in names]
+    )
+    written = stage(marked.select(*[f"`{n}`" for n in typed.columns], F.filter(cells, lambda c: c.isNotNull()).alias("_rejects")))
+    counts = seen.get
+    report = df.sparkSession.createDataFrame(
+        [(n, counts[f"given_{n}"], counts[f"lost_{n}"]) for n in names], "column string, n_given bigint, n_rejected bigint"
+    )
+    rejects = written.where(F.size("_rejects") > 0).select(*keys, F.inline("_rejects"))
+    return Coerced(written.drop("_rejects"), report, rejects)
+
+
 def load_tables(
     spark: SparkSession,
     base: str,
