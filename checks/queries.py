@@ -929,7 +929,7 @@ def boosted_scores(name: str, rows: DataFrame, balanced: bool) -> DataFrame:
         train, ["order_id"], task.numeric, task.categorical, task.objective, task.settings,
         weight="class_weight" if balanced else None,
     )
-    return model.score(rows.where("split = 'test'"))
+    return model.transform(rows.where("split = 'test'"))
 
 
 @query

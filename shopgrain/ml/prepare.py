@@ -14,7 +14,6 @@ from ..functions import nan_to_null
 from ..operators import exact_quantiles, hash_split, lookup_join, stratified_split
 from ..session import materialize
 
-MAX_CLASSES = 1_000  # of a label, whose weights become one expression
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -62,13 +61,8 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def add_class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Rows with the balanced weight of their class."""
-    found = class_weights(rows, label).limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; balanced weights are meant for few")
-    weights = {row[label]: row["class_weight"] for row in found}
-    weight = F.coalesce(*[F.when(F.col(label) == value, F.lit(w)) for value, w in weights.items()])
-    return rows.withColumn("class_weight", weight)
+    """Rows with the balanced weight of their class. ``rows`` is read twice."""
+    return lookup_join(rows, class_weights(rows, label).select(label, "class_weight"), label)
 
 
 @dataclass

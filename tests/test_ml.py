@@ -142,14 +142,15 @@ def test_binary_summary_without_tuning(spark):
 def test_default_model_sizes():
     models = delay_estimators()
     assert models["RandomForest"].getNumTrees() == 150 and models["RandomForest"].getMaxDepth() == 30
-    assert [models[n].getMaxIter() for n in ("GradientBoosting", "BoostedTrees")] == [100, 200]
-    assert models["BoostedTrees"].getSubsamplingRate() == 0.8
-    assert [m.getMaxIter() for m in binary_estimators().values()] == [300, 400]
+    assert [models[n].rounds for n in ("GradientBoosting", "BoostedTrees")] == [100, 200]
+    assert models["BoostedTrees"].rows == models["BoostedTrees"].columns == 0.8
+    assert [m.rounds for m in binary_estimators().values()] == [300, 400]
+    assert [(m.rounds, m.depth) for m in review_estimators().values()] == [(100, 3), (100, 6)]
 
 
 def test_delay_models_learn_and_repeat(orders):
     data = build_delay_dataset(orders, NUMERIC + CATEGORICAL)
-    small = delay_estimators({"RandomForest": 5, "GradientBoosting": 10, "BoostedTrees": 3}, forest_depth=6)
+    small = delay_estimators({"RandomForest": 5, "GradientBoosting": 20, "BoostedTrees": 20}, forest_depth=6)
     metrics, models, scored = train_delay_models(data, NUMERIC, CATEGORICAL, small)
     got = {r["model"]: r for r in metrics.collect()}
     assert set(got) == set(models) == {"RandomForest", "GradientBoosting", "BoostedTrees"}
