@@ -149,7 +149,7 @@ def runs_of(texts: list[str]) -> Runs:
     n = stops - starts
     run = np.repeat(np.arange(len(n)), n)
     own = symbols[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)]
-    counts = np.bincount(run * len(SYMBOLS) + own, minlength=len(n) * len(SYMBOLS)).reshape(len(n), -1)
+    counts = np.bincount(run * len(SYMBOLS) + own, minlength=len(n) * len(SYMBOLS)).reshape(-1, len(SYMBOLS))
     fits = np.stack([counts[:, v < 0].sum(axis=1) == 0 for v in VALUES], axis=1)
     encoding = np.argmin(np.where(fits, SIZES, 1 << 20), axis=1) if len(n) else np.zeros(0, np.int64)
     size = SIZES[encoding]

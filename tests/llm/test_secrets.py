@@ -144,3 +144,8 @@ def test_random_strings_are_found_and_text_is_left_alone(spark, given):
 
 def test_empty_table(spark):
     assert s.summarize(s.spans(spark.createDataFrame([], COLUMNS))).collect() == []
+
+
+@pytest.mark.parametrize("texts", [[None], ["", None], ["short words only"], ["password: hunter22"], ["x" * 16]])
+def test_texts_without_candidates(spark, texts):
+    assert result(spark, texts) == expected(texts)
