@@ -99,14 +99,16 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", outlive: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Later steps restart from files when executors are lost, read only the columns they need, and do not
-    compute the table again. Inside ``staged`` the files go with the block; otherwise they stay.
+    compute the table again. Inside ``staged`` the files go with the block, or with the one around it if they are to
+    ``outlive`` it; otherwise they stay.
     """
     path = stage_path(df.sparkSession, name)
-    if _OWNERS:
-        _OWNERS[-1].append(path)
+    owners = _OWNERS[:-1] if outlive else _OWNERS
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
