@@ -2,7 +2,7 @@
 
 The tokens of each cell of source, language and topic are counted once. Raking then finds one factor for each source,
 each language and each topic so that the weighted tokens meet the target share of every one of them. The factors are
-small tables; in each step the cells are joined to two of them and summed by the third. A document's weight per token
+columns of the cells; in each step the cells are summed by one margin and joined to that margin's new factors. A document's weight per token
 is the product of its three factors; scaled so that the largest is 1, it is the probability with which the document is
 sampled, so expected tokens meet the targets. A hash of the id decides, so that a rerun draws the same sample.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shopgrain.llm.common import computed, words_of
 from shopgrain.llm.quality_votes import without
-from shopgrain.session import materialize
+from shopgrain.session import discard, materialize
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS = 10
@@ -55,25 +55,32 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.pow(F.sum("n_tokens").cast("double"), F.lit(power)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> dict[str, DataFrame]:
-    """A table of factors for each margin, for cells with tokens."""
-    factors: dict[str, DataFrame] = {}
-    shares = {}
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+    """The cells with a factor for each margin (``f_source`` and so on); 1 where a category has no tokens.
+
+    Each sweep over all margins is one plan, written once; a factor is the target share of its category over the
+    category's sum of tokens times the other factors.
+    """
+    filled = F.col("n_tokens") > 0
     for margin, target in targets.items():
-        present = cells.select(margin).distinct().join(target, margin, "left").fillna(0.0, ["share"])
+        present = cells.where(filled).select(margin).distinct().join(target, margin, "left").fillna(0.0, ["share"])
         total = present.agg(F.sum("share")).first()[0] or 1.0
-        shares[margin] = materialize(present.select(margin, (F.col("share") / total).alias("share")).coalesce(1), "share")
-    for sweep in range(sweeps):
-        for margin, share in shares.items():
-            weight, df = F.col("n_tokens").cast("double"), cells
-            for other, table in factors.items():
+        shares = present.select(margin, (F.col("share") / total).alias(f"share_{margin}"))
+        cells = cells.join(shares, margin, "left").withColumn(f"f_{margin}", F.lit(1.0))
+    cells = materialize(cells, "cells")
+    for _ in range(sweeps):
+        before = cells
+        for margin in targets:
+            weight = F.col("n_tokens").cast("double")
+            for other in targets:
                 if other != margin:
-                    df = df.join(table.withColumnRenamed("factor", f"f_{other}"), other)
                     weight = weight * F.col(f"f_{other}")
-            sums = df.groupBy(margin).agg(F.sum(weight).alias("weight"))
-            factor = F.when(F.col("weight") > 0, F.col("share") / F.col("weight")).otherwise(0.0)
-            factors[margin] = materialize(sums.join(share, margin).select(margin, factor.alias("factor")).coalesce(1), "factor")
-    return factors
+            sums = cells.where(filled).groupBy(margin).agg(F.sum(weight).alias("weight"))
+            factor = F.when(F.col("weight") > 0, F.col(f"share_{margin}") / F.col("weight")).when(F.col("weight").isNotNull(), 0.0)
+            cells = cells.join(sums, margin, "left").withColumn(f"f_{margin}", F.coalesce(factor, F.lit(1.0))).drop("weight")
+        cells = materialize(cells, "cells")
+        discard(before)
+    return cells
 
 
 def weigh(documents: DataFrame, targets: dict[str, DataFrame] | None = None, powers: tuple[float, ...] = (0.8, 0.8, 0.8)) -> DataFrame:
@@ -83,10 +90,10 @@ def weigh(documents: DataFrame, targets: dict[str, DataFrame] | None = None, pow
     filled = cells.where("n_tokens > 0")
     targets = targets or {m: tempered(filled, m, p) for m, p in zip(MARGINS, powers)}
     weight = F.lit(1.0)
-    for margin, table in rake(filled, targets).items():
-        cells = cells.join(table.withColumnRenamed("factor", f"f_{margin}"), margin, "left")
-        weight = weight * F.coalesce(f"f_{margin}", F.lit(1.0))
-    table = materialize(cells.select(*MARGINS, weight.alias("weight"), (F.col("n_tokens") > 0).alias("filled")).coalesce(1), "weights")
+    for margin in targets:
+        weight = weight * F.col(f"f_{margin}")
+    raked = rake(cells, targets)
+    table = materialize(raked.select(*MARGINS, weight.alias("weight"), (F.col("n_tokens") > 0).alias("filled")), "weights")
     most = table.where("filled").agg(F.max("weight")).first()[0] or 1.0
     df = df.join(table, list(MARGINS))
     probability = F.least(F.col("weight") / most, F.lit(1.0))
