@@ -229,6 +229,10 @@ def with_verdict(votes: DataFrame, model: VoteModel, least_posterior: float = 0.
 
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that are kept, with all their columns: the texts are read twice instead of being shuffled."""
-    model = fit(vote(measure(documents.select("text")), rules), rules)
-    return with_verdict(vote(measure(documents), rules), model).where("kept").select("row.*")
+    """The documents that are kept, with all their columns.
+
+    Each text is measured once: documents and votes are written together, the model is fitted to the votes, and the
+    written rows are filtered.
+    """
+    voted = materialize(vote(measure(documents), rules), "voted")
+    return with_verdict(voted, fit(voted, rules), 0.5).where("kept").select("row.*")
