@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.llm.partenum import Similarity, mixed, signatures
-from shopgrain.session import discard, materialize
+from shopgrain.operators import lookup_join
+from shopgrain.session import discard, materialize, staged
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SKETCH_WORDS, WIDE_WORDS = 16, 256
@@ -166,11 +167,12 @@ def verified(
         pairs.join(small.alias("x"), on_x).join(small.alias("y"), on_y).where(may_link(similarity, "x", "y"))
         .select("a", "b")
     )
-    pairs = materialize(pairs, "pairs")
+    pairs = before = materialize(pairs, "pairs")
     large = sketched.where(F.col("wide").isNotNull()).select("class", "n", "wide")
     x, y = large.alias("x"), large.alias("y")
     pairs = pairs.join(x, on_x, "left").join(y, on_y, "left").where(wide_may_link(similarity)).select("a", "b")
     pairs = materialize(pairs, "pairs")
+    discard(before)
     named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = materialize(ids.join(named, "class"), "wanted")
     sets = whole_sets(only(documents, wanted.select("doc_id").distinct(), "doc_id"), n)
@@ -179,7 +181,8 @@ def verified(
     shared = F.size(F.array_intersect("x.grams", "y.grams"))
     union = F.size("x.grams") + F.size("y.grams") - shared
     links = materialize(both.where(similarity.bottom * shared >= similarity.top * union).select("a", "b"), "links")
-    discard(sets)
+    for table in (sets, wanted, pairs):
+        discard(table)
     return links
 
 
@@ -193,8 +196,10 @@ def components(edges: DataFrame) -> DataFrame:
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = lower.join(further, "label", "left").select("node", F.coalesce(F.least("far", "label"), "label").alias("label"), "old")
         step = materialize(step, "labels")
+        discard(labels)
         labels = step.select("node", "label")
         if not step.where("label <> old").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -209,11 +214,17 @@ def merged(components_of: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_members(members: DataFrame, components_of: DataFrame) -> DataFrame:
-    """Members of signatures whose classes are not yet in one component, with the signature's main component."""
+    """Members of signatures whose classes are not yet in one component, with the signature's main component, written once.
+
+    Signatures of many classes are split by the lookup join.
+    """
     rows = materialize(members.join(components_of, "class"), "members")
     counts = rows.groupBy("sig", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-    return rows.join(main.where("parts > 1").select("sig", F.col("most.component").alias("main")), "sig")
+    main = main.where("parts > 1").select("sig", F.col("most.component").alias("main"))
+    found = materialize(lookup_join(rows, main, "sig").where(F.col("main").isNotNull()), "open")
+    discard(rows)
+    return found
 
 
 def link_classes(
@@ -229,16 +240,16 @@ def link_classes(
     sketched = materialize(only(found, ids.select("class"), "class").dropDuplicates(["class"]), "sketches")
     components_of = materialize(named.select("class", F.col("class").alias("component")), "components")
     for step in range(rounds):
-        rows = materialize(open_members(members, components_of), "open")
+        rows = open_members(members, components_of)
         pivots = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("class", F.lit(step)).alias("h"), "class", "component")).alias("p"))
-        pairs = rows.join(pivots, "sig").where("component <> p.component").select(
+        pairs = lookup_join(rows, pivots, "sig").where("component <> p.component").select(
             F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
         ).distinct()
         links = verified(pairs, documents, ids, sketched, n, similarity)
+        discard(rows)
         if links.limit(1).count():
             components_of = merged(components_of, links)
-    rows = open_members(members, components_of).join(sketched.select("class", "n", "sketch"), "class")
-    rows = materialize(rows, "open")
+    rows = materialize(open_members(members, components_of).join(sketched.select("class", "n", "sketch"), "class"), "open")
     left, right = rows.where("component <> main").alias("x"), rows.alias("y")
     pair = (F.col("x.component") != F.col("y.component")) & (
         (F.col("y.component") == F.col("y.main")) | (F.col("x.class") < F.col("y.class"))
@@ -251,7 +262,15 @@ def link_classes(
 
 
 def join(documents: DataFrame, n: int = 5, similarity: Similarity = Similarity(4, 5)) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reached by links) of every document row."""
+    """doc_id, n_shingles and component_id (the smallest doc_id reached by links) of every document row.
+
+    Everything that is staged on the way is deleted; the result is written.
+    """
+    with staged(documents.sparkSession):
+        return materialize(_joined(documents, n, similarity), "joined", outlive=True)
+
+
+def _joined(documents: DataFrame, n: int, similarity: Similarity) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(described_texts(documents, n, similarity), "signed")
     described = materialize(signed.drop("sigs"), "classes")
@@ -278,7 +297,7 @@ def join(documents: DataFrame, n: int = 5, similarity: Similarity = Similarity(4
 
 def keep_one(documents: DataFrame, n: int = 5, similarity: Similarity = Similarity(4, 5)) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest id. Rows without id stay."""
-    found = materialize(join(documents, n, similarity), "joined")
+    found = join(documents, n, similarity)
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = only(documents, dropped, "doc_id", "left_anti")
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -21,6 +21,7 @@ from math import ceil, log
 import numpy as np
 
 U = np.uint64
+LEAST_ENUMERATED = 6  # with fewer different elements parts would often be empty
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,9 +80,12 @@ def scheme_of(similarity: Similarity, band: int) -> Scheme:
     k = similarity.most_different(largest)
     if k == 0:
         return Scheme(band, 0, 1, 1, 0, 0)
-    # Partitions hold so few different elements that some hold none; the spare ones cover empty partitions.
-    spare = 1 if similarity.top * 10 >= similarity.bottom * 9 else 1 + k // 25
-    return Scheme(band, k, k + 1 + spare, 1, 0, spare)
+    if k < LEAST_ENUMERATED:
+        # So few different elements that some partitions hold none; the spare one covers an empty partition.
+        return Scheme(band, k, k + 2, 1, 0, 1)
+    # At most k / 2 partitions hold two different elements or more; in the others two of three parts agree.
+    spare = 1 + k // 50
+    return Scheme(band, k, k // 2 + 1 + spare, 3, 1, spare)
 
 
 def signatures(elements: np.ndarray, similarity: Similarity) -> np.ndarray:

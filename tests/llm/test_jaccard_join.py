@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopgrain.llm import jaccard_join as j
-from shopgrain.llm.partenum import Similarity, signatures
+from shopgrain.llm.partenum import Similarity, scheme_of, signatures
 
 
 def shingle_set(text, n):
@@ -95,3 +95,26 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     labels = {r.node: r.label for r in j.components(edges).collect()}
     assert labels == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_large_sets_enumerate_subsets():
+    similarity = Similarity(4, 5)
+    schemes = [scheme_of(similarity, similarity.band(n)) for n in (100, 400, 3000)]
+    assert all(s.enumerated > 0 and len(s.subsets) > 1 for s in schemes)
+    # In more than ``spare`` partitions two linked sets differ by at most ``enumerated`` elements.
+    assert all(s.first - s.k // (s.enumerated + 1) > s.spare for s in schemes)
+
+
+def test_candidates_grow_with_the_documents():
+    draw = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+
+    def candidates(n):
+        held = {}
+        for doc in range(n):
+            text = " ".join(draw.choices(words, weights=range(len(words), 0, -1), k=draw.choice([60, 300])))
+            for sig in signatures(j.shingles(text, 5, j.WordHashes()), Similarity(4, 5)).tolist():
+                held.setdefault(sig, []).append(doc)
+        return sum(len(x) - 1 for x in held.values())
+
+    assert candidates(300) <= 30
