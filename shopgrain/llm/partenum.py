@@ -83,8 +83,9 @@ def scheme_of(similarity: Similarity, band: int) -> Scheme:
     if k < LEAST_ENUMERATED:
         # So few different elements that some partitions hold none; the spare one covers an empty partition.
         return Scheme(band, k, k + 2, 1, 0, 1)
-    # At most k / 2 partitions hold two different elements or more; in the others two of three parts agree.
-    spare = 1 + k // 50
+    # At most k / 2 partitions hold two different elements or more; in the others two of three parts agree. With fewer spare
+    # partitions than this, many sets would have more partitions with empty parts than may be left out.
+    spare = 2 + k // 12
     return Scheme(band, k, k // 2 + 1 + spare, 3, 1, spare)
 
 

