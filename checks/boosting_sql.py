@@ -5,40 +5,88 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from shopgrain.ml.boosting import HIGHEST, SCALE, Boosting
+from shopgrain.ml.forest import DRAWN_AT_MOST, ForestSettings
 
 
 def _whole(value: str) -> str:
     return f"floor(({value}) * {SCALE} + 0.5)::bigint"
 
 
-def boosted_steps(
-    rows: str, numeric: Sequence[str], categorical: Sequence[str], objective: str, s: Boosting, classes: Sequence = (),
-    weight: str = "1.0::double", key: str = "order_id",
-) -> dict[str, str]:
-    """Steps over a table of rows with ``label`` and ``split``; the last, ``scored``, has margins ``m`` and probabilities ``p``."""
-    n_trees = len(classes) if objective == "softmax" else 1
-    y = {"squared": "label::double", "logistic": "label::int", "softmax": f"list_position({list(classes)}, label) - 1"}[objective]
+def _binned(numeric: Sequence[str], categorical: Sequence[str], bins: int, max_codes: int, key: str, carried: str) -> dict[str, str]:
+    """Cuts, codes, and the bins of all rows of a table ``weighted`` over ``known``."""
     numbers = " union all ".join(f"select {i} as input, {n}::double as value from known where split = 'train'" for i, n in enumerate(numeric))
     values = " union all ".join(f"select {i} as input, {n}::varchar as value from known where split = 'train'" for i, n in enumerate(categorical))
-    steps = {
-        "known": f"select *, {y} as y from {rows} where label is not null",
-        "weighted": f"select *, {weight} as w from known",
+    return {
         "cut_lists": f"""
             select {", ".join(f"coalesce(list(distinct value order by value) filter (input = {i}), []) as cut_{i}" for i in range(len(numeric)))}
             from (select *, row_number() over (partition by input order by value) as r, count(*) over (partition by input) as n
               from ({numbers}) where value is not null)
-            join (select unnest(range(1, {s.bins})) as i) on r = greatest((i * n + {s.bins - 1}) // {s.bins}, 1)""",
+            join (select unnest(range(1, {bins})) as i) on r = greatest((i * n + {bins - 1}) // {bins}, 1)""",
         "code_lists": f"""
-            select {", ".join(f"coalesce(list(value order by place) filter (input = {i}), []) as codes_{i}" for i in range(len(categorical)))}
+            select {", ".join(f"coalesce(list(value order by place) filter (input = {i}), []) as codes_{i}" for i in range(len(categorical))) or "0 as none"}
             from (select *, row_number() over (partition by input order by n desc, value) as place
-              from (select input, value, count(*) as n from ({values}) where value is not null group by all))
-            where place <= {s.max_codes}""",
-        "binned": "select {key}, split, y, w, [{bins}] as bins from weighted, cut_lists, code_lists".format(
-            key=key, bins=", ".join([
+              from (select input, value, count(*) as n from ({values or "select 0 as input, '' as value"}) where value is not null group by all))
+            where place <= {max_codes}""",
+        "binned": "select {key}, split, {carried}, [{bins}] as bins from weighted, cut_lists, code_lists".format(
+            key=key, carried=carried, bins=", ".join([
                 *[f"len(list_filter(cut_{i}, lambda c: c <= {n}::double))::int" for i, n in enumerate(numeric)],
                 *[f"coalesce(list_position(codes_{i}, {n}::varchar), 0)::int" for i, n in enumerate(categorical)],
             ])),
     }
+
+
+def forest_steps(
+    rows: str, numeric: Sequence[str], categorical: Sequence[str], s: ForestSettings, levels: int, key: str = "order_id",
+) -> dict[str, str]:
+    """Steps over a table of rows with ``label`` and ``split``; the last, ``averaged``, has the predictions of all rows.
+
+    Nodes are named by numbers that double with each level, so there can be at most 120 of these.
+    """
+    drawn = f"('0x' || substr(md5(md5(concat_ws(':', {key}, '{s.seed}')) || ':' || k), 1, 8))::bigint"
+    weight = " + ".join(f"({drawn} >= {cut})::int" for cut in DRAWN_AT_MOST) if s.bootstrap else "1"
+    steps = {
+        "known": f"select * from {rows} where label is not null", "weighted": "select * from known",
+        **_binned(numeric, categorical, s.bins, s.max_codes, key, "label"),
+        "rows_0": f"""select *, case when split = 'train' then {weight} else 0 end as w from (select {key}, split, bins,
+            floor(label::double * {SCALE} + 0.5)::bigint as y, unnest(range({s.trees})) as k, 1::hugeint as node, null::double as value, false as done from binned)""",
+    }
+    for level in range(levels + 1):
+        limit = s.max_depth is None or level < s.max_depth
+        steps[f"sums_{level}"] = f"""
+            select k, node, f, bin, sum(g) over w as g, sum(h) over w as h,
+              case when f < {len(numeric)} then sum(g) over w - sum(g) over u else g end as gr,
+              case when f < {len(numeric)} then sum(h) over w - sum(h) over u else h end as hr
+            from (select k, node, f, bin, sum(g)::hugeint as g, sum(w)::hugeint as h from (
+                select k, node, y * w as g, w, unnest(range({len(numeric) + len(categorical)})) as f, unnest(bins) as bin
+                from rows_{level} where w > 0 and not done) group by all)
+            window w as (partition by k, node, f), u as (partition by k, node, f order by bin rows between unbounded preceding and current row)"""
+        steps[f"best_{level}"] = f"""
+            select k, node, any_value(g)::double / any_value(h)::double / {SCALE} as value, max(f) filter (first) as f, max(bin) filter (first) as bin
+            from (select *, usable and row_number() over (partition by k, node order by usable desc, gain desc, f, bin) = 1 as first
+              from (select *, {limit} and hr > 0 and hr < h and gain > 0 and h >= {s.least_rows} as usable from (select *,
+                gr::double * gr::double / hr::double + (g - gr)::double * (g - gr)::double / (h - hr)::double
+                  - g::double * g::double / h::double as gain from sums_{level})))
+            group by k, node"""
+        steps[f"rows_{level + 1}"] = f"""
+            select r.* replace (coalesce(b.value, r.value) as value, r.done or b.f is null as done, case when b.f is null then r.node else
+              2 * r.node + (case when b.f < {len(numeric)} then r.bins[b.f + 1] > b.bin else r.bins[b.f + 1] = b.bin end)::int end as node)
+            from rows_{level} r left join best_{level} b on not r.done and r.k = b.k and r.node = b.node"""
+    steps["averaged"] = f"select {key}, split, avg(value) as prediction from rows_{levels + 1} group by all"
+    return steps
+
+
+def boosted_steps(
+    rows: str, numeric: Sequence[str], categorical: Sequence[str], objective: str, s: Boosting, classes: Sequence = (),
+    weight: str = "1.0::double", key: str = "order_id",
+) -> dict[str, str]:
+    """Steps over a table of rows with ``label`` and ``split``; the last, ``scored``, has margins ``m`` and probabilities ``p``."""
+    n_trees = len(classes) if objective == "softmax" else 1
+    y = {"squared": "label::double", "logistic": "label::int", "softmax": f"list_position({list(classes)}, label) - 1"}[objective]
+    steps = {
+        "known": f"select *, {y} as y from {rows} where label is not null",
+        "weighted": f"select *, {weight} as w from known",
+        **_binned(numeric, categorical, s.bins, s.max_codes, key, "y, w"),
+    }
     train = "(select * from binned where split = 'train')"
     if objective == "squared":
         base = f"select [sum({_whole('w * y')})::double / sum({_whole('w')})::double] as base from {train}"

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
+from shopgrain.plans.features import FEATURE_SETS
 from shopgrain.schemas import TABLE_COLUMNS
 from shopgrain.sources.star_schema import BASE_TABLES, VIEWS
 
-from .boosting_sql import boosted_steps
-from .queries import BOOSTED, CORRELATED, END, INSIDE_DAYS, START, STATES
+from .boosting_sql import boosted_steps, forest_steps
+from .queries import BOOSTED, CHAIN, CORRELATED, DELAY_FOREST, END, INSIDE_DAYS, START, STATES
 
 MODEL_SALT = "42"
 
@@ -664,6 +665,28 @@ _BALANCED = """(select count(*) / count(distinct label) from known where split =
     / greatest(count(*) filter (split = 'train') over (partition by label), 1)"""
 
 
+def _forest(source: str, steps: dict[str, str], shown: str) -> str:
+    chain = ", ".join(f"{step} as materialized ({text})" for step, text in {"given": source, **steps}.items())
+    return f"with {chain} select {shown} from averaged join known using (order_id) where averaged.split = 'test'"
+
+
+def _forest_texts() -> dict[str, str]:
+    chain = with_steps(f"""
+        select order_id, (order_id % 36)::double as place, pow(2.5, order_id % 36) / 1048576 as label,
+          case when substr(md5(order_id || ':{MODEL_SALT}'), 1, 8) < '33333333' then 'test' else 'train' end as split
+        from c_orders""")
+    delay, review = with_steps(_BODIES["delay_dataset"]), FEATURE_SETS["delay"]
+    depth = "(select max(d) + 1 from ({})) as depth".format(
+        " union all ".join(f"select {k} as d from best_{k} where f is not null" for k in range(45)))
+    return {
+        "deep_forest_scores": _forest(
+            chain, forest_steps("given", ["place"], [], CHAIN, 45), f"order_id, round(prediction, 3) as prediction, {depth}"),
+        "delay_forest_scores": _forest(
+            delay, forest_steps("given", review.numeric, review.categorical, DELAY_FOREST, DELAY_FOREST.max_depth),
+            "order_id, label, round(prediction, 6) as prediction"),
+    }
+
+
 def _boosted_texts() -> dict[str, str]:
     review, delay = with_steps(_BODIES["review_dataset"]), with_steps(_BODIES["delay_dataset"])
     satisfaction = with_steps("""
@@ -692,4 +715,4 @@ def oracle() -> dict[str, str]:
         "scaled_delay_features": _scaled(),
         "one_hot_delay_features": _one_hot(),
     }
-    return texts | _boosted_texts()
+    return texts | _boosted_texts() | _forest_texts()

@@ -16,6 +16,7 @@ from shopgrain.ml import (
     train_delay_models, train_review_models,
 )
 from shopgrain.ml.boosting import Boosting, fit
+from shopgrain.ml.forest import ForestSettings, fit_forest
 from shopgrain.ml.prepare import category_modes, numeric_constants
 from shopgrain.ml.train import binary_estimators, review_estimators
 from shopgrain.operators import (
@@ -956,6 +957,38 @@ def delay_boosted_scores(spark, sf_dir):
     return scored.select("order_id", "label", F.round("prediction", 6).alias("prediction"))
 
 
+# A target of 36 levels, each two and a half times the one below: the best cut takes the highest level off, so trees are chains.
+CHAIN = ForestSettings(trees=2, bins=255)
+
+
+def chain_rows(spark, sf_dir):
+    orders = clean(spark, sf_dir, "orders")["orders"]
+    place = (F.col("order_id") % 36).cast("double")
+    rows = orders.select("order_id", place.alias("place"), (F.pow(F.lit(2.5), place) / 1048576).alias("label"))
+    return hash_split(rows, ["order_id"])
+
+
+@query
+def deep_forest_scores(spark, sf_dir):
+    """Test rows scored by trees deeper than 30 levels."""
+    rows = materialize(chain_rows(spark, sf_dir))
+    model = fit_forest(rows.where("split = 'train'"), ["order_id"], ["place"], [], CHAIN)
+    scored = model.transform(rows.where("split = 'test'"), ["order_id"])
+    return scored.select("order_id", F.round("prediction", 3).alias("prediction"), F.lit(model.depth).alias("depth"))
+
+
+@query
+def delay_forest_scores(spark, sf_dir):
+    rows = materialize(delay_dataset(spark, sf_dir))
+    spec = features.FEATURE_SETS["delay"]
+    model = fit_forest(rows.where("split = 'train'"), ["order_id"], spec.numeric, spec.categorical, DELAY_FOREST)
+    scored = model.transform(rows.where("split = 'test'"), ["order_id"])
+    return rounded(rows.select("order_id", "label").join(scored, "order_id"))
+
+
+DELAY_FOREST = ForestSettings(trees=3, bins=32, least_rows=20, max_depth=12)
+
+
 # Models: full rows, smaller ensembles than the defaults ------------------------------------------------------
 
 
