@@ -27,13 +27,14 @@ few, before their sets are made; all others are intersected.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopgrain.llm.partenum import Similarity, mixed, signatures
@@ -45,6 +46,7 @@ SKETCH_WORDS, WIDE_WORDS = 16, 256
 LARGE = 500  # sets of more elements have the wide sketch too
 BROADCAST = 1_000_000
 CACHE = 500_000
+SLICES = 4  # of the signatures, counted one after the other, so that the shuffle of one is gone before the next
 
 
 class WordHashes(dict):
@@ -127,6 +129,12 @@ def whole_sets(documents: DataFrame, n: int) -> DataFrame:
     return _per_text(documents, n, make, {"class": LONG, "grams": LONGS}, 200)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop plans that nothing holds any more; Spark then deletes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Rows with (or without) a key; the keys are broadcast only while they are few."""
     few = keys.limit(BROADCAST + 1).count() <= BROADCAST
@@ -231,8 +239,13 @@ def link_classes(
     documents: DataFrame, rows: DataFrame, classes: DataFrame, n: int, similarity: Similarity, rounds: int = 3,
 ) -> DataFrame:
     """``class`` and ``component`` of the classes that share a signature with another one; ``rows``: sig, class."""
-    shared = rows.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    shared = materialize(shared.select("sig"), "shared")
+    shared = None
+    for part in range(SLICES):
+        own = rows.where(F.pmod(F.col("sig"), F.lit(SLICES)) == part)
+        found = own.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        found = materialize(found.select("sig"), "shared")
+        shared = found if shared is None else shared.unionByName(found)
+        release_shuffles(documents.sparkSession)
     members = materialize(only(rows, shared, "sig").distinct(), "signatures")
     named = members.select("class").distinct()
     ids = materialize(classes.join(named, "class").select(F.col("rep").alias("doc_id"), "class"), "candidates")
