@@ -4,6 +4,11 @@ Each stage is a function of (spark, docs, sf_dir); what it returns is written as
 ``spark.checkpoint.dir`` and read again as the next stage's documents, so a lost executor never reaches further back than
 one stage. All stages but the last return the columns of ``documents``; the last one returns the encoded segments with
 the text they decode to.
+
+Null texts count as empty ones: the quality rules drop them, and texts too short to judge, as failed. Texts of any length go
+through whole. Rows that repeat an id are one document to the join, of which one row stays; rows without id stay and are
+linked with nothing. Columns beside those of ``documents`` are carried to the stage before the last, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopgrain.llm import jaccard_join, lattice, mixing, quality_votes
 from shopgrain.llm.queries import tokenizer_file
-from shopgrain.session import configure, materialize, name_local_folder
+from shopgrain.session import configure, materialize, name_local_folder, staged
 
 # Mild tempering of source, language and topic shares, so that most documents stay.
 POWERS = (0.95, 0.95, 0.95)
@@ -59,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     name_local_folder(configure(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with staged(spark):  # what a stage writes on its way goes with it
+            docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower(), outlive=True)
     return docs
