@@ -3,14 +3,15 @@
 A page becomes a row of text blocks. A logistic classifier and the elements around a block give the costs of calling it
 content or boilerplate, which are the capacities from the source and to the sink. Blocks that follow each other, and
 blocks of one parent element, are joined by edges that grow with their closeness in the tree. The minimum cut is the
-cheapest labelling; its content side is the main text. What elements say is a cost too: an ``article`` or ``main`` inside
-a named wrapper outweighs the wrapper, and a name alone costs less than the classifier and the edges can overrule.
+cheapest labelling; its content side is the main text. What elements say is a cost too: a name alone costs less than the
+classifier and the edges can overrule, and a name that covers most of the page's words says nothing (``quiet_wrappers``).
 
 The classifier reads only the shape of blocks (lengths, links, punctuation, place). It is fitted by Spark ML on blocks
 of a bounded sample of pages whose semantic elements say what they are (``max_pages``); every page is labelled.
 Extraction is narrow: one pass over the pages, one page in memory at a time.
 
-* A null or empty page has an empty text. Repeated pages get equal texts; rows with null id or URL are kept.
+* A null or empty page has an empty text, an empty table no rows. Repeated pages get equal texts; rows with null id or
+  URL are kept. Other columns are carried, but for one named ``text``, which the result replaces.
 * Whole pages are processed. An unclosed element ends where its parent ends.
 * White space inside a block becomes one space; blocks are joined in page order by one space.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.llm.maxflow import source_side
+from shopgrain.session import materialize
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|title|textarea|select|object)\b[^>]*>.*?(?:</\1[^>]*>|$)"
@@ -59,7 +61,7 @@ TALK_NAMES = frozenset("comment comments discussion disqus replies reply respond
 LAYOUT = frozenset("has no with without is not hide show".split())  # 'has-sidebar' tells of the page, not of the element
 # What the open elements say, and the log odds of content it counts for.
 NOTHING, MAIN, HINT, NAMED, TALK, FIXED, MAIN_IN_NAMED, MAIN_IN_TALK = range(8)
-SAID = (0.0, 3.0, -1.0, -3.5, -3.5, -6.0, 1.0, -1.5)
+SAID = (0.0, 3.0, -1.0, -3.5, -3.5, -6.0, -1.0, -1.5)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -72,6 +74,7 @@ FIRST_WEIGHTS = (0.9, -3.0, 0.0, 1.0, -1.0, 0.0, 0.3, -2.0)  # the last is the i
 class Block:
     path: tuple[int, ...]  # numbers of the open elements, outermost first
     said: int  # what the open elements say, one of NOTHING to MAIN_IN_TALK
+    inside: tuple[tuple[int, int], ...] = ()  # numbers and kinds of the open elements that say something
     parts: list[str] = field(default_factory=list)
     text: str = ""
     n_words: int = 0
@@ -112,10 +115,35 @@ def said_inside(outer: int, kind: int) -> int:
     return TALK if kind == NAMED and outer in (TALK, MAIN_IN_TALK) else kind
 
 
+def quiet_wrappers(blocks: list[Block]) -> None:
+    """Take back what a name says if it covers most of the page's words and no main element stands outside of it.
+
+    Whole pages are wrapped in forms, notices and the like; such a name tells nothing of the text.
+    """
+    words: dict[int, int] = {}
+    main: dict[int, int] = {}
+    all_words = all_main = 0
+    for b in blocks:
+        if b.said == FIXED:
+            continue
+        all_words += b.n_words
+        all_main += b.said == MAIN
+        for number, kind in b.inside:
+            if kind == NAMED:
+                words[number] = words.get(number, 0) + b.n_words
+                main[number] = main.get(number, 0) + (b.said == MAIN)
+    quiet = {number for number, n in words.items() if 2 * n > all_words and main[number] == all_main}
+    for b in blocks if quiet else ():
+        b.said = NOTHING
+        for number, kind in b.inside:
+            if number not in quiet:
+                b.said = said_inside(b.said, kind)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, what is said inside
+    stack: list[tuple[str, int, int, int]] = []  # tag, number, what is said inside, kind
     links = number = 0
     block = Block((), NOTHING)
 
@@ -132,11 +160,14 @@ def blocks_of(page: str) -> list[Block]:
         if words:
             block.text, block.n_words = " ".join(words), len(words)
             blocks.append(block)
-        block = Block(tuple(n for t, n, _ in stack if t in BLOCKS), stack[-1][2] if stack else NOTHING)
+        block = Block(
+            tuple(n for t, n, _, _ in stack if t in BLOCKS), stack[-1][2] if stack else NOTHING,
+            tuple((n, kind) for _, n, _, kind in stack if kind != NOTHING),
+        )
 
     def pop_to(depth: int) -> None:
         nonlocal links
-        for tag, _, _ in stack[depth:]:
+        for tag, *_ in stack[depth:]:
             links -= tag == "a"
         del stack[depth:]
 
@@ -156,7 +187,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in BLOCKS:
                     close()
             else:
-                breaks = any(t in BLOCKS for t, _, _ in stack[depth:])
+                breaks = any(t in BLOCKS for t, *_ in stack[depth:])
                 pop_to(depth)
                 if breaks:
                     close()
@@ -176,12 +207,16 @@ def blocks_of(page: str) -> list[Block]:
                     break
             pop_to(depth)
         number += 1
-        stack.append((tag, number, said_inside(stack[-1][2] if stack else NOTHING, kind_of(tag, m[4]))))
+        outer, kind = stack[-1][2] if stack else NOTHING, kind_of(tag, m[4])
+        if tag == "header" and outer in (MAIN, MAIN_IN_NAMED, MAIN_IN_TALK):
+            kind = NOTHING  # the headline of the article itself
+        stack.append((tag, number, said_inside(outer, kind), kind))
         links += tag == "a"
         if tag in BLOCKS:
             close()
     add(page[at:])
     close()
+    quiet_wrappers(blocks)
     return blocks
 
 
@@ -239,7 +274,9 @@ def fit_classifier(pages: DataFrame, html_column: str = "html", max_pages: int =
     """Weights of a logistic regression on blocks of about ``max_pages`` pages, labelled by semantic elements."""
     n = pages.count()
     share = min(1.0, max_pages / max(n, 1))
-    sample = pages.where(F.pmod(F.xxhash64(html_column), F.lit(1_000_000)) < int(share * 1_000_000)).select(html_column)
+    # By all columns, so that a page of many rows is not in whole or out whole.
+    drawn = F.pmod(F.xxhash64(*pages.columns), F.lit(1_000_000))
+    sample = pages.where(drawn < int(share * 1_000_000)).select(html_column)
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -252,14 +289,11 @@ def fit_classifier(pages: DataFrame, html_column: str = "html", max_pages: int =
                         y.append(float(b.said == MAIN))
             yield pd.DataFrame({"x": pd.Series(x, dtype=object), "label": pd.Series(y, dtype=float)})
 
-    rows = sample.mapInPandas(examples, "x array<double>, label double").cache()
-    try:
-        if {row["label"] for row in rows.select("label").distinct().collect()} != {0.0, 1.0}:
-            return FIRST_WEIGHTS
-        model = LogisticRegression(regParam=0.01, maxIter=30).fit(rows.select(array_to_vector("x").alias("features"), "label"))
-        return (*map(float, model.coefficients), float(model.intercept))
-    finally:
-        rows.unpersist()
+    rows = materialize(sample.mapInPandas(examples, "x array<double>, label double"), "examples")
+    if {row["label"] for row in rows.select("label").distinct().collect()} != {0.0, 1.0}:
+        return FIRST_WEIGHTS
+    model = LogisticRegression(regParam=0.01, maxIter=30).fit(rows.select(array_to_vector("x").alias("features"), "label"))
+    return (*map(float, model.coefficients), float(model.intercept))
 
 
 def extract(pages: DataFrame, html_column: str = "html", weights: tuple[float, ...] | None = None) -> DataFrame:

@@ -52,6 +52,28 @@ def test_the_cut_can_overrule_a_name():
     assert m.main_text(f"<article><p>{LONG}</p><div class=ad>Buy now.</div><p>{LONG}</p></article>").count("Buy") == 0
 
 
+@pytest.mark.parametrize("wrapper", ["form id=aspnetForm", "div class=notice", "div id=widget", "form class=form"])
+def test_a_name_around_the_whole_page_says_nothing(wrapper):
+    paragraphs = "".join(f"<p>{LONG}</p>" for _ in range(40))
+    page = f"<body><{wrapper}><nav><a href=1>Home</a></nav>{paragraphs}<div class=ad>Buy this now, it is great.</div></{wrapper.split()[0]}></body>"
+    text = m.main_text(page)
+    assert text.count("A long text") == 160 and "Home" not in text and "Buy" not in text
+
+
+def test_teasers_beside_the_article_stay_out():
+    teaser = "<article><h3>Ten tips for a better garden</h3><p>All that you need to know of it, in a few words. Read on.</p></article>"
+    for name in ("related", "sidebar", "recommended", "promo"):
+        page = f"<body><article><p>{LONG}</p><p>{LONG}</p></article><section class={name}>{teaser * 3}</section></body>"
+        assert m.main_text(page) == " ".join((LONG * 2).split())
+        longer = f"<body><article><p>{LONG}</p></article><section class={name}>{teaser * 30}</section></body>"
+        assert m.main_text(longer) == " ".join(LONG.split())
+
+
+def test_the_headline_in_an_article_s_header_stays():
+    page = f"<body><header><p>The site of sites</p></header><article><header><h1>The headline</h1><nav><a href=1>Up</a></nav></header><p>{LONG}</p></article></body>"
+    assert m.main_text(page) == "The headline " + " ".join(LONG.split())
+
+
 def test_related_and_comments_outside_stay_out():
     article = f"<article><p>{LONG}</p></article>"
     aside = "<section class=related><article><a href=1>Other story</a></article></section><div class=comments><article><p>So nice.</p></article></div>"
