@@ -486,6 +486,19 @@ _BODIES: dict[str, str] = {
         select round(coalesce(sum(total_order_value), 0), 2) as total_revenue, count(distinct order_id) as n_orders,
           round(avg(delivery_delay_days), 6) as avg_delay, round(avg(review_score_latest), 6) as avg_review_score
         from chosen""",
+    "customer_value_as_of_order": """
+        select o.order_id, any_value(o.customer_id) as customer_id, any_value(o.order_purchase_timestamp) as order_purchase_timestamp,
+          count(p.order_id) as customer_prior_orders, round(coalesce(sum(p.total_order_value), 0), 6) as customer_prior_revenue,
+          round(avg(p.total_order_value), 8) as customer_prior_avg_order_value
+        from featured o left join featured p on p.customer_id = o.customer_id and p.order_purchase_timestamp < o.order_purchase_timestamp
+        group by o.order_id""",
+    "interaction_features_of_few_columns": """
+        select order_id, round(items_price_sum, 6) as items_price_sum, 0.0::double as freight_to_price_ratio,
+          0.0::double as delay_x_total_value, 2 as columns_left_out from featured""",
+    "source_guards": """
+        select 'empty table' as given, 'SourceEmptyError' as outcome union all select 'empty table allowed', '0'
+        union all select 'table beside it', count(*)::varchar from v_orders union all select 'missing table', 'SourceMissingError'
+        union all select 'missing export', 'SourceMissingError' union all select 'optional table', '0'""",
     "cube_kpis": "@dashboard_kpis",
     "cube_delay_by_state": "@dashboard_delay_by_state",
     "cube_review_scores": "@dashboard_review_scores",

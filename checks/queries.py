@@ -28,7 +28,7 @@ from shopgrain.plans.workflow import prepare_tables, run_workflow
 from shopgrain.schemas import TABLE_COLUMNS
 from shopgrain.session import configure, materialize, name_local_folder, stage_path
 from shopgrain.sources import (
-    coerce_counted, load_enriched_orders, load_optional, load_star_schema, load_tables, scan_csv, with_declared_types,
+    SourceEmptyError, SourceMissingError, coerce_counted, load_enriched_orders, load_optional, load_star_schema, load_tables, scan_csv, with_declared_types,
     write_enriched_orders, write_top_tables,
 )
 from shopgrain.sources.star_schema import view
@@ -512,6 +512,43 @@ def high_value_customers(spark, sf_dir):
     return rounded(at_or_above_quantile(value, "customer_total_revenue", 0.95), 6, customer_avg_order_value=8)
 
 
+@query
+def customer_value_as_of_order(spark, sf_dir):
+    """Value of the customer's strictly earlier orders, per order."""
+    return rounded(features.customer_value_as_of_order(order_values(spark, sf_dir)), 6, customer_prior_avg_order_value=8)
+
+
+@query
+def interaction_features_of_few_columns(spark, sf_dir):
+    """Orders without freight and delay: one form has the columns as zero, the other leaves them out."""
+    orders = order_values(spark, sf_dir).select("order_id", "items_price_sum")
+    filled, left = (features.add_interaction_features(orders, missing_as_zero=zero) for zero in (True, False))
+    return rounded(filled.withColumn("columns_left_out", F.lit(len(filled.columns) - len(left.columns))))
+
+
+@query
+def source_guards(spark, sf_dir):
+    """What loading says of an empty table, a missing one, a missing export and an optional table never written."""
+    base = stage_path(spark, "guards")
+    for name, rows in raw(spark, sf_dir).items():
+        rows.where(F.lit(name != "sellers")).write.parquet(f"{base}/{name}.parquet")
+
+    def outcome(action):
+        try:
+            return str(action())
+        except (SourceEmptyError, SourceMissingError) as error:
+            return type(error).__name__
+
+    return spark.createDataFrame([
+        ("empty table", outcome(lambda: load_tables(spark, base, "parquet"))),
+        ("empty table allowed", outcome(lambda: load_tables(spark, base, "parquet", require_rows=False)["sellers"].count())),
+        ("table beside it", outcome(lambda: load_tables(spark, base, "parquet", require_rows=False)["orders"].count())),
+        ("missing table", outcome(lambda: load_tables(spark, f"{base}/none", "parquet"))),
+        ("missing export", outcome(lambda: load_enriched_orders(spark, f"{base}/none"))),
+        ("optional table", outcome(lambda: load_optional(spark, f"{base}/none", "seller_id string, revenue double").count())),
+    ], "given string, outcome string")
+
+
 @query
 def customers_with_zero_filled_value(spark, sf_dir):
     """Every known customer, those without delivered orders with zero orders and revenue."""

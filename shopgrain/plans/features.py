@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -197,6 +197,34 @@ def add_distance(
     return orders.join(order_distance(orders, customers, sellers, geolocation, order_items), "order_id", "left")
 
 
+def customer_value_as_of_order(orders: DataFrame) -> DataFrame:
+    """What was known of the customer when the order was placed: orders, revenue, mean order value of strictly earlier orders.
+
+    Totals over all orders tell a model of the future; these do not. Per customer and day the orders are summed once; running
+    sums over a customer's days, at most one row a day, are carried into each day, and only orders of one day are
+    compared with each other. So a customer with a third of all orders is split into as many parts as days.
+    """
+    at, day = F.col("order_purchase_timestamp"), F.col("order_purchase_timestamp").cast("date")
+    known = keep_known_keys(orders, "customer_id").where(at.isNotNull()).select(
+        "order_id", "customer_id", "order_purchase_timestamp", "total_order_value", day.alias("day")
+    )
+    sums = {
+        "customer_prior_orders": F.count("order_id"), "customer_prior_revenue": F.sum("total_order_value"),
+        "_values": F.count("total_order_value"),
+    }
+    days = known.groupBy("customer_id", "day").agg(*[value.alias(name) for name, value in sums.items()])
+    before = Window.partitionBy("customer_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("customer_id", "day", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    within = Window.partitionBy("customer_id", "day").orderBy(F.unix_micros(at.cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = known.withColumns({name: value.over(within) for name, value in sums.items()})
+    joined = lookup_join(earlier, carried, ["customer_id", "day"])
+    total = {name: F.coalesce(name, F.lit(0)) + F.col(f"_{name}") for name in sums}
+    return joined.select(
+        "order_id", "customer_id", "order_purchase_timestamp", *[total[n].alias(n) for n in list(sums)[:2]],
+        F.try_divide(total["customer_prior_revenue"].cast("double"), total["_values"].cast("double")).alias("customer_prior_avg_order_value"),
+    )
+
+
 @dataclass(frozen=True)
 class FeatureSet:
     """Target and inputs of one prediction task."""

@@ -10,7 +10,7 @@ from checks import queries as registered
 from checks.oracle import oracle
 from checks.queries import QUERIES
 from compare import connect, difference, spark_rows, sql_rows
-from shopgrain.plans import cube, dashboard, incremental
+from shopgrain.plans import cube, dashboard, features, incremental
 from shopgrain.session import materialize, stage_path
 from shopgrain.sources import coerce_counted, load_enriched_orders
 
@@ -115,3 +115,19 @@ def test_coercions_are_counted_in_one_pass(spark):
     assert dict(found.rows.dtypes) == {"id": "int", "at": "timestamp_ntz", "price": "double"} and found.rows.count() == 5
     empty = coerce_counted(text.limit(0), {"price": "double"}, ["id"], materialize)
     assert [tuple(r) for r in empty.report.collect()] == [("price", 0, 0)] and empty.rejects.count() == 0
+
+
+def test_a_customer_of_a_third_of_all_orders_is_split(spark):
+    n = F.col("id")
+    orders = spark.range(3000).select(
+        n.alias("order_id"), F.when(n % 3 == 0, 1).otherwise(n).alias("customer_id"),
+        F.timestamp_seconds(n * 7000).cast("timestamp_ntz").alias("order_purchase_timestamp"), (n * 1.0).alias("total_order_value"),
+    )
+    valued = features.customer_value_as_of_order(orders)
+    last = valued.where("order_id = 2997").first()
+    # The customer's own orders and order number 1; orders at the same moment would not count.
+    assert (last.customer_prior_orders, last.customer_prior_revenue) == (1000, sum(range(0, 2997, 3)) + 1.0)
+    first = valued.where("order_id = 0").first()
+    assert (first.customer_prior_orders, first.customer_prior_revenue, first.customer_prior_avg_order_value) == (0, 0.0, None)
+    windows = re.findall(r"Window .*", valued._jdf.queryExecution().executedPlan().toString())
+    assert all("customer_id" in w for w in windows) and any("day" in w and "RangeFrame" in w for w in windows)
