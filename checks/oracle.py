@@ -358,6 +358,7 @@ _BODIES: dict[str, str] = {
     "order_review_summary": "select * from review_summary",
     "orders_with_customers": """
         select o.*, c.* exclude (customer_id) from c_orders o left join c_customers c on o.customer_id = c.customer_id""",
+    "orders_with_facts_from_buckets": "@orders_with_facts",
     "orders_with_facts": """
         select * replace (round(items_price_sum, 6) as items_price_sum, round(freight_value_sum, 6) as freight_value_sum,
           round(payment_value_sum, 6) as payment_value_sum) from order_facts""",

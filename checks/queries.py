@@ -28,8 +28,8 @@ from shopgrain.plans.workflow import prepare_tables, run_workflow
 from shopgrain.schemas import TABLE_COLUMNS
 from shopgrain.session import configure, materialize, name_local_folder, stage_path
 from shopgrain.sources import (
-    SourceEmptyError, SourceMissingError, coerce_counted, load_enriched_orders, load_optional, load_star_schema, load_tables, scan_csv, with_declared_types,
-    write_enriched_orders, write_top_tables,
+    SourceEmptyError, SourceMissingError, coerce_counted, load_enriched_orders, load_optional, load_star_schema, load_tables, open_bucketed, scan_csv,
+    with_declared_types, write_bucketed, write_enriched_orders, write_top_tables,
 )
 from shopgrain.sources.star_schema import view
 
@@ -43,6 +43,8 @@ START, END = "1996-01-01", "1998-06-30 12:00:00"
 
 INSIDE_DAYS = "1994-02-03 10:30:00", "1997-05-06 07:08:09"
 
+BUCKETS = 8
+
 CORRELATED = (
     "items_price_sum", "freight_value_sum", "payment_value_sum", "delivery_time_days", "delivery_estimated_days",
     "delivery_delay_days", "n_items", "review_score_latest",
@@ -303,6 +305,19 @@ def orders_with_facts(spark, sf_dir):
     return rounded(assembly.attach_order_facts(tables["orders"], tables))
 
 
+def bucketed_facts(spark, sf_dir):
+    """Order facts over tables that were written in buckets and opened again."""
+    base = stage_path(spark, "buckets")
+    write_bucketed(raw(spark, sf_dir, "orders", "order_items", "payments", "reviews"), base, BUCKETS)
+    tables = cleaning.clean_tables(open_bucketed(spark, base, BUCKETS))
+    return assembly.attach_order_facts(tables["orders"], tables)
+
+
+@query
+def orders_with_facts_from_buckets(spark, sf_dir):
+    return rounded(bucketed_facts(spark, sf_dir))
+
+
 @query
 def base_order_table(spark, sf_dir):
     return rounded(base_orders(spark, sf_dir))

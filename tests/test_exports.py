@@ -131,3 +131,13 @@ def test_a_customer_of_a_third_of_all_orders_is_split(spark):
     assert (first.customer_prior_orders, first.customer_prior_revenue, first.customer_prior_avg_order_value) == (0, 0.0, None)
     windows = re.findall(r"Window .*", valued._jdf.queryExecution().executedPlan().toString())
     assert all("customer_id" in w for w in windows) and any("day" in w and "RangeFrame" in w for w in windows)
+
+
+def test_buckets_join_without_exchange(spark, smallest_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registered.bucketed_facts(spark, smallest_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
