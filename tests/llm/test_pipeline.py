@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from shopgrain.llm import mixing, quality_votes
 from shopgrain.llm.queries import tokenizer_file
@@ -81,3 +83,32 @@ def test_encoded_documents_decode(stages):
     assert got.keys() == texts.keys()
     for i, text in texts.items():
         assert got[i].text == text and list(got[i].ids) == model.encode(text)
+
+
+def test_odd_rows_and_columns(spark, smallest_dir):
+    given = spark.read.parquet(f"{smallest_dir}/documents.parquet")
+    kept = quality_votes.judge(given).where("kept and n_words > 200").select("doc_id")
+    text, other, *_ = [r.text for r in given.join(kept, "doc_id").where("lang = 'en'").orderBy("doc_id").limit(2).collect()]
+    rows = [
+        (1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text, None, None, None), (None, text + " again", "en", "a", 5),
+        (3, None, "en", "a", 0), (4, "", "en", "a", 0), (5, other, "en", "a", 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({
+        name: F.lit("own") for name in ("row", "class", "sig", "node", "kept", "topic", "seg", "weight", "n_words", "label")
+    })
+    columns = docs.columns
+    for at, (name, stage) in enumerate(pipeline.STAGES[:3]):
+        docs = materialize(stage(spark, docs, smallest_dir), "odd")
+        assert docs.columns == columns and docs.where("class <> 'own' or kept <> 'own' or topic <> 'own'").count() == 0, name
+        found = [r.doc_id for r in docs.collect()]
+        assert not {3, 4} & set(found)
+        if at == 1:
+            assert found.count(1) == 1 and 2 not in found and None in found
+    assert pipeline.encode(spark, docs, smallest_dir).count() >= docs.count()
+
+
+def test_empty_table(spark, smallest_dir):
+    docs = spark.read.parquet(f"{smallest_dir}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        docs = materialize(stage(spark, docs, smallest_dir), "none")
+        assert docs.count() == 0, name
