@@ -12,22 +12,28 @@ behind the edit, all later ones do.
   ones before left; positions are code points, cut to the text; a null edit or null replacement counts as a deletion or
   as nothing. Documents without edits keep their counts. Repeated rows are counted apart.
 * Narrow: one document in memory at a time. ``attach_edits`` is the one shuffle, for edits that come as a table.
+* ``write_trees`` keeps the buckets of every document beside its text; ``revise_trees`` then applies tables of edits, one
+  after the other, and encodes nothing but the regions they touch. Documents are dealt to parts by a hash of their id; only
+  parts with an edited document are read and written again.
+* Texts of any length are handled whole. An empty table gives no rows. Only the columns named here are read.
 """
 
 from __future__ import annotations
 
 import base64
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopgrain.session import materialize
+
 CONTEXT = 3
 BUCKET = 64
 CACHE = 400_000
@@ -67,6 +73,14 @@ class TokenTree:
         self.tokens = [tokens[i: i + BUCKET] for i in range(0, len(tokens), BUCKET)] or [[]]
         self._build()
 
+    @classmethod
+    def kept(cls, lengths: list[list[int]], tokens: list[list[int]]) -> TokenTree:
+        """The tree over buckets that were stored."""
+        tree = cls([], [])
+        tree.lengths, tree.tokens = lengths or [[]], tokens or [[]]
+        tree._build()
+        return tree
+
     def _build(self) -> None:
         self.width = 1 << max(0, len(self.lengths) - 1).bit_length()
         self.chars_in = np.zeros(2 * self.width, dtype=np.int64)
@@ -211,13 +225,13 @@ def recount(df: DataFrame, file: str, pattern: str) -> DataFrame:
 NAMES = ["doc_id", "n_edits", "n_pretokens", "n_tokens", "n_encoded", "n_pretokens_after", "n_tokens_after", "n_chars_after"]
 
 
-def attach_edits(documents: DataFrame, edits: DataFrame) -> DataFrame:
+def attach_edits(documents: DataFrame, edits: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
     """Documents with their rows of an edit table (doc_id, seq, start, stop, replacement) as an array in order of seq."""
     entry = F.struct("seq", "start", "stop", "replacement")
     ordered = F.sort_array(F.collect_list(entry))
     plain = F.transform(ordered, lambda x: F.struct(x["start"], x["stop"], x["replacement"]))
     grouped = edits.groupBy("doc_id").agg(plain.cast(EDITS).alias("edits"))
-    return documents.select("doc_id", "text").join(grouped, "doc_id", "left")
+    return documents.select(*columns).join(grouped, "doc_id", "left")
 
 
 def revisions(documents: DataFrame) -> DataFrame:
@@ -232,3 +246,70 @@ def revisions(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text", F.array(
         edit(1, 6, "revised"), edit(2, 0, "\n\nIt's an added passage, 2nd draft.  "), edit(3, 9, ""),
     ).cast(EDITS).alias("edits"))
+
+
+STORED = "doc_id long, text string, lengths array<array<int>>, tokens array<array<int>>, part int"
+REVISED = "n_edits long, n_encoded long, n_tokens long, n_tokens_after long, n_chars_after long"
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+
+
+def write_trees(documents: DataFrame, path: str, file: str, pattern: str, parts: int = 256) -> None:
+    """Store text and buckets of every document under ``path``, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = tokenizer(file, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                rows = batch.slice(at, 200)
+                trees = [build_tree(text.as_py() or "", split, counts) for text in rows.column("text")]
+                nested = pa.list_(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([
+                    rows.column("doc_id"), rows.column("text"), pa.array([t.lengths for t in trees], nested),
+                    pa.array([t.tokens for t in trees], nested), rows.column("part"),
+                ], ["doc_id", "text", "lengths", "tokens", "part"])
+
+    rows = documents.select(F.col("doc_id").cast("long"), "text").withColumn("part", _part(parts))
+    rows.mapInArrow(run, STORED).hint("rebalance", "part").write.partitionBy("part").parquet(path)
+
+
+def revise_trees(spark: SparkSession, path: str, edits: DataFrame, file: str, pattern: str, parts: int = 256) -> DataFrame:
+    """Apply a table of edits (doc_id, seq, start, stop, replacement) to stored documents; returns the counts of those edited.
+
+    ``parts`` is that of ``write_trees``. Rows that repeat an id are all edited. Edits of unknown or null ids have no effect.
+    """
+    edits = edits.select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "start", "stop", "replacement").where("doc_id is not null")
+    touched = [r["part"] for r in edits.select(_part(parts).alias("part")).distinct().collect()]  # at most ``parts``
+    stored = spark.read.schema(STORED).parquet(path).where(F.col("part").isin(touched))
+    joined = attach_edits(stored, edits, ["doc_id", "text", "lengths", "tokens", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = tokenizer(file, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                out = []
+                for row in batch.slice(at, 200).to_pylist():
+                    tree, text, n_edits, encoded = TokenTree.kept(row["lengths"], row["tokens"]), row["text"], 0, 0
+                    before = tree.n_tokens
+                    for edit in row["edits"] or ():
+                        if edit["start"] is not None:
+                            stop = edit["start"] if edit["stop"] is None else edit["stop"]
+                            text, n = apply_edit(text or "", tree, edit["start"], stop, edit["replacement"] or "", split, counts)
+                            n_edits, encoded = n_edits + 1, encoded + n
+                    out.append(row | {
+                        "text": text, "lengths": tree.lengths, "tokens": tree.tokens, "edited": row["edits"] is not None, "n_edits": n_edits,
+                        "n_encoded": encoded, "n_tokens": before, "n_tokens_after": tree.n_tokens, "n_chars_after": len(text or ""),
+                    })
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in shape.names} for r in out], shape)
+
+    nested = pa.list_(pa.list_(pa.int32()))
+    numbers = [(name.split()[0], pa.int64()) for name in REVISED.split(", ")]
+    shape = pa.schema([
+        ("doc_id", pa.int64()), ("text", pa.string()), ("lengths", nested), ("tokens", nested), ("part", pa.int32()), ("edited", pa.bool_()), *numbers,
+    ])
+    revised = materialize(joined.mapInArrow(run, f"{STORED}, edited boolean, {REVISED}"), "revised")
+    stored_again = revised.select("doc_id", "text", "lengths", "tokens", "part").hint("rebalance", "part")
+    stored_again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return revised.where("edited").select("doc_id", *[name for name, _ in numbers])

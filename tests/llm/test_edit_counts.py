@@ -66,3 +66,39 @@ def test_edits_of_a_table_apply_in_order(spark):
     edits = spark.createDataFrame([(1, 2, 0, 1, "Z"), (1, 1, 0, 0, "ab ")], "doc_id long, seq int, start long, stop long, replacement string")
     got = {r.doc_id: (r.n_edits, r.n_chars_after) for r in e.recount(e.attach_edits(docs, edits), FILE, PATTERN).collect()}
     assert got == {1: (2, 6), 2: (0, 1)}
+
+
+def test_stored_trees_follow_batches_of_edits(spark, smallest_dir, tools):
+    from pathlib import Path
+
+    from shopgrain.session import stage_path
+
+    split, counts = tools
+    docs = spark.read.parquet(f"{smallest_dir}/documents.parquet").select("doc_id", "text").limit(80)
+    docs = docs.unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "long word " * 60_000), (9004, "twice"), (9004, "twice"), (None, "x")], "doc_id long, text string"))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    path = stage_path(spark, "trees").removeprefix("file:")
+    e.write_trees(docs.withColumn("part", docs["text"]), path, FILE, PATTERN, parts=16)
+    draw = random.Random(7)
+    for ids in ([9001, 9002, 9003, 9004], [i for i, _ in texts if i and i < 9000][::9], [9003], [123456789]):
+        before = {f: f.stat().st_mtime_ns for f in Path(path).glob("part=*/*.parquet")}
+        edits = [(i, k, draw.randrange(500), draw.randrange(500, 520), draw.choice(["", "new", " it's 2 "])) for i in ids for k in range(3)]
+        table = spark.createDataFrame([*edits, (None, 1, 0, 0, "no")], "doc_id long, seq int, start long, stop long, replacement string")
+        got = sorted(tuple(r) for r in e.revise_trees(spark, path, table, FILE, PATTERN, parts=16).collect())
+        want = []
+        for at, (i, text) in enumerate(texts):
+            own = sorted((x for x in edits if x[0] == i), key=lambda x: x[1])
+            if own:
+                old, text = text or "", text or ""
+                for _, _, start, stop, new in own:
+                    start = min(start, len(text))
+                    text = text[:start] + new + text[max(start, min(stop, len(text))):]
+                texts[at] = (i, text)
+                want.append((i, 3, sum(counts[p] for p in split(old)), sum(counts[p] for p in split(text)), len(text)))
+        assert [(g[0], g[1], *g[3:]) for g in got] == sorted(want)
+        assert all(g[2] < 400 for g in got)  # pre-tokens encoded, however long the text
+        after = {f: f.stat().st_mtime_ns for f in Path(path).glob("part=*/*.parquet")}
+        changed = {f.parent.name for f in before if after.get(f) != before[f]}
+        assert len(changed) <= len(set(ids)) < 16 or len(ids) > 8
+    stored = sorted(((r.doc_id, r.text) for r in spark.read.parquet(path).collect()), key=repr)
+    assert stored == sorted(texts, key=repr)
