@@ -22,6 +22,8 @@ few, before their sets are made; all others are intersected.
 * Rows that repeat an id are one document; if their texts differ, it is linked by any of them.
 * Texts are never shuffled while the classes that share a signature number less than ``BROADCAST``: their ids are then
   broadcast to the scan (16 bytes each); above it they are joined by shuffle.
+* Texts of any length are compared whole. Ids must be numbers (a text that is none fails in the cast). Only id and text are
+  read; ``keep_one`` carries other columns, whatever their names. An empty table gives an empty result.
 * Hashes have 64 bits: classes and shingles are taken as equal if their hashes are.
 """
 

@@ -19,6 +19,7 @@ others are joined. The result has a row for each *segment*: a maximal run of fre
 segments of a document in order of ``seg`` are its ids. So no text is shuffled, and no row is larger than a document.
 
 * Null and empty texts give one segment without ids. Repeated rows give repeated segments. An empty table gives none.
+* Only id and text are read, so other columns may have any names; ids are whole numbers or text, other types raise.
 * Units of over ``LONG`` characters are folded over the same edges in Python, in time in proportion to their length.
 * Decoding gives the text back, but for U+2581 itself, which decodes to a space as in the model's library.
 """

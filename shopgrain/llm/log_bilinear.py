@@ -21,6 +21,8 @@ up to 1.
 
 * Null texts count as empty: one token, the end. A null doc_id counts as a training document. Repeated rows are trained
   on and scored apart. Without training documents all counts are 0 and the model is uniform.
+* Texts of any length are scored whole. Only id and text are read, so other columns may have any names. An empty table gives
+  an empty result.
 * What is known of frequent words goes to tasks as a bounded dictionary; other words are looked up by a join, summed per
   document before the shuffle.
 """

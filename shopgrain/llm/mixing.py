@@ -2,14 +2,15 @@
 
 The tokens of each cell of source, language and topic are counted once. Raking then finds one factor for each source,
 each language and each topic so that the weighted tokens meet the target share of every one of them. The factors are
-columns of the cells; in each step the cells are summed by one margin and joined to that margin's new factors. A document's weight per token
-is the product of its three factors; scaled so that the largest is 1, it is the probability with which the document is
-sampled, so expected tokens meet the targets. A hash of the id decides, so that a rerun draws the same sample.
+columns of the cells; in each step the cells are summed by one margin and joined to that margin's new factors. A document's
+weight per token is the product of its three factors; scaled so that the largest is 1, it is the probability with which the
+document is sampled, so expected tokens meet the targets. A hash of the id decides, so that a rerun draws the same sample.
 
 * Null source, language or topic counts as the empty one. A null text has no tokens; documents of cells without tokens
   get their factors too (1 where the category has no tokens at all). An empty table gives an empty result.
 * Target shares are made to add up to 1 over the categories that have tokens. Categories without a target get weight 0.
-* Repeated rows of one id are drawn together.
+* Repeated rows of one id are drawn together. Texts of any length are counted whole. The document stands in one column,
+  ``row``, so its columns may have any names.
 * Cells and factors are aggregates of all documents; Spark measures their size before it broadcasts any of them, and
   joins that shuffle instead are split by skew handling.
 """

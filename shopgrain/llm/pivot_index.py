@@ -14,7 +14,8 @@ outwards and stops the same way. Results are exact, whatever the pivots; bad piv
 * Pivots are a bounded sample (``n_pivots`` rows with the smallest hash). Statistics of at most ``n_pivots * n_annuli``
   annuli go through the driver, never vectors.
 * Queries are matched with blocks of vectors: a block holds about ``block_rows`` vectors and ``query_rows`` queries.
-* An empty table, or one without a query, gives an empty result.
+* An empty table, or one without a query, gives an empty result. Ids must be numbers (a text that is none fails in the
+  cast). Only the id and the vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ inside one row, without a shuffle; the vote patterns (at most 3 to the number of
 documents, and each round of the estimation is one small aggregation over them.
 
 Null, empty or word-less texts have no words, fail the base rules and are not kept. Repeated rows are separate
-documents and get the same verdict. An empty table gives an empty result. Other columns are ignored.
+documents and get the same verdict. Texts of any length are measured whole. An empty table gives an empty result. Other
+columns are ignored by ``judge``, and carried by ``keep_good`` whatever their names.
 """
 
 from __future__ import annotations

@@ -73,7 +73,8 @@ def op5_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    judged = url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "url", "blocked")
 
 
 @query

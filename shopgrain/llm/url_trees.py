@@ -138,16 +138,20 @@ def filter_urls(
     urls: DataFrame, url_column: str = "url", rules: dict[str, str] | None = None,
     seed_words: tuple[str, ...] = SEED_WORDS, max_rows: int = 20_000,
 ) -> DataFrame:
-    """All columns of the table, with host, path, rule, probability of being unwanted, and verdict."""
+    """All columns of the table, with host, path, rule, probability of being unwanted, and verdict.
+
+    Columns of these names in the table are replaced. A probability of just 0.5 blocks. Addresses of any length count whole.
+    """
     rules = RULES if rules is None else rules
     df = urls.select(F.struct(*urls.columns).alias("row"), F.coalesce(F.col(url_column).cast("string"), F.lit("")).alias("u"))
     df = computed(df, **host_and_path(F.col("u")))
     df = computed(df, rule=rule_of(rules)).withColumn("ruled", verdict_of(rules))
 
-    labelled = df.select("u", "host", "path", label_of(seed_words).alias("label")).where("label is not null")
+    # Drawn by whole rows, so that an address of many rows is not in whole or out whole.
+    labelled = df.select("u", "host", "path", label_of(seed_words).alias("label"), F.xxhash64("row").alias("drawn")).where("label is not null")
     n = labelled.count()
     share = min(1.0, max_rows / max(n, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("u"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = labelled.where(F.pmod("drawn", F.lit(1_000_000)) < int(share * 1_000_000)).drop("drawn")
     model = fit(materialize(with_features(sample).repartition(4, "u"), "labelled")) if n else None
     if model is None:
         scored = df.withColumn("blocked", F.lit(0.0))

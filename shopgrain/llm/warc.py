@@ -8,7 +8,8 @@ shuffled.
 
 * A null block counts as empty; a block without a blank line is all headers and has an empty payload. A null target
   URI or date stays null and its header line is left out. Empty texts give a conversion of length 0.
-* Repeated response rows give repeated derivatives. An empty table gives an empty result.
+* Repeated response rows give repeated derivatives. An empty table gives an empty result. Blocks of any length are converted
+  whole. Columns of the source that have the name of a result's column are replaced; others are carried.
 * Plain text: comments, scripts, styles and tags go, block-level tags end a line, character references of
   ``ENTITIES`` and numeric ones are decoded once, white space inside a line becomes one space, empty lines go.
 """
