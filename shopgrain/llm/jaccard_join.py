@@ -241,14 +241,15 @@ def link_classes(
     documents: DataFrame, rows: DataFrame, classes: DataFrame, n: int, similarity: Similarity, rounds: int = 3,
 ) -> DataFrame:
     """``class`` and ``component`` of the classes that share a signature with another one; ``rows``: sig, class."""
-    shared = None
+    members = None
     for part in range(SLICES):
         own = rows.where(F.pmod(F.col("sig"), F.lit(SLICES)) == part)
-        found = own.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        found = materialize(found.select("sig"), "shared")
-        shared = found if shared is None else shared.unionByName(found)
+        shared = own.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        shared = materialize(shared.select("sig"), "shared")
+        found = materialize(only(own, shared, "sig").distinct(), "signatures")
+        discard(shared)
+        members = found if members is None else members.unionByName(found)
         release_shuffles(documents.sparkSession)
-    members = materialize(only(rows, shared, "sig").distinct(), "signatures")
     named = members.select("class").distinct()
     ids = materialize(classes.join(named, "class").select(F.col("rep").alias("doc_id"), "class"), "candidates")
     found = sketches(only(documents, ids.select("doc_id"), "doc_id"), n)

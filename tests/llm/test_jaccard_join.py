@@ -100,6 +100,7 @@ def test_long_chain_is_one_component(spark):
 def test_large_sets_enumerate_subsets():
     similarity = Similarity(4, 5)
     schemes = [scheme_of(similarity, similarity.band(n)) for n in (100, 400, 3000)]
+    assert scheme_of(Similarity(9, 10), Similarity(9, 10).band(400)).enumerated == 0  # whole partitions say enough
     assert all(s.enumerated > 0 and len(s.subsets) > 1 for s in schemes)
     # In more than ``spare`` partitions two linked sets differ by at most ``enumerated`` elements.
     assert all(s.first - s.k // (s.enumerated + 1) > s.spare for s in schemes)
