@@ -31,7 +31,7 @@ from shopgrain.llm import sha_states as sha
 from shopgrain.session import materialize
 
 STEP = "struct<state: binary, left: binary, right: binary>"
-BLOCK = "branch string, block long, n long, height int, digests binary, states binary, root binary"
+BLOCK = "branch string, block long, blocks long, n long, height int, digests binary, states binary, root binary"
 BLOCK_NODES = 4096
 
 
@@ -85,10 +85,12 @@ def height_of(total: int, arity: int, depth: int) -> int:
 
 
 def hash_block(arity: int, depth: int, group: pa.Table) -> pa.Table:
-    """The tree over one block: digests of all levels, and a state for each child slot of each parent."""
+    """The tree over one block: digests of all levels, a state for each child slot of each parent, and how many blocks its
+    branch has."""
     group = group.sort_by("place")
     level = sha.from_bytes(b"".join(group["digest"].to_pylist()))
-    height = height_of(group["total"][0].as_py(), arity, depth)
+    total = group["total"][0].as_py()
+    height = height_of(total, arity, depth)
     digests, kept = [level], []
     for _ in range(height):
         parents = -(-len(level) // arity)
@@ -105,7 +107,8 @@ def hash_block(arity: int, depth: int, group: pa.Table) -> pa.Table:
         kept.append(states.reshape(-1, 8))
     everything = sha.to_bytes(np.concatenate(digests)).tobytes()
     return pa.table({
-        "branch": group["branch"][:1], "block": group["block"][:1], "n": pa.array([group.num_rows], pa.int64()),
+        "branch": group["branch"][:1], "block": group["block"][:1], "blocks": pa.array([-(-total // arity ** depth)], pa.int64()),
+        "n": pa.array([group.num_rows], pa.int64()),
         "height": pa.array([height], pa.int32()), "digests": pa.array([everything], pa.binary()),
         "states": pa.array([sha.to_bytes(np.concatenate(kept)).tobytes() if kept else b""], pa.binary()),
         "root": pa.array([everything[-32:]], pa.binary()),
@@ -151,10 +154,7 @@ def grow(nodes: DataFrame, arity: int, depth: int) -> Tree:
         largest = -(-largest // span)
         if largest <= 1:
             return Tree(tiers, arity, depth)
-        nodes = tier.select(
-            "branch", F.col("block").alias("place"), F.count(F.lit(1)).over(Window.partitionBy("branch")).alias("total"),
-            F.col("root").alias("digest"),
-        )
+        nodes = tier.select("branch", F.col("block").alias("place"), F.col("blocks").alias("total"), F.col("root").alias("digest"))
 
 
 def build(leaves: DataFrame, order: Sequence[str], arity: int = 2, block_nodes: int = BLOCK_NODES) -> Manifest:
