@@ -728,5 +728,6 @@ def oracle() -> dict[str, str]:
         "delay_histogram": _histogram_query("featured", "delivery_delay_days", 6),
         "scaled_delay_features": _scaled(),
         "one_hot_delay_features": _one_hot(),
+        "one_hot_delay_positions": _one_hot(),
     }
     return texts | _boosted_texts() | _forest_texts()

@@ -17,7 +17,7 @@ from shopgrain.ml import (
 )
 from shopgrain.ml.boosting import Boosting, fit
 from shopgrain.ml.forest import ForestSettings, fit_forest
-from shopgrain.ml.prepare import category_modes, numeric_constants
+from shopgrain.ml.prepare import category_dictionary, category_modes, category_positions, numeric_constants
 from shopgrain.ml.train import binary_estimators, review_estimators
 from shopgrain.operators import (
     at_or_above_quantile, box_outliers, box_stats, correlation_matrix, count_by, exact_quantiles, exact_sample, fill_domain,
@@ -870,6 +870,16 @@ def one_hot_delay_features(spark, sf_dir):
     return positions.where("on = 1.0").groupBy("split", "position").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def one_hot_delay_positions(spark, sf_dir):
+    """The same counts from a dictionary that is numbered on the executors."""
+    spec, rows, train = delay_training_rows(spark, sf_dir)
+    dictionary = materialize(category_dictionary(train, spec.categorical, materialize))
+    modes = category_modes(train, spec.categorical).first().asDict()
+    placed = category_positions(rows, ["order_id", "split"], spec.categorical, dictionary, modes)
+    return placed.select("split", F.explode("positions").alias("position")).groupBy("split", "position").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def review_class_weights(spark, sf_dir):
     return rounded(class_weights(clean(spark, sf_dir, "reviews")["reviews"], "review_score"))
@@ -924,7 +934,7 @@ def score_confusion_matrix(spark, sf_dir):
 
 @query
 def quality_roc_auc(spark, sf_dir):
-    return rounded(roc_auc(view(spark, sf_dir, "scores")))
+    return rounded(roc_auc(view(spark, sf_dir, "scores"), stage=materialize))
 
 
 @query

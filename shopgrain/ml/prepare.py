@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nan_to_null
-from ..operators import exact_quantiles, hash_split, lookup_join, stratified_split
+from ..operators import exact_quantiles, hash_split, lookup_join, numbered, stratified_split
+from ..operators.prefix import Stage
 from ..session import materialize
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -154,6 +155,35 @@ def category_modes(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
     return counts.agg(*[F.coalesce(first_of(name), F.lit("")).alias(name) for name in categorical])
 
 
+def category_dictionary(train: DataFrame, categorical: Sequence[str], stage: Stage) -> DataFrame:
+    """(feature, value, position): the one-hot position of every category, by feature and value.
+
+    However many categories there are, they are counted, ordered and numbered on the executors; ``stage`` writes them.
+    A missing value counts as the feature's most frequent one, as in ``Preprocessor``.
+    """
+    modes = category_modes(train, categorical).first()
+    values = train.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("part"), F.lit(name).alias("feature"), F.coalesce(F.col(name).cast("string"), F.lit(modes[name])).alias("value"))
+        for i, name in enumerate(categorical)
+    ]))).distinct()
+    return numbered(values, ["part", "value"], stage, "position").select("feature", "value", "position")
+
+
+def category_positions(
+    rows: DataFrame, keys: Sequence[str], categorical: Sequence[str], dictionary: DataFrame, modes: Mapping[str, str]
+) -> DataFrame:
+    """``keys`` and the sorted one-hot ``positions`` of each row; a category that is not in the dictionary has none.
+
+    Spark broadcasts the dictionary if its measured size allows; otherwise the join shuffles, and a category that most rows
+    share is split.
+    """
+    cells = rows.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.coalesce(F.col(name).cast("string"), F.lit(modes[name])).alias("value")) for name in categorical
+    ])))
+    placed = lookup_join(cells, dictionary, ["feature", "value"])
+    return placed.groupBy(*keys).agg(F.sort_array(F.collect_list("position")).alias("positions"))  # one for each feature at most
+
+
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preprocessor:
     """Learn the preprocessing constants; only these few numbers reach the driver."""
     fitted = Preprocessor(list(numeric), list(categorical))

@@ -239,3 +239,20 @@ def test_scores_are_probabilities(orders):
     scored = score_classes(model, rows)
     assert dict(scored.dtypes)["prediction"] == "int"
     assert scored.where("(score >= 0.5) <> (prediction = 1)").count() == 0
+
+
+def test_dictionary_of_many_categories(spark):
+    from shopgrain.ml.prepare import category_dictionary, category_modes, category_positions
+    from shopgrain.session import materialize
+
+    n = F.col("id")
+    train = spark.range(60_000).select(n.alias("order_id"), F.concat(F.lit("c"), n % 40_000).alias("c"), F.when(n % 3 > 0, "hot").alias("d"))
+    found = category_dictionary(train, ["c", "d"], materialize)
+    rows = {(r.feature, r.value): r.position for r in found.collect()}
+    assert len(rows) == 40_001 and rows["d", "hot"] == 40_000
+    by_position = [v for _, v in sorted((p, v) for (f, v), p in rows.items() if f == "c")]
+    assert by_position == sorted(by_position)
+    modes = category_modes(train, ["c", "d"]).first().asDict()
+    odd = spark.createDataFrame([(1, "c7", "new"), (2, None, None)], "order_id long, c string, d string")
+    got = {r.order_id: r.positions for r in category_positions(odd, ["order_id"], ["c", "d"], found, modes).collect()}
+    assert got == {1: [rows["c", "c7"]], 2: [rows["c", modes["c"]], 40_000]}

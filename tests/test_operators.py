@@ -209,3 +209,20 @@ def test_cumulative_before(spark, buckets):
     for row, (x, c) in zip(sorted(got, key=lambda r: r["x"]), sorted(data), strict=True):
         assert (row["x"], row["c"], row["c_before"]) == (x, c, running)
         running += c
+
+
+def test_ranges_that_follow_the_rows(spark):
+    from shopgrain.operators import numbered
+    from shopgrain.session import materialize
+
+    rng = random.Random(5)
+    data = [(x, rng.randrange(9)) for x in {rng.random() for _ in range(3000)}]
+    df = spark.createDataFrame(data, "x double, c int")
+    before = sorted((r["x"], r["c_before"]) for r in cumulative_before(df, "x", ["c"], stage=materialize).collect())
+    running = 0
+    for (x, sum_before), (y, c) in zip(before, sorted(data), strict=True):
+        assert (x, sum_before) == (y, running)
+        running += c
+    places = {r["x"]: r["number"] for r in numbered(df, ["x"], materialize).collect()}
+    assert [x for x, _ in sorted(data)] == sorted(places, key=places.get) and sorted(places.values()) == list(range(len(data)))
+    assert numbered(df.limit(0), ["x"], materialize).count() == 0
