@@ -6,6 +6,7 @@ safe to call on a session that somebody else built.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -99,6 +100,12 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop plans that nothing holds any more. Spark then deletes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str = "stage", outlive: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
