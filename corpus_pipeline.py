@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopgrain.llm import jaccard_join, lattice, mixing, quality_votes
 from shopgrain.llm.queries import tokenizer_file
-from shopgrain.session import configure, materialize, name_local_folder, staged
+from shopgrain.session import configure, materialize, name_local_folder, release, staged
 
 # Mild tempering of source, language and topic shares, so that most documents stay.
 POWERS = (0.95, 0.95, 0.95)
@@ -48,11 +48,20 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lattice.decode(lattice.encode(docs, model), model)
 
 
+def afresh(stage: Stage) -> Stage:
+    """The stage, begun on a driver that has dropped the plans of the one before."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality),
-    ("n-gram Jaccard join", deduplicate),
-    ("mixing sources to target weights", mix),
-    ("SentencePiece encoding and decoding", encode),
+    ("quality rules", afresh(quality)),
+    ("n-gram Jaccard join", afresh(deduplicate)),
+    ("mixing sources to target weights", afresh(mix)),
+    ("SentencePiece encoding and decoding", afresh(encode)),
 ]
 
 # The joins of shingle sets and the piece lattice have no SQL twin at this size; tests compare with brute force.
