@@ -29,19 +29,18 @@ few, before their sets are made; all others are intersected.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.llm.partenum import Similarity, mixed, signatures
 from shopgrain.operators import lookup_join
-from shopgrain.session import discard, materialize, staged
+from shopgrain.session import discard, materialize, release, staged
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SKETCH_WORDS, WIDE_WORDS = 16, 256
@@ -131,12 +130,6 @@ def whole_sets(documents: DataFrame, n: int) -> DataFrame:
     return _per_text(documents, n, make, {"class": LONG, "grams": LONGS}, 200)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop plans that nothing holds any more; Spark then deletes their shuffle files."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def only(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Rows with (or without) a key; the keys are broadcast only while they are few."""
     few = keys.limit(BROADCAST + 1).count() <= BROADCAST
@@ -249,7 +242,7 @@ def link_classes(
         found = materialize(only(own, shared, "sig").distinct(), "signatures")
         discard(shared)
         members = found if members is None else members.unionByName(found)
-        release_shuffles(documents.sparkSession)
+        release(documents.sparkSession)
     named = members.select("class").distinct()
     ids = materialize(classes.join(named, "class").select(F.col("rep").alias("doc_id"), "class"), "candidates")
     found = sketches(only(documents, ids.select("doc_id"), "doc_id"), n)
