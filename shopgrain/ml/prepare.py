@@ -129,7 +129,8 @@ def numeric_constants(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
         F.struct(F.lit(name).alias("feature"), nan_to_null(F.col(name).cast("double")).alias("value")) for name in numeric
     ])).alias("cell")).select("cell.feature", "cell.value")
     medians = exact_quantiles(long, "value", {"median": 0.5}, ["feature"])
-    imputed = lookup_join(long, medians, "feature").select(
+    # One row per feature is broadcast, so the cells of all features stay where they are.
+    imputed = long.join(F.broadcast(medians), "feature", "left").select(
         "feature", "median", F.coalesce("value", "median", F.lit(0.0)).alias("value")
     )
     return imputed.groupBy("feature").agg(

@@ -91,6 +91,25 @@ def test_quantiles_of_infinite_and_far_spread_values(spark):
     assert got["mid"] == pytest.approx(sorted(values)[51])
 
 
+def test_quantiles_of_groups_cut_into_cells(spark, monkeypatch):
+    from shopgrain.operators import order_stats
+
+    data = lopsided(3, 4000) + [("hot", math.inf), ("hot", -math.inf)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    fractions = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "q100": 1.0}
+    whole = sorted(map(tuple, exact_quantiles(df, "v", fractions, ["g"]).collect()), key=repr)
+    groups = defaultdict(list)
+    for g, v in data:
+        if v is not None:
+            groups[g].append(v)
+    for g, *got in whole:  # every group is ranked as it is
+        for value, q in zip(got, fractions.values()):
+            assert math.isinf(value) or value == pytest.approx(quantile(groups[g], q), rel=1e-12)
+    for small in (0, 20):
+        monkeypatch.setattr(order_stats, "SMALL", small)
+        assert sorted(map(tuple, exact_quantiles(df, "v", fractions, ["g"]).collect()), key=repr) == whole
+
+
 def test_quantiles_pass_nothing_through_the_driver_and_plan_once(spark):
     df = spark.range(10).select(F.col("id").cast("double").alias("v"))
     before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
