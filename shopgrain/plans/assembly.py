@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sum_or_zero
@@ -38,10 +38,20 @@ def item_totals(order_items: DataFrame) -> DataFrame:
 
 
 def payment_totals(payments: DataFrame) -> DataFrame:
-    """Paid amount, most frequent payment type (smallest on a tie) and most instalments per order."""
-    return keep_known_keys(payments, "order_id").groupBy("order_id").agg(
+    """Paid amount, most frequent payment type (smallest on a tie) and most instalments per order.
+
+    ``F.mode`` keeps a map for each order, serialized in the shuffle, and sorts the rows of a whole file split beyond 128 orders.
+    Here the rows move once to their order and are numbered within their type; the highest number is the type's count.
+    """
+    by_type = Window.partitionBy("order_id").orderBy("payment_type")
+    place = F.row_number().over(by_type) - F.rank().over(by_type) + 1
+    counted = keep_known_keys(payments, "order_id").select(
+        "order_id", "payment_type", "payment_value", "payment_installments", place.alias("_place")
+    )
+    known = F.when(F.col("payment_type").isNotNull(), F.struct(-F.col("_place"), "payment_type"))
+    return counted.groupBy("order_id").agg(
         sum_or_zero(F.col("payment_value")).alias("payment_value_sum"),
-        F.mode("payment_type", True).alias("payment_type_mode"),
+        F.min(known)["payment_type"].alias("payment_type_mode"),
         F.max("payment_installments").alias("payment_installments_max"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import queries as registered
 from checks.queries import QUERIES
 from shopgrain.operators import keep_first, lookup_join
-from shopgrain.plans import cleaning, dashboard, features, reports
+from shopgrain.plans import assembly, cleaning, dashboard, features, reports
 
 @contextmanager
 def skew_settings(spark):
@@ -206,3 +206,15 @@ def test_filter_bounds(spark, rows):
 def test_identifiers_in_one_type(spark):
     orders = spark.createDataFrame([(1, 2, "x")], "order_id int, customer_id bigint, order_status string")
     assert set(dict(cleaning.cast_identifiers(orders, "orders").dtypes).values()) == {"string"}
+
+
+def test_payment_types_are_counted_without_a_map_for_each_order(spark):
+    payments = spark.createDataFrame(
+        [(1, "b", 1, 2.0), (1, "a", 2, 3.0), (1, None, 9, 1.0), (1, None, 1, None), (1, None, 1, None), (2, "c", 1, 1.0), (2, "b", 1, 1.0),
+         (2, "b", 1, 1.0), (3, None, None, None), (None, "a", 1, 1.0)],
+        "order_id long, payment_type string, payment_installments int, payment_value double",
+    )
+    totals = assembly.payment_totals(payments)
+    plan = plan_of(totals)
+    assert "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
+    assert sorted(tuple(r) for r in totals.collect()) == [(1, 6.0, "a", 9), (2, 3.0, "b", 1), (3, 0.0, None, None)]
