@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from shopgrain.llm import warc
 
 PAGES = [
@@ -67,3 +69,17 @@ def test_archive_files_parse_back(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.derive(warc.responses_of_pages(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_character_references_are_looked_for_once(spark):
+    """Names that occur are replaced, not every known name in every text; an escaped ampersand is decoded once."""
+    html = {k: f"&{name};&#38;{name};&amp;{name};&{name} &{name.upper()};" for k, name in enumerate(warc.ENTITIES)}
+    html |= {100: "&nosuch;&lt;&lt;&#65;&#65;", 101: "none", 102: "&", 103: "&&gt;;"}
+    df = spark.createDataFrame(list(html.items()), "k int, html string").select("k", warc.plain_text(F.col("html")).alias("text"))
+    got = {r.k: r.text for r in df.collect()}
+    for k, (name, character) in enumerate(warc.ENTITIES.items()):
+        shown = " " if name == "nbsp" else character
+        if name != "amp":
+            assert got[k] == f"{shown}&{name};&{name};&{name} &{name.upper()};".lstrip(" ")
+    assert [got[k] for k in (100, 101, 102, 103)] == ["&nosuch;<<AA", "none", "&", "&>;"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("replace(") < len(warc.ENTITIES)
