@@ -86,3 +86,55 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert l.encode(docs, MODEL).count() == 3
     assert l.encode(docs.limit(0), MODEL).count() == 0
+
+
+def merged_one_by_one(unit, scores):
+    cuts = list(range(len(unit) + 1))
+    while True:
+        joins = [(-scores[unit[s:e]], s, m) for s, m, e in zip(cuts, cuts[1:], cuts[2:]) if unit[s:e] in scores]
+        if not joins:
+            return [unit[s:e] for s, e in zip(cuts, cuts[1:])]
+        cuts.remove(min(joins)[2])
+
+
+def test_merges_of_many_units_at_once(spark, monkeypatch):
+    """Ties go to the first edge; units that cross the borders of what is folded at once stay whole."""
+    monkeypatch.setattr(l, "EDGES", 7)
+    draw = random.Random(10)
+    scores = {c: -99.0 for c in "abc"}
+    while len(scores) < 40:
+        scores["".join(draw.choice("abc") for _ in range(draw.randrange(2, 5)))] = -float(draw.randrange(8))
+    table = {300 + k: item for k, item in enumerate(scores.items())}
+    pieces = l.Pieces(table, tuple(range(256)), 400)
+    units = {"".join(draw.choice("abcé🙂") for _ in range(draw.randrange(1, 14))) for _ in range(300)}
+    got = l.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), pieces)
+    rows = got.collect()
+    assert {r.unit for r in rows} == units and len(rows) == len(units)
+    for r in rows:
+        expected = []
+        for part in merged_one_by_one(r.unit, scores):
+            ids = [i for i, (piece, _) in table.items() if piece == part]
+            expected += ids or list(part.encode())
+        assert list(r.ids) == expected, r.unit
+
+
+def test_segments_that_are_not_whole_characters_are_decoded(spark):
+    pieces = l.load_pieces(MODEL)
+    first, second = (pieces.byte_ids[x] for x in "é".encode())
+    space = next(i for i, (piece, _) in pieces.table.items() if piece == l.SPACE)
+    rows = [(1, 0, [space, first, second]), (1, 1, [space, first]), (2, 0, [second]), (3, 0, []), (4, 1, [space])]
+    df = spark.createDataFrame(rows, "doc_id long, seg int, ids array<int>")
+    got = {(r.doc_id, r.seg): r.text for r in l.decode(df.coalesce(1), MODEL).collect()}
+    assert got == {(1, 0): "é", (1, 1): " �", (2, 0): "�", (3, 0): "", (4, 1): " "}
+
+
+def test_runs_of_words_with_known_and_other_units():
+    codes = l.WordCodes({"▁a": b"1111", "▁b": b"2222", ".": b"3333"})
+    assert codes.runs("a b a.") == [b"11112222" + b"11113333"]
+    assert codes.runs("a x. b. zz") == [b"1111", "▁x", b"3333" + b"22223333", "▁zz"]
+    assert codes.runs(None) == codes.runs("") == [b""]
+
+
+def test_ids_of_frequent_units_come_as_arrow(spark):
+    df = spark.createDataFrame([("▁a", [1, 2]), ("b", [3])], "unit string, ids array<int>").repartition(2)
+    assert l.codes_of(df) == {"▁a": bytes([1, 0, 0, 0, 2, 0, 0, 0]), "b": bytes([3, 0, 0, 0])}
