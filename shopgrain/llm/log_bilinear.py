@@ -15,7 +15,8 @@ by the mean contexts they follow; every node is a log-bilinear decision, fitted
 its counts. Words outside the dictionary are one leaf and share the class's context vector; both passes sum a vector for
 each word, in each task before the shuffle.
 
-Scoring. Log probabilities are normalised over the classes and at every node. A word outside the dictionary gets the
+Scoring. Log probabilities are normalised over the classes and at every node. The sum over the classes is a product of what the
+two context words give, whose exponentials are computed once for a frequent word. A word outside the dictionary gets the
 probability of its leaf times its smoothed share of it, so the probabilities of all words, and of unseen ones as one, add
 up to 1.
 
@@ -31,10 +32,10 @@ from __future__ import annotations
 
 import io
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -43,23 +44,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopgrain.llm.vocabulary import count_units, frequent
-from shopgrain.session import materialize
+from shopgrain.session import materialize, release
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = b""  # no word is empty
 OTHER_CLASS, END_CLASS = 0, 1
 LEAST = 40_000  # examples in a round, so that a small corpus is learned from too
+KEPT = 16_384  # words, the most frequent ones, whose exponentials a task keeps
+BLOCK = 1_024  # places whose scores fit in the processor's cache
+SURE = 1e-25  # sums of exponentials from here on lost nothing that counts
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words; bytes lower-case A to Z only."""
-    return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
+    """Lower-cased words; bytes lower-case A to Z only, and split at x20 and x09 to x0D."""
+    return text.encode("utf-8", "replace").lower().split() if text else []
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return [*words_of(text), END]
 
 
+def ids_of(text: str | bytes | None, index: dict[bytes, int] | None) -> list[int] | np.ndarray:
+    """Places of the words in the dictionary; OTHER_CLASS for the others. They may come as bytes, looked up before."""
+    if isinstance(text, bytes):
+        return np.frombuffer(text, np.int32)
+    return [index.get(w, OTHER_CLASS) for w in words_of(text)]
+
+
 @dataclass(frozen=True)
 class Parameters:
     R: np.ndarray  # vectors of context classes
@@ -100,7 +110,10 @@ def first_parameters(class_counts: np.ndarray, dims: int, seed: int) -> Paramete
 
 
 def count_trigrams(texts: DataFrame, classes: dict[bytes, int]) -> DataFrame:
-    """``code`` of two context classes and the next one, and how often it occurs; each task counts before the shuffle."""
+    """``code`` of two context classes and the next one, and how often it occurs; each task counts before the shuffle.
+
+    Words may come as bytes of ``ids_of``, for a dictionary that begins with the classes.
+    """
     K = len(classes) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +131,12 @@ def count_trigrams(texts: DataFrame, classes: dict[bytes, int]) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                found = [classes.get(w, OTHER_CLASS) for w in tokens_of(text.as_py())]
-                x = np.array([END_CLASS, END_CLASS, *found], dtype=np.int64)
+                found = ids_of(text.as_py(), classes)
+                x = np.full(len(found) + 3, END_CLASS, np.int64)
+                x[2:-1] = found
+                x[x >= K] = OTHER_CLASS
                 pending.append((x[:-2] * K + x[1:-1]) * K + x[2:])
-                size += len(found)
+                size += len(found) + 1
                 if size > 2_000_000:
                     merged()
             if len(codes) > 4_000_000:
@@ -217,19 +232,15 @@ def word_sums(texts: DataFrame, tokens: Callable, rows_of: Callable, size: int,
     """Sums of the vectors that ``rows_of`` gives for places of texts, for each of ``size`` words; tasks add before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((size, dims), np.float32)
+        sums, cells = np.zeros((size, dims)), np.arange(dims)
         for x in token_runs((text.as_py() for batch in batches for text in batch.column(0)), tokens):
             for index, vectors in rows_of(x):
-                if len(index):
-                    order = np.argsort(index, kind="stable")
-                    index = index[order]
-                    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-                    sums[index[first]] += np.add.reduceat(vectors[order], first)
+                np.add.at(sums.reshape(-1), (index[:, None] * dims + cells).ravel(), vectors.astype(np.float64).ravel())
         seen = np.flatnonzero(sums.any(1))
         parts = [part for part in np.split(seen, np.flatnonzero(np.diff(seen // block)) + 1) if len(part)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(part[0]) // block for part in parts], pa.int32()), pa.array([part.astype(np.int32).tobytes() for part in parts], pa.binary()),
-             pa.array([sums[part].tobytes() for part in parts], pa.binary())], ["block", "words", "sums"])
+             pa.array([sums[part].astype(np.float32).tobytes() for part in parts], pa.binary())], ["block", "words", "sums"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         at = int(rows["block"].iloc[0])
@@ -250,7 +261,9 @@ def token_runs(texts: Iterator[str | None], tokens: Callable, size: int = 16_384
     pending: list[np.ndarray] = []
     held = 0
     for text in texts:
-        x = np.concatenate([[END_CLASS, END_CLASS], np.asarray(tokens(text), np.int64), [END_CLASS]])
+        found = tokens(text)
+        x = np.full(len(found) + 3, END_CLASS, np.int64)
+        x[2:-1] = found
         pending.append(np.stack([x[:-2], x[1:-1], x[2:]]))
         held += pending[-1].shape[1]
         if held >= size:
@@ -279,24 +292,77 @@ class WordModel:
     def contexts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return self.c[0] * self.R[first] + self.c[1] * self.R[second]
 
+    @cached_property
+    def kept(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        """``exponentials`` of the most frequent words at both context places."""
+        words = np.arange(min(KEPT, len(self.R)))
+        return self.exponentials(0, words), self.exponentials(1, words)
+
+    @cached_property
+    def decisions(self) -> np.ndarray:
+        return np.concatenate([self.nodes, self.bias[:, None]], 1)
+
+    def exponentials(self, place: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of what a context word adds to the score of each class, relative to the most, and the most.
+
+        A score is the sum of what both context words add, so its exponential is a product.
+        """
+        scores = (self.c[place] * self.R[words]) @ self.Q.T
+        if place:
+            scores += self.b
+        top = scores.max(1)
+        scores -= top[:, None]
+        return np.exp(scores, out=scores), top
+
+    def log_totals(self, contexts: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+        """log of the sum of the exponentials of all scores, for each place."""
+        tables = []
+        for place, words in enumerate(contexts):
+            table, top = self.kept[place]
+            rare = np.flatnonzero(words >= len(top))
+            distinct, back = np.unique(words[rare], return_inverse=True)
+            tables.append((table, top, np.minimum(words, len(top) - 1), rare, back, *self.exponentials(place, distinct)) if len(rare)
+                          else (table, top, words, rare, back, None, None))
+        out = np.empty(len(h), np.float32)
+        for at in range(0, len(h), BLOCK):
+            block, tops = [], 0
+            for table, top, words, rare, back, more, more_top in tables:
+                own = words[at: at + BLOCK]
+                rows, highest = table.take(own, axis=0), top.take(own)
+                low, high = np.searchsorted(rare, (at, at + BLOCK))
+                if high > low:
+                    rows[rare[low:high] - at] = more.take(back[low:high], axis=0)
+                    highest[rare[low:high] - at] = more_top[back[low:high]]
+                block.append(rows)
+                tops = tops + highest
+            total = np.einsum("nk,nk->n", *block)
+            unsure = np.flatnonzero(total < SURE)  # no class is likely after both words: the scores themselves are summed
+            out[at: at + BLOCK] = np.log(np.maximum(total, SURE)) + tops
+            if len(unsure):
+                scores = h[at + unsure] @ self.Q.T + self.b
+                top = scores.max(1)
+                out[at + unsure] = np.log(np.exp(scores - top[:, None]).sum(1)) + top
+        return out
+
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10; OTHER_CLASS as the word is the leaf of words outside the dictionary."""
         K = len(self.b)
         h = self.contexts(first, second)
-        scores = h @ self.Q.T + self.b
         kind = np.where(word < K, word, OTHER_CLASS)
-        top = scores.max(1)
-        out = scores[np.arange(len(word)), kind] - top
-        scores -= top[:, None]
-        out -= np.log(np.exp(scores, out=scores).sum(1))
+        out = np.einsum("nd,nd->n", h, self.Q.take(kind, axis=0)) + self.b.take(kind) - self.log_totals((first, second), h)
         others = np.flatnonzero(kind == OTHER_CLASS)
         if self.depth and len(others):
-            x = h[others] - self.mean
-            place = self.leaf[np.maximum(word[others] - K + 1, 0)] + (1 << self.depth)
-            for _ in range(self.depth):
-                right, place = place & 1, place >> 1
-                z = np.einsum("nd,nd->n", x, self.nodes[place]) + self.bias[place]
-                out[others] -= np.logaddexp(0, np.where(right, -z, z))
+            levels = np.arange(self.depth)
+            for at in range(0, len(others), BLOCK):
+                own = others[at: at + BLOCK]
+                x = np.ones((len(own), h.shape[1] + 1, 1), np.float32)
+                x[:, :-1, 0] = h[own] - self.mean
+                place = self.leaf[np.maximum(word[own] - K + 1, 0)] + (1 << self.depth)
+                path = place[:, None] >> levels
+                z = np.matmul(self.decisions.take(path >> 1, axis=0), x)[:, :, 0]
+                np.negative(z, out=z, where=(path & 1).astype(bool))
+                # The logs of all levels are one log of a product of at most 2 to the number of levels.
+                out[own] -= np.maximum(z, 0).sum(1) + np.log((1 + np.exp(-np.abs(z))).prod(1))
         return out / math.log(10)
 
 
@@ -321,7 +387,10 @@ def train_words(
     training: DataFrame, model: Parameters, class_counts: np.ndarray, index: dict[bytes, int], mass: np.ndarray,
     ridge: float = 30.0, ridge_of_nodes: float = 30.0,
 ) -> WordModel:
-    """Vectors of all words of the dictionary. ``mass`` has the smoothed counts of the leaf of all others and of each word."""
+    """Vectors of all words of the dictionary. ``mass`` has the smoothed counts of the leaf of all others and of each word.
+
+    The only column of ``training`` has texts, or their words as bytes of ``ids_of``.
+    """
     spark = training.sparkSession
     K, dims = model.Q.shape
     V = len(mass)
@@ -332,11 +401,11 @@ def train_words(
     R = np.concatenate([model.R, np.repeat(model.R[OTHER_CLASS][None], V - 1, 0)]).astype(np.float32)
     Q, c, b = (x.astype(np.float32) for x in (model.Q, model.c, model.b))
     if V > 1:
-        sent = spark.sparkContext.broadcast((index, expected_outputs(model), Q, c))
+        looked_up = training.dtypes[0][1] == "binary"
+        sent = spark.sparkContext.broadcast((None if looked_up else index, expected_outputs(model), Q, c))
 
-        def tokens(text: str | None) -> list[int]:
-            get = sent.value[0].get
-            return [get(w, OTHER_CLASS) for w in words_of(text)]
+        def tokens(text: str | bytes | None) -> list[int] | np.ndarray:
+            return ids_of(text, sent.value[0])
 
         def as_contexts(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             _, expected, Q, c = sent.value
@@ -421,60 +490,72 @@ def score(
     n_other = N - int(class_counts.sum())
     class_counts[OTHER_CLASS] = n_other
     v_other = V - len(top) - (1 if end else 0)
-    trigrams = count_trigrams(training, classes)
-    model = train(materialize(trigrams, "codes"), class_counts)
-
     table = frequent(counts, frequent_words).where("unit <> ''").toPandas()  # at most frequent_words rows
     table = table.loc[np.array([u.encode() not in classes for u in table["unit"]], dtype=bool)].sort_values(["n", "unit"], ascending=[False, True])
     K = len(class_counts)
     index = {w: k for w, k in classes.items() if w} | {u.encode(): K + k for k, u in enumerate(table["unit"])}
     tail = n_other + v_other + 1 - int(table["n"].sum()) - len(table)  # smoothed counts of words outside the dictionary
-    words = train_words(training, model, class_counts, index, np.concatenate([[tail], table["n"].to_numpy() + 1.0]))
     log_counts = np.log10(np.concatenate([[1.0, 1.0], [row["n"] + 1 for row in top], table["n"].to_numpy() + 1.0]))
-    known = spark.sparkContext.broadcast((words, index, log_counts))
+    known = spark.sparkContext.broadcast((index, log_counts))
     log_end = math.log10(n_end + 1)
     id_type = dict(documents.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, index, log_counts = known.value
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, log_counts = known.value
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            found_in: list[np.ndarray] = []
             for text in batch.column(2):
                 found = words_of(text.as_py())
-                x = np.fromiter((index.get(w, OTHER_CLASS) for w in found), np.int64, len(found))
+                x = np.array([index.get(w, OTHER_CLASS) for w in found], np.int32)
                 rare = Counter(found[k] for k in np.flatnonzero(x == OTHER_CLASS))
                 columns[0].append(len(found) + 1)
                 columns[1].append(len(found) - sum(rare.values()) + (n_end > 0))
                 columns[2].append(float(log_counts[x].sum()) + log_end)
+                columns[3].append(x.tobytes())
                 columns[4].append(sum(rare.values()))
                 columns[5].append([{"unit": w.decode("utf-8", "replace"), "times": n} for w, n in rare.items()])
-                found_in.append(x)
-            parts = [words.log_probabilities(*x) for x in token_runs(found_in, lambda x: x)]
-            logs = np.concatenate(parts) if parts else np.zeros(0)
-            ends = np.cumsum([0, *columns[0]])
-            columns[3] = [float(logs[i: j].sum(dtype=np.float64)) for i, j in zip(ends, ends[1:])]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(),
                      pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "word_score", "n_rare", "rare"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "ids", "n_rare", "rare"],
             )
 
-    scored = documents.select("doc_id", is_held_out.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, word_score double, "
+    looked = documents.select("doc_id", is_held_out.alias("held_out"), "text").mapInArrow(
+        look_up, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, logs double, ids binary, "
         "n_rare long, rare array<struct<unit:string,times:long>>"
     )
-    # Row numbers are fixed by being written, so that repeated ids stay apart.
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # Words are looked up once and go as numbers from here on. Row numbers are fixed by being written, so that repeated
+    # ids stay apart.
+    looked = materialize(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
+    coded = looked.where("not held_out").select("ids")
+    model = train(materialize(count_trigrams(coded, classes), "codes"), class_counts)
+    release(spark)
+    words = spark.sparkContext.broadcast(
+        train_words(coded, model, class_counts, index, np.concatenate([[tail], table["n"].to_numpy() + 1.0]))
+    )
+    release(spark)  # the shuffle files of the sums of all tasks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (text.as_py() for text in batch.column("ids"))
+            parts = [words.value.log_probabilities(*x) for x in token_runs(texts, lambda x: ids_of(x, None))]
+            logs = np.concatenate(parts) if parts else np.zeros(0)
+            ends = np.cumsum([0, *batch.column("n_tokens").to_pylist()])
+            scores = [float(logs[i: j].sum(dtype=np.float64)) for i, j in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, passed), pa.array(scores, pa.float64())], [*passed, "word_score"])
+
+    shape = {"row": "long", "doc_id": id_type, "held_out": "boolean", "n_tokens": "long", "n_known": "long", "logs": "double", "n_rare": "long"}
+    passed = list(shape)
+    scored = looked.select(*passed, "ids").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in shape.items()) + ", word_score double")
     looked_up = (
-        scored.select("row", F.inline("rare")).join(counts, "unit", "left")
+        looked.select("row", F.inline("rare")).join(counts, "unit", "left")
         .groupBy("row").agg(
             F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_logs"),
         )
     )
-    df = scored.drop("rare").join(looked_up, "row", "left").fillna(0, ["rare_known"]).fillna(0.0, ["rare_logs"])
+    df = scored.join(looked_up, "row", "left").fillna(0, ["rare_known"]).fillna(0.0, ["rare_logs"])
     return df.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"),
         F.lit(N).cast("long").alias("train_tokens"),

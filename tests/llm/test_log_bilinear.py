@@ -132,3 +132,29 @@ def test_learning_shows_every_counted_trigram():
     codes, counts = np.array([0, 1, 2 * 16 + 3 * 4 + 3]), np.array([10 ** 6, 10 ** 6, 1])
     model = l.learn(codes, counts, start, np.full(4, 0.25), np.random.default_rng(1), noise=2, rate=0.1)
     assert not np.array_equal(model.R[2], start.R[2])
+
+
+def test_sums_over_classes_from_kept_exponentials(monkeypatch):
+    """Words beyond those kept, and contexts after which no class is likely for both words, have the sum of all scores."""
+    monkeypatch.setattr(l, "KEPT", 5)
+    monkeypatch.setattr(l, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    f = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
+    R, Q = f(12, 4), f(6, 4)
+    R[2], R[3], Q[0], Q[1:] = 90, -90, 1, 0.01 * Q[1:]  # far apart: 2 is followed by class 0, 3 by any other
+    model = l.WordModel(R, Q, np.ones((2, 4), np.float32), f(6), f(4), np.arange(7), f(8, 4), f(8), 3)
+    first, second, word = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(12), np.arange(12)))
+    scores = (R[first].astype(float) + R[second]) @ Q.T + model.b
+    top = scores.max(1, keepdims=True)
+    kind = np.where(word < 6, word, 0)
+    want = (scores - top)[np.arange(len(word)), kind] - np.log(np.exp(scores - top).sum(1))
+    for k in np.flatnonzero(kind == 0):
+        place = int(model.leaf[max(word[k] - 5, 0)]) + 8
+        x = R[first[k]].astype(float) + R[second[k]] - model.mean
+        for level in range(3):
+            right, place = place >> 0 & 1, place >> 1
+            z = x @ model.nodes[place] + model.bias[place]
+            want[k] -= np.logaddexp(0, -z if right else z)
+    got = model.log_probabilities(first, second, word)
+    assert np.allclose(got * math.log(10), want, rtol=1e-4, atol=1e-3)
+    assert len(model.kept[0][0]) == 5
