@@ -29,7 +29,6 @@ few, before their sets are made; all others are intersected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +41,11 @@ from shopgrain.llm.partenum import Similarity, mixed, signatures
 from shopgrain.operators import lookup_join
 from shopgrain.session import discard, materialize, release, staged
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SKETCH_WORDS, WIDE_WORDS = 16, 256
 LARGE = 500  # sets of more elements have the wide sketch too
 BROADCAST = 1_000_000
 CACHE = 500_000
-SLICES = 4  # of the signatures, counted one after the other, so that the shuffle of one is gone before the next
+SLICES = 8  # of the signatures, counted one after the other, so that the shuffle of one is gone before the next
 
 
 class WordHashes(dict):
@@ -60,7 +58,7 @@ class WordHashes(dict):
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of word n-grams, A to Z lower-cased."""
-    words = WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
+    words = text.encode("utf-8", "replace").lower().split() if text else []  # at x20 and x09 to x0D, as bytes do
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -230,10 +228,8 @@ def open_members(members: DataFrame, components_of: DataFrame) -> DataFrame:
     return found
 
 
-def link_classes(
-    documents: DataFrame, rows: DataFrame, classes: DataFrame, n: int, similarity: Similarity, rounds: int = 3,
-) -> DataFrame:
-    """``class`` and ``component`` of the classes that share a signature with another one; ``rows``: sig, class."""
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """The distinct rows (sig, class) whose signature occurs in two classes or more, written."""
     members = None
     for part in range(SLICES):
         own = rows.where(F.pmod(F.col("sig"), F.lit(SLICES)) == part)
@@ -242,13 +238,21 @@ def link_classes(
         found = materialize(only(own, shared, "sig").distinct(), "signatures")
         discard(shared)
         members = found if members is None else members.unionByName(found)
-        release(documents.sparkSession)
+        release(rows.sparkSession)
+    return members
+
+
+def link_classes(
+    documents: DataFrame, members: DataFrame, classes: DataFrame, n: int, similarity: Similarity, rounds: int = 3,
+) -> DataFrame:
+    """``class`` and ``component`` of the classes that share a signature with another one, from ``shared_signatures``."""
     named = members.select("class").distinct()
     ids = materialize(classes.join(named, "class").select(F.col("rep").alias("doc_id"), "class"), "candidates")
     found = sketches(only(documents, ids.select("doc_id"), "doc_id"), n)
     sketched = materialize(only(found, ids.select("class"), "class").dropDuplicates(["class"]), "sketches")
     components_of = materialize(named.select("class", F.col("class").alias("component")), "components")
     for step in range(rounds):
+        release(documents.sparkSession)
         rows = open_members(members, components_of)
         pivots = rows.groupBy("sig").agg(F.min(F.struct(F.xxhash64("class", F.lit(step)).alias("h"), "class", "component")).alias("p"))
         pairs = lookup_join(rows, pivots, "sig").where("component <> p.component").select(
@@ -258,6 +262,7 @@ def link_classes(
         discard(rows)
         if links.limit(1).count():
             components_of = merged(components_of, links)
+    release(documents.sparkSession)
     rows = materialize(open_members(members, components_of).join(sketched.select("class", "n", "sketch"), "class"), "open")
     left, right = rows.where("component <> main").alias("x"), rows.alias("y")
     pair = (F.col("x.component") != F.col("y.component")) & (
@@ -287,8 +292,10 @@ def _joined(documents: DataFrame, n: int, similarity: Similarity) -> DataFrame:
     classes = materialize(filled.groupBy("class").agg(F.min("doc_id").alias("rep")), "reps")
     # Rows that repeat an id with another text link their classes.
     twice = filled.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-    linked = link_classes(documents, signed.select(F.explode("sigs").alias("sig"), "class"), classes, n, similarity)
-    discard(signed)
+    members = shared_signatures(signed.select(F.explode("sigs").alias("sig"), "class"))
+    discard(signed)  # larger than the texts
+    linked = link_classes(documents, members, classes, n, similarity)
+    release(documents.sparkSession)
     whole = classes.join(linked, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     if twice.limit(1).count():
         repeated = filled.join(twice.select("doc_id", F.col("a").alias("first")), "doc_id").select(F.col("first").alias("a"), F.col("class").alias("b"))
@@ -307,6 +314,7 @@ def _joined(documents: DataFrame, n: int, similarity: Similarity) -> DataFrame:
 def keep_one(documents: DataFrame, n: int = 5, similarity: Similarity = Similarity(4, 5)) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest id. Rows without id stay."""
     found = join(documents, n, similarity)
+    release(documents.sparkSession)  # what the join shuffled goes before the documents are written
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = only(documents, dropped, "doc_id", "left_anti")
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
